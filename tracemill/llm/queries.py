@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import language_id, secret_scan, simhash_dedup
+from tracemill.llm import language_id, quality, secret_scan, simhash_dedup
 from tracemill.session import table
 
 
@@ -18,9 +18,13 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_simhash_dedup, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_simhash_dedup, op8_quality_classifier, op9_secret_scan)}
 ORACLE: dict[str, str] = {}
