@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import language_id, quality, secret_scan, sharding, simhash_dedup
+from tracemill.llm import language_id, quality, secret_scan, sharding, simhash_dedup, warc
 from tracemill.session import table
 
 
@@ -17,6 +17,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -30,5 +34,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_sharding, op6_simhash_dedup, op8_quality_classifier, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_sharding, op5_warc, op6_simhash_dedup, op8_quality_classifier, op9_secret_scan)}
 ORACLE: dict[str, str] = {}
