@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import language_id, quality, secret_scan, sharding, simhash_dedup, topk, warc
+from tracemill.llm import language_id, line_dedup, quality, secret_scan, sharding, simhash_dedup, topk, warc
 from tracemill.session import table
 
 
@@ -13,6 +13,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "dropped_lines", F.size(F.split("text", "\n")).alias("kept_lines"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -38,7 +43,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op8_quality_classifier, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op8_quality_classifier, op9_secret_scan)}
 _BITS = " + ".join(f"{16 >> j} * CAST(substr(bits, 5 * i + {j + 1}, 1) AS INTEGER)" for j in range(5))
 
 ORACLE: dict[str, str] = {
