@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, language_id, line_dedup, quality, secret_scan, sharding, simhash_dedup, topk, warc
+from tracemill.llm import decontaminate, language_id, line_dedup, quality, secret_scan, sentencepiece_scan, sharding, simhash_dedup, topk, warc
 from tracemill.session import table
 
 
@@ -47,7 +47,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op7_decontaminate, op8_quality_classifier, op9_secret_scan)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op7_decontaminate, op8_quality_classifier, op9_secret_scan, op10_sentencepiece)}
 _BITS = " + ".join(f"{16 >> j} * CAST(substr(bits, 5 * i + {j + 1}, 1) AS INTEGER)" for j in range(5))
 
 ORACLE: dict[str, str] = {
