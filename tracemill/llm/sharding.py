@@ -13,10 +13,12 @@ are.) Equal texts are not kept together; that would break the bound if one text
 holds a third of the rows.
 
 How it scales: rows are counted by (arc, cell), a cell being a hash slice of
-an arc, so that one very common key is spread over the cells by its partition
-number (rows that tie in everything can change places without changing the
-result). The counts (`shards * virtual * cells` at most, whatever the input)
-come to the driver, which walks the ring over counts, not rows, and returns
+an arc, ranked in the order of its hashes; the result doesn't depend on the
+partitioning. A cell with more than `hot` rows (one very common key) is dealt
+further by partition number: rows that tie in everything can change places
+without changing the result, and which others of such a cell overflow then
+depends on the partitioning. The counts (`shards * virtual * cells` at most,
+and SALTS for each hot cell) come to the driver, which walks the ring over counts, not rows, and returns
 for every (arc, cell) which runs of ranks go to which shard and slot. Ranking
 within a cell is one window over narrow rows; texts are not shuffled.
 
@@ -83,7 +85,10 @@ def _points_before(at: Column, positions: list[int]) -> Column:
     return F.aggregate(turns, pair(F.lit(0), F.lit(len(positions))), halve, lambda a: a["lo"])
 
 
-def assign(docs: DataFrame, shards: int = 8, virtual: int = 64, cells: int = 32) -> DataFrame:
+SALTS = 64
+
+
+def assign(docs: DataFrame, shards: int = 8, virtual: int = 64, cells: int = 32, hot: int = 500_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
     points = ring(shards, virtual)
     owners = [s for _, s in points]
@@ -95,7 +100,12 @@ def assign(docs: DataFrame, shards: int = 8, virtual: int = 64, cells: int = 32)
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0).cast("long")).alias("text_crc32"),
     ).withColumn("at", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = rows.withColumn("arc", F.pmod(_points_before(F.col("at"), positions), F.lit(len(positions))))
-    rows = stored(rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.spark_partition_id()), F.lit(cells)).cast("int")), "shard-rows")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(cells)).cast("int"))
+    rows = stored(rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1), "shard-rows")
+    large = rows.groupBy("arc", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot).collect()
+    if large:
+        is_large = F.struct("arc", "cell").isin(*[F.struct(F.lit(r["arc"]), F.lit(r["cell"])) for r in large])
+        rows = rows.withColumn("cell", F.when(is_large, F.col("cell") + cells * F.col("salt")).otherwise(F.col("cell")))
 
     found = {(r["arc"], r["cell"]): r["n"] for r in rows.groupBy("arc", "cell").agg(F.count("*").alias("n")).collect()}
     total = sum(found.values())
