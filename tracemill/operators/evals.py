@@ -24,10 +24,23 @@ def summary(records: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def running_accuracy(records: DataFrame, by: str, *order: str) -> DataFrame:
-    """records with the accuracy over the items done so far."""
-    so_far = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("running", F.avg(F.col("correct").cast("double")).over(so_far))
+def running_accuracy(records: DataFrame, by: str, order: str, cells: int = 256) -> DataFrame:
+    """records with the accuracy over the items done so far; order is an integer column.
+
+    The order is cut into equal ranges; what the ranges before hold (a row for
+    each group and range) is added to the window within a range, so a long run
+    is no single task.
+    """
+    edge = records.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    width = max(1, -(-(edge["hi"] - edge["lo"] + 1) // cells)) if edge["lo"] is not None else 1
+    celled = records.withColumn("__cell", F.floor((F.col(order) - (edge["lo"] or 0)) / width))
+    sums = celled.groupBy(F.col(by).alias("__by"), "__cell").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
+    earlier = Window.partitionBy("__by").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__by", F.col("__cell").alias("__at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("__c"))
+    so_far = Window.partitionBy(by, "__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = celled.withColumn("__ni", F.count("*").over(so_far)).withColumn("__ci", F.sum(F.col("correct").cast("long")).over(so_far))
+    out = inside.join(offsets, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__cell") == F.col("__at")))
+    return out.withColumn("running", (F.col("__ci") + F.col("__c")) / (F.col("__ni") + F.col("__n"))).drop("__cell", "__by", "__at", "__n", "__c", "__ni", "__ci")
 
 
 def regressions(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:

@@ -22,21 +22,24 @@ def sample(df: DataFrame, key: str, seed: int, k: int) -> DataFrame:
     return df.orderBy(draw(seed, F.col(key)), key).limit(k).orderBy(key)
 
 
-def group_ranks(df: DataFrame, key: str, seed: int, buckets: int = 64) -> DataFrame:
-    """df with `rn`, the rank from 1 of every row in the global order of the draw, without a single-partition sort.
+def group_ranks(df: DataFrame, key: str, seed: int, group: str | None = None) -> DataFrame:
+    """df with `rn`, the rank from 1 of every row in the order of the draw, overall or within each group, without bringing a group's rows into one task.
 
-    The draw's leading hex digits cut the order into ranges; ranks within a
-    range come from a window, and the ranges' row counts (at most 256) are
-    added up.
+    The draw's leading hex digits cut the order into 256 ranges; ranks within a
+    range come from a window, and the row counts of the ranges before it (at
+    most 256 a group, groups being domains or kinds) are added.
     """
-    ranged = df.withColumn("__draw", draw(seed, F.col(key))).withColumn("__range", F.substring("__draw", 1, 2))
-    counts = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())
-    shift, before = F.lit(0).cast("long"), 0
-    for name, n in counts:
-        shift = F.when(F.col("__range") == name, F.lit(before).cast("long")).otherwise(shift)
-        before += n
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__draw", key))
-    return ranged.withColumn("rn", inside + shift).drop("__draw", "__range")
+    parts = [F.col(group)] if group else []
+    ranged = df.withColumn("__draw", draw(seed, *parts, F.col(key))).withColumn("__range", F.substring("__draw", 1, 2)).withColumn("__group", F.col(group).cast("string") if group else F.lit(""))
+    before: dict = {}
+    shifts = []
+    for r in sorted(ranged.groupBy("__group", "__range").count().collect(), key=lambda r: (r["__group"] or "", r["__group"] is None, r["__range"])):
+        shifts.append((r["__group"], r["__range"], before.get(r["__group"], 0)))
+        before[r["__group"]] = before.get(r["__group"], 0) + r["count"]
+    table = df.sparkSession.createDataFrame(shifts, "__g string, __r string, __shift long")
+    inside = F.row_number().over(Window.partitionBy("__group", "__range").orderBy("__draw", key))
+    ranked = ranged.withColumn("__in", inside).join(F.broadcast(table), F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
+    return ranked.withColumn("rn", F.col("__in") + F.col("__shift")).drop("__draw", "__range", "__group", "__g", "__r", "__in", "__shift")
 
 
 def mix_plan(df: DataFrame, domain: str, shares: dict[str, float]) -> DataFrame:
@@ -53,9 +56,8 @@ def mix_plan(df: DataFrame, domain: str, shares: dict[str, float]) -> DataFrame:
 def mix(df: DataFrame, domain: str, key: str, shares: dict[str, float], seed: int) -> DataFrame:
     """The planned number of rows of each domain, drawn by md5."""
     plan = mix_plan(df, domain, shares).select(F.col(domain).alias("__d"), "n")
-    order = Window.partitionBy(domain).orderBy(draw(seed, F.col(domain), F.col(key)), key)
-    ranked = df.withColumn("__rn", F.row_number().over(order))
-    return ranked.join(F.broadcast(plan), F.col(domain).eqNullSafe(F.col("__d"))).where("__rn <= n").drop("__d", "n", "__rn")
+    ranked = group_ranks(df, key, seed, domain)
+    return ranked.join(F.broadcast(plan), F.col(domain).eqNullSafe(F.col("__d"))).where("rn <= n").drop("__d", "n", "rn")
 
 
 def split(df: DataFrame, key: str, seed: int, valid_frac: float) -> DataFrame:

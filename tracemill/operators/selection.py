@@ -107,10 +107,9 @@ def reasks(traces: DataFrame, cfg: Settings, done: DataFrame | None = None) -> D
     return todo(out, done) if done is not None else out
 
 
-def batches(df: DataFrame, group: str, key: str, size: int) -> DataFrame:
-    """df with the number of its batch within its group, in the order of the keys."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return df.withColumn("batch", F.floor(at / size).cast("long"))
+def batches(df: DataFrame, group: str, key: str, size: int, seed: int = 17) -> DataFrame:
+    """df with the number of its batch within its group, in the seeded order; every batch but a group's last is full."""
+    return group_ranks(df, key, seed, group).withColumn("batch", F.floor((F.col("rn") - 1) / size).cast("long")).drop("rn")
 
 
 def routes(df: DataFrame, teachers: dict[str, list[str]], domain: str) -> DataFrame:

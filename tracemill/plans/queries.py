@@ -203,7 +203,7 @@ def last_wins(spark, sf):
     return selection.one_per_key(table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", F.desc("ts"), F.desc("event_id")).drop("ts")
 
 
-@query("SELECT lang, doc_id, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 16) AS BIGINT) AS batch FROM documents")
+@query(f"SELECT lang, doc_id, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '{SEED}', lang, doc_id)), doc_id) - 1) / 16) AS BIGINT) AS batch FROM documents")
 def batch_plan(spark, sf):
     return selection.batches(table(spark, sf, "documents").select("lang", "doc_id"), "lang", "doc_id", 16)
 
