@@ -10,7 +10,11 @@
    bucket the remaining bits are compared. Very large buckets are divided
    again by blocks of their remaining bits, which is exact too.
 3. Candidates are verified by edit similarity (1 - Levenshtein / longer
-   length, of the normalised lines) of `similarity` or more.
+   length, of the normalised lines) of `similarity` or more. In a bucket, each
+   set of hashes that hang together gives a spanning tree first, so a large
+   group of variants costs no more pairs than it has members. Sets that the
+   verified tree doesn't join completely are then looked at again, and all
+   their pairs across the parts are verified, so no link is lost.
 4. Connected groups keep the occurrence that is first by (doc_id, text hash,
    line number); all other occurrences go. Blank lines always stay.
 
@@ -31,6 +35,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -92,26 +97,40 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
-def near(sims: np.ndarray, free: list[int], t: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of distinct unsigned hashes within t bits of one another; they agree outside the bits in `free`."""
+def near(sims: np.ndarray, free: list[int], t: int, parts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of distinct unsigned hashes within t bits of one another, which agree outside the bits in `free`.
+
+    Without parts: pairs that connect the same hashes as all pairs would (some
+    may close circles). With parts: all pairs whose parts differ.
+    """
     if len(sims) < 2:
         return []
-    if len(sims) <= LIMIT or len(free) <= t:
+    if len(sims) > LIMIT and len(free) > t:
         out = []
-        for lo in range(0, len(sims), LIMIT):
-            d = np.bitwise_count(sims[lo : lo + LIMIT, None] ^ sims[None, lo:])
-            a, b = np.nonzero(d <= t)
+        for k in range(t + 1):
+            block = free[k :: t + 1]
+            mask = np.uint64(sum(1 << b for b in block))
+            rest = [b for b in free if b not in block]
+            order = np.argsort(sims & mask, kind="stable")
+            for run in np.split(order, np.flatnonzero(np.diff((sims & mask)[order])) + 1):
+                out += near(sims[run], rest, t, None if parts is None else parts[run])
+        return out
+    out, label = [], np.arange(len(sims))
+    for lo in range(0, len(sims), LIMIT):
+        close = np.bitwise_count(sims[lo : lo + LIMIT, None] ^ sims[None, lo:]) <= t
+        if parts is not None:
+            a, b = np.nonzero(close & (parts[lo : lo + LIMIT, None] != parts[None, lo:]))
             ok = b > a
             out.append((sims[lo:][a[ok]], sims[lo:][b[ok]]))
-        return out
-    out = []
-    for k in range(t + 1):
-        block = free[k :: t + 1]
-        mask = np.uint64(sum(1 << b for b in block))
-        rest = [b for b in free if b not in block]
-        order = np.argsort(sims & mask, kind="stable")
-        for run in np.split(sims[order], np.flatnonzero(np.diff((sims & mask)[order])) + 1):
-            out += near(run, rest, t)
+            continue
+        for i in np.flatnonzero(close.sum(axis=1) > 1):
+            there = np.flatnonzero(close[i]) + lo
+            own = label[lo + i]
+            names, at = np.unique(label[there], return_index=True)
+            if len(names) > 1:
+                pick = there[at[names != own]]
+                out.append((np.full(len(pick), sims[lo + i]), sims[pick]))
+                label[np.isin(label, names)] = own
     return out
 
 
@@ -125,11 +144,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (no, sim), whole buckets -> candidate pairs. 9 bytes a row are held."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    no, sim = (np.concatenate(x) if held else np.empty(0, np.int64) for x in (zip(*held, strict=True) if held else ((), ())))
-    sim = sim.view(np.uint64)
+def _buckets(no: np.ndarray, sim: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """The hashes of all buckets with two or more, with the bits that differ within them."""
     for k, mask in enumerate(_masks()):
         own = np.unique(sim[no == k])
         key = own & np.uint64(mask)
@@ -137,26 +153,77 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = key[order], own[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         free = [b for b in range(64) if not mask >> b & 1]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes = np.diff(cuts)
-        for i in np.flatnonzero(sizes == 2):  # most buckets of any use
-            a, b = own[cuts[i]], own[cuts[i] + 1]
-            if int(a ^ b).bit_count() <= DISTANCE:
-                found.append((own[cuts[i] : cuts[i] + 1], own[cuts[i] + 1 : cuts[i] + 2]))
-        for i in np.flatnonzero(sizes > 2):
-            found += near(own[cuts[i] : cuts[i + 1]], free, DISTANCE)
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["s1", "s2"])
-
-
-def candidate_pairs(sims: DataFrame, count: int) -> DataFrame:
-    """sims(sim), distinct -> (s1, s2), all pairs within DISTANCE bits."""
+        for i in np.flatnonzero(np.diff(cuts) > 1):
+            yield own[cuts[i] : cuts[i + 1]], free
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of (no, sim), whole buckets -> (s1, s2, root): pairs that connect what hangs together within a bucket, and the smallest hash of each such set. 9 bytes a row are held."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    no, sim = (np.concatenate(x) for x in zip(*held, strict=True))
+    rows: list[tuple[int, int, int]] = []
+    for own, free in _buckets(no, sim.view(np.uint64)):
+        if len(own) == 2:  # most buckets of any use
+            found = [(int(own[0]), int(own[1]))] if int(own[0] ^ own[1]).bit_count() <= DISTANCE else []
+        else:
+            found = [(int(x), int(y)) for a, b in near(own, free, DISTANCE) for x, y in zip(a, b, strict=True)]
+        if not found:
+            continue
+        root: dict[int, int] = {}
+        for x, y in found:
+            x, y = _find(root, x), _find(root, y)
+            root[max(x, y)] = min(x, y)
+        rows += [(min(x, y), max(x, y), _find(root, x)) for x, y in found]
+        if len(rows) > 50_000:
+            yield _longs(rows, ["s1", "s2", "root"])
+            rows = []
+    if rows:
+        yield _longs(rows, ["s1", "s2", "root"])
+
+
+def _find(root: dict[int, int], x: int) -> int:
+    while root.setdefault(x, x) != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*rows, strict=True)], names=names)
+
+
+def trees(sims: DataFrame, count: int) -> DataFrame:
+    """sims(sim), distinct -> (s1, s2, root), which connect all hashes that pairs within DISTANCE bits connect."""
     masks = _masks()
     keys = F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("no"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("k")) for k, m in enumerate(masks)])).alias("x")
     parts = max(int(sims.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(masks) // 2_000_000))
     dealt = sims.select("sim", keys).select("x.no", "sim", F.xxhash64("x.no", "x.k").alias("k")).repartition(parts, F.pmod("k", F.lit(parts * 64)))
-    return dealt.select("no", "sim").mapInArrow(_pairs, "s1 long, s2 long").distinct()
+    return dealt.select("no", "sim").mapInArrow(_trees, "s1 long, s2 long, root long")
+
+
+def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of (root, sim, part), whole sets -> all pairs within DISTANCE bits across parts."""
+    held = [[c.to_numpy() for c in b.columns] for b in batches]
+    if not held:
+        return
+    root, sim, part = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((sim, root))
+    root, sim, part = root[order], sim.view(np.uint64)[order], part[order]
+    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(root)) + 1, [len(root)]])), strict=True):
+        for a, b in near(sim[lo:hi], list(range(64)), DISTANCE, part[lo:hi]):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["s1", "s2"])
+
+
+def crossings(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """found: trees(); parts(sim, part): the component of a hash's lines, null where they are in several -> pairs that still have to be tried."""
+    members = found.select("root", F.col("s1").alias("sim")).union(found.select("root", "s2")).distinct().join(parts, "sim")
+    # a hash whose lines are in several components is a part by itself
+    named = members.select("root", "sim", F.coalesce(F.xxhash64(F.lit("part"), "part"), F.xxhash64(F.lit("sim"), "sim")).alias("part"))
+    open_ = named.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("root")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.join(open_, "root").select("root", "sim", "part").repartition(n, "root").mapInArrow(_crossings, "s1 long, s2 long").distinct()
 
 
 def _rebuild(keep_columns: list[str], at: int) -> callable:
@@ -192,26 +259,28 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8,
 
     fuzzy = nodes.where(F.col("words") >= min_words).select("lh", "sim", "first", "words")
     sims = stored(fuzzy.groupBy("sim").agg(F.count("*").alias("n")), "line-sims")
-    pairs = stored(candidate_pairs(sims.select("sim"), sims.count()), "line-pairs")
+    found = stored(trees(sims.select("sim"), sims.count()), "line-trees")
     same = sims.where("n > 1").select(F.col("sim").alias("s1"), F.col("sim").alias("s2"))
-    pairs = pairs.union(same)
-    wanted = pairs.select(F.col("s1").alias("sim")).union(pairs.select("s2")).distinct()
-    taken = stored(fuzzy.join(wanted, "sim").select("sim", "lh", "first.doc_id", "first.th", "first.pos", "words"), "line-wanted")
+    wanted = found.select(F.col("s1").alias("sim")).union(found.select("s2")).union(same.select("s1")).distinct()
+    taken = stored(fuzzy.join(wanted, "sim").select("sim", "lh", "first.doc_id", "first.th", "first.pos"), "line-wanted")
 
     # the text of the lines that take part in a candidate pair, from one occurrence of each
     asked = taken.groupBy(F.col("doc_id").alias("d"), "th").agg(F.collect_list(F.struct("pos", "lh", "sim")).alias("asked"))
     asked = F.broadcast(asked) if path_bytes(docs.sparkSession, taken._stored_at) <= broadcast_bytes else asked
-    found = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == asked["th"])).select("text", "asked")
-    found = found.mapInArrow(_fetch, "lh long, sim long, line string").dropDuplicates(["lh"])
-    found = stored(found, "line-texts")
-    left, right = found.toDF("a", "s1", "la"), found.toDF("b", "s2", "lb")
-    tried = pairs.join(left, "s1").join(right, "s2").where((F.col("s1") != F.col("s2")) | (F.col("a") < F.col("b")))
-    longer = F.greatest(F.char_length("la"), F.char_length("lb"))
-    budget = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    close = tried.where(F.abs(F.char_length("la") - F.char_length("lb")) <= budget)
-    links = close.where(F.expr("levenshtein(la, lb)") <= budget).select("a", "b")
-
-    groups = components(links).toDF("lh", "comp")
+    texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == asked["th"])).select("text", "asked")
+    texts = stored(texts.mapInArrow(_fetch, "lh long, sim long, line string").dropDuplicates(["lh"]), "line-texts")
+    left, right = texts.toDF("a", "s1", "la"), texts.toDF("b", "s2", "lb")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left, "s1").join(right, "s2").where((F.col("s1") != F.col("s2")) | (F.col("a") < F.col("b")))
+        return both.select("a", "b", "la", "lb").mapInArrow(_verified(similarity), "a long, b long")
+
+    links = stored(tried(found.select("s1", "s2").distinct().union(same)), "line-links")
+    first_groups = components(links).toDF("lh", "comp")
+    parts = taken.select("sim", "lh").join(first_groups, "lh", "left").groupBy("sim").agg(F.min(F.coalesce("comp", "lh")).alias("lo"), F.max(F.coalesce("comp", "lh")).alias("hi"))
+    parts = parts.select("sim", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("part"))
+    more = stored(tried(crossings(found, parts)), "line-links")
+    groups = first_groups if more.isEmpty() else components(links.union(more)).toDF("lh", "comp")
     joined = nodes.join(groups, "lh").select("lh", "comp", "first")
     firsts = joined.groupBy("comp").agg(F.min("first").alias("keeper"))
     fuzzy_keep = joined.join(firsts, "comp").select("lh", "keeper")
@@ -223,6 +292,52 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8,
     return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
 
 
+def edits(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, or some number over `most` if it is larger. One bit per character of a (Myers), one step per character of b."""
+    if not a or not b:
+        return len(a) + len(b)
+    bits: dict[str, int] = {}
+    for i, c in enumerate(a):
+        bits[c] = bits.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, at, left = full, 0, len(a), len(b)
+    for c in b:
+        same = bits.get(c, 0)
+        cross = same | down
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = (down | ~(level | up)) & full, up & level
+        at += bool(rise & top) - bool(fall & top)
+        left -= 1
+        if at - left > most:
+            return at - left
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = (fall | ~(cross | rise)) & full, rise & cross
+    return at
+
+
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; replacing differing words one by one, or all between the equal ends, bounds the distance from above and mostly decides."""
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True
+    lo = len(commonprefix((a, b)))
+    a, b = a[lo:], b[lo:]
+    end = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    return max(len(a), len(b)) <= most or edits(a, b, most) <= most
+
+
+def _verified(similarity: float) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())).select(["a", "b"])
+
+    return run
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []

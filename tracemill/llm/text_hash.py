@@ -48,20 +48,27 @@ def words_of(buffer: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def simhashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """SimHash of hashes[start:end] for consecutive, non-empty, gapless spans: a bit is one if it is in over half of them."""
-    out = np.zeros(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block, side="right")))
-        size = (ends[lo:hi] - starts[lo:hi]).astype(np.int64)
-        if hi == lo + 1 and size[0] > block:  # one very long span, in pieces
-            ones = np.zeros((1, 64), np.int64)
-            for a in range(starts[lo], ends[lo], block):
-                ones += np.unpackbits(hashes[a : min(a + block, ends[lo])].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        else:
-            bits = np.unpackbits(hashes[starts[lo] : ends[hi - 1]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, starts[lo:hi] - starts[lo], axis=0, dtype=np.uint16 if size.max() < 60000 else np.int64)
-        out[lo:hi] = np.packbits(ones.astype(np.int64) * 2 > size[:, None], axis=1).view(">u8").ravel()
-        lo = hi
-    return out
+#: A byte's bits, most significant first, as ones in the eight bytes of a word.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+PIECE = 255  # so many hashes can be added up in byte-wide counters
+
+
+def simhashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of hashes[start:end] for consecutive, non-empty, gapless spans: a bit is one if it is in over half of them.
+
+    Eight counters of one byte are added at a time; longer spans are added up
+    in pieces first.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = (ends - starts).astype(np.int64)
+    pieces = -(-size // PIECE)
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    cuts = np.repeat(starts, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    octets = hashes[starts[0] : ends[-1]].astype(">u8").view(np.uint8).reshape(-1, 8)
+    sums = np.empty((len(cuts), 8), np.uint64)
+    for k in range(8):
+        sums[:, k] = np.add.reduceat(_LANES[octets[:, k]], cuts - starts[0])
+    ones = sums.view(np.uint8).reshape(len(cuts), 64)
+    ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64) if len(cuts) > len(starts) else ones.astype(np.int64)
+    return np.packbits(ones * 2 > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
