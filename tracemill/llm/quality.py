@@ -118,7 +118,6 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rank: int = 48, neighbours: int = 15, sharp: float = 4.0) -> Model | None:
     """docs(doc_id, text) that may be learned from, labels(doc_id, quality)."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most").select("doc_id", "label")
-    rows = docs.select("doc_id", "text").join(marks, "doc_id")
     sizes = {r["label"]: r["count"] for r in docs.select("doc_id").join(marks, "doc_id").groupBy("label").count().collect()}
     if not sizes:
         return None
