@@ -108,3 +108,22 @@ def stratified_gap(records: DataFrame, run: str, stratum: str) -> DataFrame:
 def wide(summaries: DataFrame, run: str, benchmarks: list[str]) -> DataFrame:
     """Runs by benchmarks, holding accuracies."""
     return summaries.groupBy(run).pivot("benchmark", benchmarks).agg(F.first("accuracy"))
+
+
+def with_baseline(baseline: DataFrame, runs: DataFrame) -> DataFrame:
+    """Published results and own runs as one long table; runs carry a mark in their name."""
+    return baseline.unionByName(runs.withColumn("model", F.concat("model", F.lit(" (this run)"))), allowMissingColumns=True)
+
+
+def paired(rows: DataFrame, keys: list[str], mode: str, value: str, modes: list[str]) -> DataFrame:
+    """One column of `value` for each mode (plain, forced, ramp, ...) at equal keys; null where a mode is missing."""
+    return rows.groupBy(*keys).pivot(mode, modes).agg(F.first(value))
+
+
+def truncation(records: DataFrame, by: str) -> DataFrame:
+    """By run: share truncated and right, in points, and mean tokens."""
+    return records.groupBy(by).agg((100 * F.count_if("truncated") / F.count("*")).alias("truncated_pct"), (100 * F.count_if("correct") / F.count("*")).alias("correct_pct"), F.avg("tokens").alias("mean_tokens"))
+
+
+def keep_rate(kept: Column, seen: Column) -> Column:
+    return kept / F.greatest(seen, F.lit(1))

@@ -79,3 +79,11 @@ class Lock:
 
     def __exit__(self, *_: object) -> None:
         Path(self.path).unlink(missing_ok=True)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """A results document, models{name{benchmark{accuracy, correct, total, seconds}}}, as a long table."""
+    one = "struct<accuracy:double,correct:int,total:int,seconds:double>"
+    doc = spark.read.option("multiLine", True).schema("models map<string,map<string,string>>").json(path)
+    cells = doc.select(F.explode("models").alias("model", "b")).select("model", F.explode("b").alias("benchmark", "cell"))
+    return cells.select("model", "benchmark", F.from_json("cell", one).alias("r")).select("model", "benchmark", "r.*").where("accuracy is not null")

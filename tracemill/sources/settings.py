@@ -61,3 +61,12 @@ class Settings:
 
     def budget_for(self, kind: str) -> int:
         return self.budgets.get(kind) or self.budgets.get("default") or 2048
+
+    def model_for(self, ref: str, student: str, variants: dict[str, str]) -> str:
+        """student, student:<variant>, teacher:<name>, or a path."""
+        kind, _, name = ref.partition(":")
+        if kind == "student":
+            return variants[name] if name else student
+        if kind == "teacher":
+            return self.teachers[name]["path"]
+        return ref
