@@ -41,13 +41,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.batches import sliced
 from tracemill.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
 BLOCK = 64
-CACHE = 300_000
+CACHE = 150_000
+SLICE = 1024  # rows of a batch that are worked on at a time
 META = "▁"
+MARKS = ".,!?;:"
+
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 State = tuple[str, int]
 Matrix = dict[State, dict[State, float]]
@@ -77,12 +84,28 @@ class Lattice:
     """Paths through a vocabulary; lives in a worker and keeps bounded caches."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.fits, self.words, self.ends = v, {}, {}, {}
+        self.v, self.fits, self.pairs, self.words, self.old = v, {}, 0, {}, {}
         #: pieces that can be in an encoding at all: characters, and what their own merges lead to
         self.nodes = {x for x in v.ids if len(x) == 1 or self.merged(x) == [x]}
-        # segments end where no piece spans: before a blank run that follows something else, and around line breaks
-        self.segment = re.compile(r" *[^ \n]+| +|\n" if "\n" not in "".join(v.ids) else r" *[^ ]+| +")
+        #: nodes by character; "" holds the node that ends there
+        self.trie: dict = {}
+        #: characters that stand side by side in some node
+        self.joined = {x[i : i + 2] for x in self.nodes for i in range(len(x) - 1)}
+        for x in self.nodes:
+            node = self.trie
+            for c in x:
+                node = node.setdefault(c, {})
+            node[""] = x
+        # segments end where no piece spans: before a blank run that follows something else, around line breaks,
+        # and (if no piece has a letter before such a mark) before the mark after a word
+        if "\n" in "".join(v.ids):
+            raise ValueError("vocabularies with line breaks in pieces are not supported")
+        self.marked = marked = not any(x[1] in MARKS and x[0].isalpha() for x in self.joined)
+        self.segment = re.compile((rf" *[^\W\d_]+(?=[ \n{MARKS}]|\Z)|" if marked else "") + r" *[^ \n]+| +|\n")
         self.text = [self._surface(i) for i in range(len(v.pieces))]
+        raw = [t.encode("utf-8", "surrogateescape") for t in self.text]
+        self.lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.offsets, self.bytes = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(raw), np.uint8)
 
     # -- pieces ---------------------------------------------------------
 
@@ -104,10 +127,16 @@ class Lattice:
     def compatible(self, a: str, b: str) -> bool:
         if not a:
             return True
-        if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) >= CACHE:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merged(a + b) == [a, b]
+        row = self.fits.get(a)
+        if row is None:
+            row = self.fits[a] = {}
+        known = row.get(b)
+        if known is None:
+            self.pairs += 1
+            if self.pairs > CACHE:
+                self.pairs = 1
+                self.fits = {a: (row := {})}
+            known = row[b] = self.merged(a + b) == [a, b]
         return known
 
     def id_list(self, piece: str) -> list[int]:
@@ -118,7 +147,7 @@ class Lattice:
 
     def forward(self, text: str, start: int, state: str, stop: int) -> list[str | None]:
         """By position up to stop, the last piece of the admissible path from `state` at start (None: no path)."""
-        nodes, longest, fits = self.nodes, self.v.longest, self.fits
+        nodes, longest = self.nodes, self.v.longest
         last: list[str | None] = [None] * (stop + 1)
         last[start] = state
         for at in range(start + 1, stop + 1):
@@ -127,11 +156,9 @@ class Lattice:
                 if before is None:
                     continue
                 piece = text[lo:at]
-                if piece in nodes or at - lo == 1:
-                    known = fits.get((before, piece))
-                    if known or known is None and self.compatible(before, piece):
-                        last[at] = piece
-                        break
+                if (piece in nodes or at - lo == 1) and self.compatible(before, piece):
+                    last[at] = piece
+                    break
         return last
 
     def back(self, last: list[str | None], start: int, end: int, final: str | None = None) -> list[str]:
@@ -143,47 +170,137 @@ class Lattice:
             at -= len(piece)
         return out[::-1]
 
-    def last_piece(self, text: str) -> str:
-        """The last piece of a short segment's encoding. As forward(), but from the end: only the prefixes that longer pieces leave are looked at, and prefixes that segments share are kept."""
-        found = self.ends.get(text)
+    def matches(self, text: str, at: int) -> list[str]:
+        """The nodes that text has at a position, shortest first; an unknown character stands for itself."""
+        node, out = self.trie, []
+        for c in text[at : at + self.v.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            if (piece := node.get("")) is not None:
+                out.append(piece)
+        return out if out and len(out[0]) == 1 else [text[at], *out]
+
+    def path(self, text: str) -> list[str]:
+        """The admissible path through a whole segment, depth first.
+
+        Any run of compatible pieces from the start is the encoding of what it
+        covers, so a position can be reached in one way only: one that leads
+        nowhere is dead for good. Long pieces first, as they mostly belong.
+        """
+        n, at, before = len(text), 0, ""
+        pieces: list[str] = []
+        left: list[list[str]] = []
+        dead: set[int] = set()
+        options = self.matches(text, 0)
+        row: dict[str, bool] = {}
+        while at < n:
+            if options:
+                piece = options.pop()
+                known = row.get(piece)
+                if known is None:
+                    known = self.compatible(before, piece)
+                if known and (not dead or at + len(piece) not in dead):
+                    pieces.append(piece)
+                    left.append(options)
+                    at += len(piece)
+                    if at < n:
+                        before, options = piece, self.matches(text, at)
+                        row = self.fits.get(piece, {})
+            else:
+                dead.add(at)
+                at -= len(pieces.pop())
+                options = left.pop()
+                before = pieces[-1] if pieces else ""
+                row = self.fits.get(before, {})
+        return pieces
+
+    def word(self, segment: str) -> list[int]:
+        """Ids of a segment that no piece crosses; it is divided further where its neighbouring characters stand together in no piece."""
+        found, lo, joined = self.old.get(segment), 0, self.joined
         if found is None:
-            nodes, n = self.nodes, len(text)
-            for lo in range(max(0, n - self.v.longest), n):
-                piece = text[lo:]
-                if piece in nodes or n - lo == 1:
-                    before = self.last_piece(text[:lo]) if lo else ""
-                    known = self.fits.get((before, piece)) if lo else True
-                    if known or known is None and self.compatible(before, piece):
-                        found = piece
-                        break
-            if len(self.ends) >= CACHE:
-                self.ends.clear()
-            self.ends[text] = found
+            found = []
+            for i in range(1, len(segment) + 1):
+                if i == len(segment) or segment[i - 1 : i + 1] not in joined:
+                    part = segment[lo:i]
+                    known = self.words.get(part) or self.old.get(part)
+                    if known is None:
+                        known = list(chain.from_iterable(map(self.id_list, self.path(part))))
+                        if i - lo <= 64 and i - lo < len(segment):
+                            self.keep(part, known)
+                    found += known
+                    lo = i
+        if len(segment) <= 64:
+            self.keep(segment, found)
         return found
 
-    def word(self, segment: str) -> list[int]:
-        """Ids of a segment that no piece crosses."""
-        n = len(segment)
-        if n > 64:
-            return list(chain.from_iterable(map(self.id_list, self.back(self.forward(segment, 0, "", n), 0, n))))
-        pieces, end = [], n
-        while end:
-            pieces.append(self.last_piece(segment[:end]))
-            end -= len(pieces[-1])
-        found = list(chain.from_iterable(map(self.id_list, reversed(pieces))))
+    def keep(self, segment: str, ids: list[int]) -> None:
+        """Two generations: what the older one still gives is kept again."""
         if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[segment] = found
-        return found
+            self.old, self.words = self.words, {}
+        self.words[segment] = ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text (with its leading blank) that is one chunk."""
         out: list[int] = []
-        known, put = self.words.get, out.extend
+        put = out.extend
         for s in self.segment.findall(text):
-            put(known(s) or self.word(s))
+            put(self.words.get(s) or self.word(s))
         return out
 
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of texts of one chunk each. Segments are cut, and equal ones found, over all texts at once; each distinct one is looked up or traced."""
+        data = [b"" if t is None else surface(t).encode("utf-8", "replace") for t in texts]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        opens = np.concatenate([[0], np.cumsum(sizes)])
+        joined = b"".join(data)
+        a = np.frombuffer(joined, np.uint8)
+        counts = np.zeros(len(texts), np.int64)
+        flat = np.zeros(0, np.int32)
+        if len(a):
+            blank, line = a == 32, a == 10
+            starts = np.zeros(len(a), bool)
+            starts[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+            if self.marked:
+                starts[1:] |= _MARK[a[1:]] & _LETTER[a[:-1]]
+            starts[opens[:-1][sizes > 0]] = True
+            at = np.flatnonzero(starts)
+            offsets = np.append(at, len(a)).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+            known = [self.words.get(w) or self.word(w) for w in (x.decode() for x in words.dictionary.to_pylist())]
+            lengths = np.fromiter(map(len, known), np.int64, len(known))
+            pool = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
+            code = words.indices.to_numpy()
+            n = lengths[code]
+            flat = pool[_spread((np.cumsum(lengths) - lengths)[code], n)]
+            total = np.concatenate([[0], np.cumsum(n)])
+            edge = np.searchsorted(at, opens)
+            counts = np.diff(total[edge])
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*[t is None for t in texts], False])), pa.array(flat, pa.int32()))
+
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids, by gathering the bytes of all pieces at once; lists with bytes that are no UTF-8 are decoded one by one."""
+        if rows.null_count or not len(rows):
+            return pa.array([None if x is None else self.decode(x) for x in rows.to_pylist()], pa.string())
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        counts = rows.value_lengths().to_numpy(zero_copy_only=False)
+        size = self.lengths[ids]
+        out = self.bytes[_spread(self.offsets[ids], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        filled = ends[1:] > ends[:-1]
+        first = ends[:-1][filled]
+        drop = np.zeros(len(out), bool)
+        drop[first] = out[first] == 32
+        gone = np.concatenate([[0], np.cumsum(drop)])
+        offsets = (ends - gone[ends]).astype(np.int32)
+        text = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(out[~drop].tobytes())])
+        try:
+            text.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(x) for x in rows.to_pylist()], pa.string())
+        return text
+
     # -- chunks ---------------------------------------------------------
 
     def cuts(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -318,6 +435,12 @@ class _Shared:
         return self.held.value
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... (sizes[i] of them) for all i in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def _lists(rows: list[list[int] | None]) -> pa.Array:
     sizes = [len(r) if r is not None else 0 for r in rows]
     flat = np.fromiter(chain.from_iterable(r for r in rows if r), np.int32, sum(sizes))
@@ -360,11 +483,6 @@ def _block_product(t: pa.Table) -> pa.Table:
     return pa.table({"key": t.column("key")[:1], "block": t.column("block")[:1], "m": [_dump(m)]})
 
 
-def _enter(m: Matrix, at: State) -> State:
-    """Where the path that comes in at `at` goes on; the admissible path is unique once its end is."""
-    return max(m[at].items(), key=lambda x: (x[1], x[0]))[0]
-
-
 def _resolve(rows: list[tuple[int, Matrix]], first: State, last: State | None) -> list[tuple[int, State, State]]:
     """States at both sides of each of the consecutive matrices, from the first state and, if known, the last."""
     ahead = [{first: 0.0}]
@@ -390,7 +508,7 @@ def _table(key: pa.Scalar, name: str, found: list[tuple[int, State, State]]) ->
 
 
 def _scan_blocks(t: pa.Table) -> pa.Table:
-    rows = sorted((b, _load(m)) for b, m in zip(t.column("block").to_pylist(), t.column("m").to_pylist(), strict=True)) if len(t) == 1 else [(b, _load(m)) for b, m in sorted(zip(t.column("block").to_pylist(), t.column("m").to_pylist(), strict=True))]
+    rows = [(b, _load(m)) for b, m in sorted(zip(t.column("block").to_pylist(), t.column("m").to_pylist(), strict=True))]
     return _table(t.column("key")[0], "block", _resolve(rows, START, None))
 
 
@@ -415,9 +533,8 @@ def _single(shared: _Shared, at: int, schema: T.StructType) -> callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattice(shared)
-        for b in batches:
-            ids = [None if t is None else lat.encode(surface(t)) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids)], names=names)
+        for part in sliced(batches, SLICE):
+            yield pa.RecordBatch.from_arrays([*part.columns, lat.encode_all(part.column(at).to_pylist())], names=names)
 
     return run
 
@@ -440,8 +557,8 @@ def encode(docs: DataFrame, model: str = MODEL, into: str = "ids", chunk: int =
     blocks = products.groupBy("key").applyInArrow(_scan_blocks, f"key long, block long, {states}")
     ends = matrices.join(blocks, ["key", "block"]).groupBy("key", "block").applyInArrow(_scan_chunks, f"key long, k long, {states}")
     traced = chunks.join(ends, ["key", "k"]).mapInArrow(_traces(shared), "key long, k long, ids array<int>")
-    whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("__ids"))
-    found = rows.join(whole, F.col("__key") == F.col("key")).select(*[rows[c] for c in docs.columns], F.col("__ids").alias(into))
+    whole = traced.groupBy(F.col("key").alias("__key2")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("__ids"))
+    found = rows.join(whole, F.col("__key") == F.col("__key2")).select(*[rows[c] for c in docs.columns], F.col("__ids").alias(into))
     return small.unionByName(found) if len(set(schema.names)) == len(schema.names) else small.union(found)
 
 
@@ -453,9 +570,8 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", into: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattice(shared)
-        for b in batches:
-            out = [None if x is None else lat.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=schema.names)
+        for part in sliced(batches, SLICE):
+            yield pa.RecordBatch.from_arrays([*part.columns, lat.decode_all(part.column(at))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
