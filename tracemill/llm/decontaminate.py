@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import sliced
 from tracemill.llm.text_hash import span_hash, words_of
 
 WINDOW, SHORTEST, LITERALS = 8, 5, 0.6
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 256 << 10
 LITERAL, NUMBER, UNIT, NAME = range(4)
 MARK = np.array([0, 0xA5A5, 0xB6B6, 0xC7C7], np.uint64)  # what stands for a placeholder of each type
 
@@ -198,7 +199,7 @@ def runs(index: Index, t: Tokens, hits: list[tuple[int, int, int]], cover: int)
 
 def _scan(index: Index, cover: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, rows, lo = b.column(1).to_pylist(), [], 0
             while lo < len(texts):
                 hi, size = lo, 0

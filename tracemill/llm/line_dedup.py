@@ -43,13 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.batches import sliced
 from tracemill.llm.components import components
 from tracemill.llm.text_hash import simhashes, span_hash, words_of
 from tracemill.session import path_bytes, stored
 
 DISTANCE, BLOCKS = 3, 5
 LIMIT = 2048  # hashes that are compared with one another directly
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 256 << 10
 DIGITS = bytes(ord("0") if chr(b).isdigit() and b < 128 else 32 if b < 32 and b != 10 else b for b in range(256))
 MARKS = string.punctuation.encode()
 
@@ -83,7 +84,7 @@ def hashed_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         texts = b.column(2).to_pylist()
         lo = 0
         while lo < len(texts):
@@ -228,7 +229,7 @@ def crossings(found: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _rebuild(keep_columns: list[str], at: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             gone, texts, out, dropped = b.column(len(keep_columns)).to_pylist(), b.column(at).to_pylist(), [], []
             for t, g in zip(texts, gone, strict=True):
                 if not g:
@@ -332,14 +333,14 @@ def alike(a: str, b: str, similarity: float) -> bool:
 
 def _verified(similarity: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())).select(["a", "b"])
 
     return run
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         rows = []
         for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             lines = text.split("\n")

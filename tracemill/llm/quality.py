@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.batches import sliced
 from tracemill.llm.language_id import fold_of
 
 #: 26 letters, capitals, digits, line breaks, blanks, 33 marks, control, lead and trailing bytes of UTF-8.
@@ -144,7 +145,7 @@ def scores(docs: DataFrame, model: Model | None, into: str = "score", keep_text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             out = np.empty(len(b))
             for lo in range(0, len(b), 256):
                 block = b.column(at)[lo : lo + 256]

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import sliced
 from tracemill.llm.components import components
 from tracemill.session import stored
 
@@ -63,7 +64,7 @@ def _signed(x: int) -> int:
 
 
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         fps = [_signed(fingerprint(t.as_py())) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
