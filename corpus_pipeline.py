@@ -7,7 +7,8 @@ but the last return the columns of `documents`.
 1. quality: documents that the classifier rejects (score under 0.5) go.
 2. lines: repeated lines go but for one occurrence; documents left without a
    line go; n_chars follows the text.
-3. near_duplicates: one document of each SimHash group stays, the smallest id.
+3. near_duplicates: one document of each group stays, the smallest id; groups
+   hang together by five-word shingles of similarity 0.8 or more.
 4. decontamination: documents that hold a benchmark passage go.
 5. tokens: SentencePiece ids, their number, and whether decoding them gives
    the text back.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, line_dedup, quality, sentencepiece_scan, simhash_dedup
+from tracemill.llm import decontaminate, line_dedup, quality, sentencepiece_scan, shingle_dedup
 from tracemill.session import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,7 +40,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_first(docs.select(*COLUMNS))
+    return shingle_dedup.keep_first(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

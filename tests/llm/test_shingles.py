@@ -1,0 +1,71 @@
+"""Near-duplicates by shingle similarity, against brute force."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill.llm import shingle_dedup
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+
+
+def brute_keep(rows, similarity=0.8):
+    grams = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b):
+                root[find(i)] = find(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), d), d)
+    return set(first.values())
+
+
+def varied(rng, base, edits):
+    w = base.split(" ")
+    for i in rng.sample(range(len(w)), edits):
+        w[i] = f"new{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_groups_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(shingle_dedup, "CHUNK", chunk)
+    rng = random.Random(7)
+    bases = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 100, 200, 400]))) for _ in range(20)]
+    texts = bases + [varied(rng, rng.choice(bases), rng.randint(0, 4)) for _ in range(150)] + ["one two", "ONE two", "one three", None, ""]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert {r["doc_id"] for r in shingle_dedup.keep_first(frame(spark, rows)).collect()} == brute_keep(rows)
+
+
+def test_stage_finds_one_replaced_word(spark, sf):
+    """A document with one word in a hundred replaced is a near-duplicate for the stage."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    bases = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate(bases)] + [(1000 + i, varied(rng, t, 1)) for i, t in enumerate(bases)]
+    kept = corpus_pipeline.near_duplicates_stage(spark, frame(spark, rows), sf)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(100))
+    assert shingle_dedup.keep_first(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_unspaced_scripts_have_words():
+    h, cuts = shingle_dedup.shingles(["漢字仮名交文章", "漢字仮名交", None])
+    assert cuts.tolist() == [0, 3, 4, 4] and h[3] in h[:3]

@@ -1,0 +1,209 @@
+"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+
+1. A document is the set of hashes of its shingles of `width` words (lower
+   case, divided at blanks; a character of a script without blanks is a word
+   by itself). Documents with equal sets are one class.
+2. MinHash: BANDS keys of ROWS minima each. Two sets of similarity s share a
+   key with probability 1 - (1 - s**ROWS)**BANDS: 0.9995 at 0.8.
+3. Classes under one key are candidates. First each is compared with one
+   pivot of its key, so a large group costs no more pairs than it has members;
+   then, within the keys whose classes the links don't join completely, all
+   pairs across the parts, in chunks.
+4. Every candidate is verified by the exact similarity of its sets of hashes.
+
+Null and wordless texts have the empty set and are one class. Sets have hashes
+of 64 bits: shingles that collide would count as equal.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracemill.llm.batches import sliced
+from tracemill.llm.components import components
+from tracemill.llm.text_hash import mix, span_hash, words_of
+from tracemill.session import path_bytes, stored
+
+WIDTH, SIMILARITY = 5, 0.8
+ROWS, BANDS = 5, 24
+CHUNK = 512  # classes of one key that are compared with one another in one group
+BATCH_BYTES = 256 << 10
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, ROWS * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, cuts): the distinct, sorted shingle hashes of text i are hashes[cuts[i]:cuts[i + 1]]."""
+    data = [UNSPACED.sub(r" \g<0> ", (t or "").lower()).encode("utf-8", "replace") for t in texts]
+    a = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+    starts, ends = words_of(a, _BLANK[a])
+    word = span_hash(a.astype(np.uint64), starts, ends)
+    owner = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, side="right")
+    words = np.bincount(owner, minlength=len(texts))
+    last = np.cumsum(words)[owner]
+    at = np.arange(len(owner))
+    heads = np.flatnonzero((at + width <= last) | (at == last - words[owner]))
+    h = span_hash(word, heads, np.minimum(heads + width, last[heads]))
+    owner = owner[heads]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[fresh], np.searchsorted(owner[fresh], np.arange(len(texts) + 1))
+
+
+def band_keys(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BANDS keys of each set, and one byte of each of its minima; sets are not empty."""
+    keys = np.empty((len(cuts) - 1, BANDS), np.uint64)
+    sketch = np.empty((len(cuts) - 1, BANDS * ROWS), np.uint8)
+    for band in range(BANDS):
+        key = np.full(len(keys), band, np.uint64)
+        for i in range(band * ROWS, (band + 1) * ROWS):
+            least = np.minimum.reduceat(h * _FACTORS[i], cuts[:-1])
+            key = mix(key * np.uint64(31) + least)
+            sketch[:, i] = mix(least)
+        keys[:, band] = key
+    return keys, sketch
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= BATCH_BYTES):
+            size += len(texts[hi] or "")
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def _hashed(width: int) -> callable:
+    """(doc_id, th, text) -> (doc_id, th, sh, n, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = b.column(2).to_pylist()
+            for lo, hi in _pieces(texts):
+                h, cuts = shingles(texts[lo:hi], width)
+                n = np.diff(cuts)
+                some = n > 0
+                sh = np.zeros(hi - lo, np.uint64)
+                sh[some] = span_hash(h, cuts[:-1][some], cuts[1:][some])
+                keys = band_keys(h, np.append(cuts[:-1][some], len(h)))[0] if some.any() else np.empty((0, BANDS), np.uint64)
+                ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sh.view(np.int64)), pa.array(n, pa.int32()), lists], names=["doc_id", "th", "sh", "n", "keys"])
+
+    return run
+
+
+def _sets(width: int) -> callable:
+    """(sh, text) -> (sh, grams, keys, sketch); texts have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = b.column(1).to_pylist()
+            for lo, hi in _pieces(texts):
+                h, cuts = shingles(texts[lo:hi], width)
+                keys, sketch = band_keys(h, cuts)
+                lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(x.ravel().view(np.int64))) for c, x in ((cuts, h), (np.arange(len(keys) + 1) * BANDS, keys))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["sh", "grams", "keys", "sketch"])
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _verified(similarity: float) -> callable:
+    """(a, b, ga, gb) -> (a, b) of those that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 64):
+            ok = [jaccard(x.values.to_numpy(), y.values.to_numpy()) >= similarity - 1e-9 for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _crossing(similarity: float) -> callable:
+    """The rows of one key and one pair of chunks -> all similar pairs across chunks (or within the one chunk) and parts whose first common key this is."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        grams = [x.values.to_numpy() for x in rows["grams"].combine_chunks()]
+        keys = np.stack([x.values.to_numpy() for x in rows["keys"].combine_chunks()])
+        sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in rows["sketch"]])
+        k, i, j = (rows[c][0].as_py() for c in ("k", "i", "j"))
+        sh, part, chunk = (rows[c].to_numpy() for c in ("sh", "part", "chunk"))
+        n = np.array([len(g) for g in grams])
+        ones = np.flatnonzero(chunk == i)
+        others = ones if i == j else np.flatnonzero(chunk == j)
+        out = []
+        for x in ones:
+            y = others[part[others] != part[x]]
+            y = y[y > x] if i == j else y
+            y = y[np.minimum(n[y], n[x]) >= np.maximum(n[y], n[x]) * similarity - 1e-9]
+            y = y[(sketch[y] == sketch[x]).mean(axis=1) >= similarity - 0.18]  # five standard deviations of the estimate
+            common = keys[y] == keys[x]
+            y = y[keys[x][common.argmax(axis=1)] == k]
+            out += [(min(sh[x], sh[z]), max(sh[x], sh[z])) for z in y if jaccard(grams[x], grams[z]) >= similarity - 1e-9]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """(each, comps): (doc_id, th, sh) for every row of docs(doc_id, text), and (sh, comp) for the sets that are linked to others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    each = stored(rows.mapInArrow(_hashed(width), "doc_id long, th long, sh long, n int, keys array<long>"), "shingles")
+    keyed = stored(each.select(F.explode("keys").alias("k"), "sh", "n").distinct(), "shingle-keys")
+    shared = keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    members = stored(keyed.join(shared, "k"), "shingle-members")
+
+    # the sets of the classes with a common key, from one document of each
+    firsts = each.join(members.select("sh").distinct(), "sh").groupBy("sh").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+    firsts = stored(firsts.select("sh", F.col("f.doc_id").alias("d"), F.col("f.th").alias("t")), "shingle-firsts")
+    asked = F.broadcast(firsts) if path_bytes(docs.sparkSession, firsts._stored_at) <= broadcast_bytes else firsts
+    texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == F.col("t"))).select("sh", "text")
+    sets = stored(texts.mapInArrow(_sets(width), "sh long, grams array<long>, keys array<long>, sketch binary").dropDuplicates(["sh"]), "shingle-sets")
+    left, right = sets.select(F.col("sh").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("sh").alias("b"), F.col("grams").alias("gb"))
+    fits = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - F.lit(1e-9)
+
+    pivots = members.groupBy("k").agg(F.min(F.struct("sh", "n")).alias("p")).select("k", F.col("p.sh").alias("sh2"), F.col("p.n").alias("n2"))
+    pairs = members.join(pivots, "k").where("sh <> sh2").where(fits).select(F.least("sh", "sh2").alias("a"), F.greatest("sh", "sh2").alias("b")).distinct()
+    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_verified(similarity), "a long, b long"), "shingle-links")
+    comps = stored(components(links).toDF("sh", "comp"), "shingle-parts")
+    parts = members.join(comps, "sh", "left").select("k", "sh", "n", F.coalesce("comp", "sh").alias("part"))
+    torn = parts.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    # a large key is divided into chunks, and each pair of chunks is a group by itself
+    chunks = torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q"))
+    dealt = parts.join(chunks, "k").withColumn("chunk", F.pmod(F.xxhash64("sh"), F.col("q")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sh", "part").join(sets, "sh")
+    more = stored(dealt.groupBy("k", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
+    if not more.isEmpty():
+        comps = stored(components(links.union(more)).toDF("sh", "comp"), "shingle-parts")
+    return each.select("doc_id", "th", "sh"), comps
+
+
+def keep_first(docs: DataFrame, **params) -> DataFrame:
+    """docs without all but one document of each group: the one with the smallest (doc_id, text hash) stays; null ids come last."""
+    each, comps = groups(docs.select("doc_id", "text"), **params)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = each.groupBy("sh").agg(F.min(rank).alias("first"))
+    lowest = classes.join(comps, "sh", "left").groupBy(F.coalesce("comp", "sh").alias("comp")).agg(F.min("first").alias("first"))
+    stays = lowest.select(F.col("first.doc_id").alias("__doc"), F.col("first.th").alias("__th"))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th"))
+    return docs.join(stays, on, "left_semi")
