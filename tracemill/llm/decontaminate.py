@@ -5,7 +5,9 @@ number, and names (capitalised words inside a sentence) become typed
 placeholders, everything else its lower-case form. Windows of eight tokens (an
 item of five to seven is one window) with enough literal tokens are hashed and
 looked up in the index of all items' windows. A second form keeps names as
-literals, so that copies in another case are found as well.
+literals, so that copies in another case are found as well. A third takes every
+token as it is, however few are literals, so that plain copies of texts dense
+in figures are found.
 
 Hits on one diagonal (document position minus item position) are joined to
 runs as long as the slots agree: one item value must stand for one document
@@ -120,13 +122,13 @@ def tokens(texts: list[str]) -> Tokens:
 
 
 def windows(t: Tokens, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(starts, hashes) of all windows of `size` tokens inside one text with enough literals, typed and then plain."""
+    """(starts, hashes) of all windows of `size` tokens inside one text: typed and then plain, with enough literals, and then all, fully literal."""
     n = len(t.kind) - size + 1
     if n <= 0:
         return
     at = np.arange(n)
     inside = t.owner[:n] == t.owner[size - 1 :]
-    for values, literal in ((t.typed, t.kind == LITERAL), (t.plain, (t.kind == LITERAL) | (t.kind == NAME))):
+    for values, literal in ((t.typed, t.kind == LITERAL), (t.plain, (t.kind == LITERAL) | (t.kind == NAME)), (t.surface, np.ones(len(t.kind), bool))):
         total = np.concatenate([[0], np.cumsum(literal)])
         own = at[inside & (total[size:] - total[:-size] >= LITERALS * size)]
         yield own, span_hash(values, own, own + size)
