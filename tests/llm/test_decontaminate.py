@@ -15,3 +15,16 @@ def matched(spark, item, text):
 def test_copies_dense_in_figures(spark, item):
     assert matched(spark, item, f"before it, {item}, and after") == [(len(item.split()), 0)]
     assert matched(spark, item, "before it and after") == []
+
+
+def test_values_read_as_other_types(spark):
+    item = "Anna buys 5 apples and Anna's sister eats 2 of them"
+    assert matched(spark, item, f"Question: {item}") == [(12, 0)]
+
+
+def test_runs_go_on_after_the_earlier_slot():
+    """One number of the item becomes two: the run starts anew after the first of the two, not at the second."""
+    item = "take 7 red stones from the big old box and put 7 of them into the small new bag near my door today"
+    text = item.replace("take 7", "take 8").replace("put 7", "put 9")
+    index, t = decontaminate.Index([(1, item)]), decontaminate.tokens([text])
+    assert decontaminate.runs(index, t, index.hits(t), 13) == {(0, 0): (21, 1)}

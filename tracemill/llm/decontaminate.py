@@ -11,7 +11,9 @@ in figures are found.
 
 Hits on one diagonal (document position minus item position) are joined to
 runs as long as the slots agree: one item value must stand for one document
-value throughout and the other way round. A document is reported for an item
+value throughout and the other way round. Values are compared as words, whatever
+type they were read as; at a conflict the run goes on from just after the
+earlier of the two slots. A document is reported for an item
 if a consistent run covers `cover` tokens (or the whole of a shorter item).
 `changed` counts the slots whose values differ: zero is a plain copy, more a
 re-parameterised one.
@@ -28,6 +30,7 @@ documents the result is empty; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,20 +183,23 @@ def runs(index: Index, t: Tokens, hits: list[tuple[int, int, int]], cover: int)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for (text, item, shift), spots in lines.items():
         need = min(cover, int(index.start[item + 1] - index.start[item]))
-        there: dict = {}
-        back: dict = {}
-        length = changed = 0
-        last = None
+        there: dict[int, tuple[int, int]] = {}  # item value -> (document value, where it was last)
+        back: dict[int, tuple[int, int]] = {}
+        differ: list[int] = []
+        start = last = None
         for d in sorted(spots):
             i = d - shift
-            slot = own.kind[i] != LITERAL or t.kind[d] != LITERAL
-            a, b = (int(own.kind[i]), int(own.surface[i])), (int(t.kind[d]), int(t.surface[d]))
-            if last is None or d != last + 1 or slot and (there.get(a, b) != b or back.get(b, a) != a):
-                there, back, length, changed = {}, {}, 0, 0
-            if slot:
-                there[a], back[b] = b, a
-                changed += a[1] != b[1]
-            length, last = length + 1, d
+            if last is None or d != last + 1:
+                there, back, differ, start = {}, {}, [], d
+            if own.kind[i] != LITERAL or t.kind[d] != LITERAL:
+                a, b = int(own.surface[i]), int(t.surface[d])
+                for held, x, y in ((there, a, b), (back, b, a)):
+                    if x in held and held[x][0] != y:
+                        start = max(start, held[x][1] + 1)
+                    held[x] = (y, d)
+                if a != b:
+                    differ.append(d)
+            length, changed, last = d - start + 1, len(differ) - bisect_left(differ, start), d
             if length >= need and (length, -changed) > (best.get((text, item), (0, 0))[0], -best.get((text, item), (0, 0))[1]):
                 best[text, item] = (length, changed)
     return best
