@@ -69,3 +69,9 @@ def test_stage_finds_one_replaced_word(spark, sf):
 def test_unspaced_scripts_have_words():
     h, cuts = shingle_dedup.shingles(["漢字仮名交文章", "漢字仮名交", None])
     assert cuts.tolist() == [0, 3, 4, 4] and h[3] in h[:3]
+
+
+def test_repeated_rows_and_null_ids_stay_once(spark):
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "only without id"), (None, "only without id"), (4, "some other text"), (5, None), (5, None)]
+    kept = shingle_dedup.keep_first(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, "a b c d e f"), (None, "only without id"), (4, "some other text"), (5, None)], key=str)

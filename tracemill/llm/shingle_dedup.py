@@ -199,11 +199,15 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest (doc_id, text hash) stays; null ids come last."""
+    """docs with one row of each group: the smallest (doc_id, text hash), null ids last, and of rows that repeat it the one with the smallest columns."""
     each, comps = groups(docs.select("doc_id", "text"), **params)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = each.groupBy("sh").agg(F.min(rank).alias("first"))
+    rows = each.groupBy("sh", "doc_id", "th").agg(F.count("*").alias("c"))
+    classes = rows.groupBy("sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "c")).alias("first"))
     lowest = classes.join(comps, "sh", "left").groupBy(F.coalesce("comp", "sh").alias("comp")).agg(F.min("first").alias("first"))
-    stays = lowest.select(F.col("first.doc_id").alias("__doc"), F.col("first.th").alias("__th"))
+    stays = stored(lowest.select(F.col("first.doc_id").alias("__doc"), F.col("first.th").alias("__th"), F.col("first.c").alias("__c")), "shingle-stays")
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th"))
-    return docs.join(stays, on, "left_semi")
+    many = stays.where("__c > 1")
+    if many.isEmpty():
+        return docs.join(stays, on, "left_semi")
+    repeated = docs.join(many, on).groupBy("__doc", "__th").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return docs.join(stays.where("__c = 1"), on, "left_semi").unionByName(repeated.select("row.*"))
