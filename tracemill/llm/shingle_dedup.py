@@ -4,7 +4,7 @@
    case, divided at blanks; a character of a script without blanks is a word
    by itself). Documents with equal sets are one class.
 2. MinHash: BANDS keys of ROWS minima each. Two sets of similarity s share a
-   key with probability 1 - (1 - s**ROWS)**BANDS: 0.9995 at 0.8.
+   key with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.8.
 3. Classes under one key are candidates. First each is compared with one
    pivot of its key, so a large group costs no more pairs than it has members;
    then, within the keys whose classes the links don't join completely, all
