@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import small_batches
+
 UNKNOWN = "und"
 WINDOW = 256
 BATCH = 256  # windows at a time
@@ -137,6 +139,7 @@ def sample_windows(rows: DataFrame, per_language: int, windows_per_doc: int) ->
 
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     """docs(doc_id, held_out, text) -> doc_id, held_out, lang_pred, score."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     src = docs.select("doc_id", "held_out", F.when(lettered, F.col("text")).alias("text"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.batches import sliced
+from tracemill.llm.batches import sliced, small_batches
 from tracemill.llm.language_id import fold_of
 
 #: 26 letters, capitals, digits, line breaks, blanks, 33 marks, control, lead and trailing bytes of UTF-8.
@@ -118,6 +118,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rank: int = 48, neighbours: int = 15, sharp: float = 4.0) -> Model | None:
     """docs(doc_id, text) that may be learned from, labels(doc_id, quality)."""
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most").select("doc_id", "label")
     sizes = {r["label"]: r["count"] for r in docs.select("doc_id").join(marks, "doc_id").groupBy("label").count().collect()}
     if not sizes:
@@ -138,6 +139,8 @@ def scores(docs: DataFrame, model: Model | None, into: str = "score", keep_text:
     """docs with the score in a new column named `into`; docs must have text."""
     if model is None:
         return docs.withColumn(into, F.lit(0.5)) if keep_text else docs.withColumn(into, F.lit(0.5)).drop("text")
+    small_batches(docs.sparkSession)
+    docs = docs.drop(into)
     at = docs.columns.index("text")
     held = [i for i in range(len(docs.columns)) if keep_text or i != at]
     schema = T.StructType([*[docs.schema.fields[i] for i in held], T.StructField(into, T.DoubleType())])

@@ -19,13 +19,16 @@ neighbours and the piece's score otherwise, and it can be cut anywhere:
 
 A text of one chunk is the case with a single start and end state. The result
 equals the library's for the same model file; the library itself only reads
-the file. Segments between points that no piece spans are looked up in a
-bounded per-worker cache of earlier traces.
+the file. Between two points that no piece spans the path depends on nothing
+else, so all distinct segments of a slice of texts are merged at once: one
+array step does the best merge of every segment. Nothing is kept between
+slices but the vocabulary and a bounded table of compatible neighbours.
 
 Given cases: null text gives null ids, empty text no ids; characters outside
 the vocabulary become byte pieces; repeated rows are encoded each; U+2581 in a
 text reads as a blank, as in the library (decoding returns a blank there); an
-empty table gives an empty one; other columns are carried along by encode().
+empty table gives an empty one; other columns are carried along by encode()
+and decode(), but for one that has the name of the new column: it is replaced.
 """
 
 from __future__ import annotations
@@ -41,14 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.batches import sliced
+from tracemill.llm.batches import sliced, small_batches, unused
 from tracemill.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
 BLOCK = 64
-CACHE = 150_000
-SLICE = 1024  # rows of a batch that are worked on at a time
+CACHE = 30_000  # pairs of neighbours, and long segments, that a worker remembers
+SLICE, SLICE_BYTES = 512, 2 << 20  # rows and bytes of text that are worked on at a time
+WIDE = 48  # characters of a segment that is merged in arrays; longer ones are traced one by one
 META = "▁"
 MARKS = ".,!?;:"
 
@@ -84,7 +88,8 @@ class Lattice:
     """Paths through a vocabulary; lives in a worker and keeps bounded caches."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.fits, self.pairs, self.words, self.old = v, {}, 0, {}, {}
+        self.v, self.fits, self.pairs, self.words = v, {}, 0, {}
+        self._tables()
         #: pieces that can be in an encoding at all: characters, and what their own merges lead to
         self.nodes = {x for x in v.ids if len(x) == 1 or self.merged(x) == [x]}
         #: nodes by character; "" holds the node that ends there
@@ -109,6 +114,80 @@ class Lattice:
 
     # -- pieces ---------------------------------------------------------
 
+    def _tables(self) -> None:
+        """Symbols are piece ids, and FIRST + code point for characters that are no piece; `keys` has all pairs of symbols that merge, with the piece they make."""
+        ids = self.v.ids
+        self.first = len(self.v.pieces)
+        self.span = self.first + 0x110000
+        self.symbol = np.arange(0x110000, dtype=np.int32) + np.int32(self.first)
+        for x, i in ids.items():
+            if len(x) == 1:
+                self.symbol[ord(x)] = i
+        of = lambda x: ids.get(x, self.first + ord(x) if len(x) == 1 else None)
+        found = [(a * self.span + b, i) for x, i in ids.items() for k in range(1, len(x)) if (a := of(x[:k])) is not None and (b := of(x[k:])) is not None]
+        #: a table of slots, found by multiplying the key; further slots follow where one is taken
+        self.bits = max(4, (8 * len(found)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        for key, i in found:
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.made[at] = key, i
+        self.rank = np.full(len(self.v.pieces), -1, np.int32)  # order of the scores; -1: never made
+        order = {x: k for k, x in enumerate(sorted({self.v.scores[x] for x in ids}))}
+        for x, i in ids.items():
+            self.rank[i] = order[self.v.scores[x]]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of merging two symbols, rank -1 where they don't; b is negative where there is none."""
+        key = a.astype(np.int64) * self.span + b
+        at = self._slot(key)
+        there = self.keys[at]
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            there[open_] = self.keys[at[open_]]
+            open_ = open_[(there[open_] != key[open_]) & (there[open_] >= 0)]
+        piece = self.made[at]
+        return np.where((there == key) & (b >= 0), self.rank[piece], np.int32(-1)), piece
+
+    def merge_all(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols, padded with -1, each merged to the end: the best pair of every row first, then leftmost. Merged-away places become -1."""
+        rows, width = symbols.shape
+        out = symbols.copy()
+        live = np.arange(rows)
+        symbols = np.concatenate([symbols, np.full((rows, 1), -1, symbols.dtype)], axis=1)
+        after = np.tile(np.arange(1, width + 2, dtype=np.int8), (rows, 1))
+        before = np.tile(np.arange(-1, width + 1, dtype=np.int8), (rows, 1))
+        rank, piece = np.full((rows, width + 1), -1, np.int32), np.zeros((rows, width + 1), np.int32)
+        r, c = np.nonzero(symbols[:, 1:] >= 0)
+        rank[r, c], piece[r, c] = self._pair(symbols[r, c], symbols[r, c + 1])
+        while len(live):
+            i = rank.argmax(axis=1)
+            at = np.arange(len(live))
+            done = rank[at, i] < 0
+            if 4 * np.count_nonzero(done) > len(live) or done.all():  # what is done leaves the arrays
+                out[live[done]] = symbols[done, :width]
+                live, symbols, after, before, rank, piece, i = (x[~done] for x in (live, symbols, after, before, rank, piece, i))
+                at = np.arange(len(live))
+            elif done.any():
+                at, i = at[~done], i[~done]
+            j = after[at, i]
+            k = after[at, j]
+            symbols[at, i], symbols[at, j], rank[at, j] = piece[at, i], -1, -1
+            after[at, i] = k
+            before[at, np.minimum(k, width)] = i
+            h = before[at, i]
+            some = np.flatnonzero(h >= 0)
+            # the place `width` holds no symbol, so a pair that ends there has no rank
+            left, right = np.concatenate([i, h[some]]), np.concatenate([k, i[some]])
+            at = np.concatenate([at, at[some]])
+            rank[at, left], piece[at, left] = self._pair(symbols[at, left], symbols[at, np.minimum(right, width)])
+        return out
+
     def merged(self, text: str) -> list[str]:
         """What merging leaves of a short text; best score first, then leftmost."""
         score, none = self.v.scores.get, -np.inf
@@ -216,66 +295,89 @@ class Lattice:
         return pieces
 
     def word(self, segment: str) -> list[int]:
-        """Ids of a segment that no piece crosses; it is divided further where its neighbouring characters stand together in no piece."""
-        found, lo, joined = self.old.get(segment), 0, self.joined
+        """Ids of a long segment that no piece crosses; it is divided where its neighbouring characters stand together in no piece."""
+        found, lo, joined = self.words.get(segment), 0, self.joined
         if found is None:
             found = []
             for i in range(1, len(segment) + 1):
                 if i == len(segment) or segment[i - 1 : i + 1] not in joined:
-                    part = segment[lo:i]
-                    known = self.words.get(part) or self.old.get(part)
-                    if known is None:
-                        known = list(chain.from_iterable(map(self.id_list, self.path(part))))
-                        if i - lo <= 64 and i - lo < len(segment):
-                            self.keep(part, known)
-                    found += known
+                    found += chain.from_iterable(map(self.id_list, self.path(segment[lo:i])))
                     lo = i
-        if len(segment) <= 64:
-            self.keep(segment, found)
+            if len(segment) <= 4 * WIDE:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[segment] = found
         return found
 
-    def keep(self, segment: str, ids: list[int]) -> None:
-        """Two generations: what the older one still gives is kept again."""
-        if len(self.words) >= CACHE:
-            self.old, self.words = self.words, {}
-        self.words[segment] = ids
+    def segments(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cuts) of segments, data[ends[i - 1]:ends[i]]: the ids of segment i are ids[cuts[i]:cuts[i + 1]]."""
+        chars = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+        heads = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        hi = heads[ends]
+        size = np.diff(hi, prepend=0)
+        lo = hi - size
+        symbols = self.symbol[chars]
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segment, place in it, id
+        least = 0
+        for most in (6, 10, 16, 28, WIDE):
+            own = np.flatnonzero((size > least) & (size <= most))
+            least = most
+            for part in np.array_split(own, -(-len(own) // 50_000) or 1):
+                if len(part):
+                    place = np.arange(most)
+                    there = place < size[part, None]
+                    got = self.merge_all(np.where(there, symbols[np.minimum(lo[part, None] + place, len(symbols) - 1)], -1))
+                    r, c = np.nonzero(got >= 0)
+                    kept.append((part[r], c, got[r, c]))
+        long = np.flatnonzero(size > WIDE)
+        lists = [self.word(data[(ends[i - 1] if i else 0) : ends[i]].decode("utf-8", "replace")) for i in long]
+        if len(long):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            kept.append((np.repeat(long, n), _spread(np.zeros(len(n), np.int64), n), np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))))
+        at, place, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((place, at))
+        at, ids = at[order], ids[order].astype(np.int64)
+        if len(odd := np.flatnonzero(ids >= self.first)):  # characters outside the vocabulary: byte pieces
+            each = [self.id_list(chr(x - self.first)) for x in ids[odd]]
+            n = np.ones(len(ids), np.int64)
+            n[odd] = [len(x) for x in each]
+            fresh = np.repeat(ids, n)
+            fresh[_spread((np.cumsum(n) - n)[odd], n[odd])] = np.fromiter(chain.from_iterable(each), np.int64, int(n[odd].sum()))
+            at, ids = np.repeat(at, n), fresh
+        return ids.astype(np.int32), np.searchsorted(at, np.arange(len(ends) + 1))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text (with its leading blank) that is one chunk."""
-        out: list[int] = []
-        put = out.extend
-        for s in self.segment.findall(text):
-            put(self.words.get(s) or self.word(s))
-        return out
+        return self._flat([text.encode("utf-8", "replace")])[0].tolist()
 
-    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
-        """Ids of texts of one chunk each. Segments are cut, and equal ones found, over all texts at once; each distinct one is looked up or traced."""
-        data = [b"" if t is None else surface(t).encode("utf-8", "replace") for t in texts]
+    def _flat(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts of one chunk each. Segments are cut, and equal ones found, over all texts at once."""
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         opens = np.concatenate([[0], np.cumsum(sizes)])
         joined = b"".join(data)
         a = np.frombuffer(joined, np.uint8)
-        counts = np.zeros(len(texts), np.int64)
-        flat = np.zeros(0, np.int32)
-        if len(a):
-            blank, line = a == 32, a == 10
-            starts = np.zeros(len(a), bool)
-            starts[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
-            if self.marked:
-                starts[1:] |= _MARK[a[1:]] & _LETTER[a[:-1]]
-            starts[opens[:-1][sizes > 0]] = True
-            at = np.flatnonzero(starts)
-            offsets = np.append(at, len(a)).astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-            known = [self.words.get(w) or self.word(w) for w in (x.decode() for x in words.dictionary.to_pylist())]
-            lengths = np.fromiter(map(len, known), np.int64, len(known))
-            pool = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
-            code = words.indices.to_numpy()
-            n = lengths[code]
-            flat = pool[_spread((np.cumsum(lengths) - lengths)[code], n)]
-            total = np.concatenate([[0], np.cumsum(n)])
-            edge = np.searchsorted(at, opens)
-            counts = np.diff(total[edge])
+        if not len(a):
+            return np.zeros(0, np.int32), np.zeros(len(data), np.int64)
+        blank, line = a == 32, a == 10
+        starts = np.zeros(len(a), bool)
+        starts[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+        if self.marked:
+            starts[1:] |= _MARK[a[1:]] & _LETTER[a[:-1]]
+        starts[opens[:-1][sizes > 0]] = True
+        at = np.flatnonzero(starts)
+        offsets = np.append(at, len(a)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        code, distinct = words.indices.to_numpy(), words.dictionary
+        ends = np.frombuffer(distinct.buffers()[1], np.int32)[1 : len(distinct) + 1]
+        pool, cuts = self.segments(distinct.buffers()[2].to_pybytes()[: ends[-1]], ends)
+        n = np.diff(cuts)[code]
+        flat = pool[_spread(cuts[:-1][code], n)]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return flat, np.diff(total[np.searchsorted(at, opens)])
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of texts of one chunk each."""
+        flat, counts = self._flat([b"" if t is None else surface(t).encode("utf-8", "replace") for t in texts])
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*[t is None for t in texts], False])), pa.array(flat, pa.int32()))
 
@@ -533,7 +635,7 @@ def _single(shared: _Shared, at: int, schema: T.StructType) -> callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattice(shared)
-        for part in sliced(batches, SLICE):
+        for part in sliced(batches, SLICE, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*part.columns, lat.encode_all(part.column(at).to_pylist())], names=names)
 
     return run
@@ -541,15 +643,18 @@ def _single(shared: _Shared, at: int, schema: T.StructType) -> callable:
 
 def encode(docs: DataFrame, model: str = MODEL, into: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """docs (with text) and, in a new column, the ids of the whole text."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(into)
     v = Vocabulary(model)
     shared = _Shared(docs, v)
+    row, other, list_ = unused(docs.withColumn(into, F.lit(0)), "__key", "__key2", "__ids")
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
     giant = F.coalesce(F.char_length("text") >= chunk, F.lit(False))
     at = docs.columns.index("text")
     small = docs.where(~giant).mapInArrow(_single(shared, at, schema), schema)
 
-    rows = stored(docs.where(giant).withColumn("__key", F.monotonically_increasing_id()), "giant-texts")
-    chunks = rows.select(F.col("__key").alias("key"), "text").mapInArrow(_cut(chunk, v.longest), "key long, k long, left string, body string, right string")
+    rows = stored(docs.where(giant).withColumn(row, F.monotonically_increasing_id()), "giant-texts")
+    chunks = rows.select(F.col(row).alias("key"), "text").mapInArrow(_cut(chunk, v.longest), "key long, k long, left string, body string, right string")
     chunks = stored(chunks.repartition(F.xxhash64("key", "k")), "giant-chunks")
     matrices = stored(chunks.mapInArrow(_matrices(shared), "key long, k long, m string").withColumn("block", F.floor(F.col("k") / BLOCK).cast("long")), "giant-matrices")
     products = matrices.groupBy("key", "block").applyInArrow(_block_product, "key long, block long, m string")
@@ -557,20 +662,22 @@ def encode(docs: DataFrame, model: str = MODEL, into: str = "ids", chunk: int =
     blocks = products.groupBy("key").applyInArrow(_scan_blocks, f"key long, block long, {states}")
     ends = matrices.join(blocks, ["key", "block"]).groupBy("key", "block").applyInArrow(_scan_chunks, f"key long, k long, {states}")
     traced = chunks.join(ends, ["key", "k"]).mapInArrow(_traces(shared), "key long, k long, ids array<int>")
-    whole = traced.groupBy(F.col("key").alias("__key2")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("__ids"))
-    found = rows.join(whole, F.col("__key") == F.col("__key2")).select(*[rows[c] for c in docs.columns], F.col("__ids").alias(into))
-    return small.unionByName(found) if len(set(schema.names)) == len(schema.names) else small.union(found)
+    whole = traced.groupBy(F.col("key").alias(other)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias(list_))
+    found = rows.join(whole, F.col(row) == F.col(other)).select(*[rows[c] for c in docs.columns], F.col(list_).alias(into))
+    return small.union(found)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """rows with the text of their ids in a new column; null ids give null."""
+    small_batches(rows.sparkSession)
+    rows = rows.drop(into)
     shared = _Shared(rows, Vocabulary(model))
     at = rows.columns.index(ids)
     schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattice(shared)
-        for part in sliced(batches, SLICE):
+        for part in sliced(batches, SLICE, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*part.columns, lat.decode_all(part.column(at))], names=schema.names)
 
     return rows.mapInArrow(run, schema)

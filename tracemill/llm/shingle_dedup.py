@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import sliced
+from tracemill.llm.batches import sliced, small_batches, unused
 from tracemill.llm.components import components
 from tracemill.llm.text_hash import mix, span_hash, words_of
 from tracemill.session import path_bytes, stored
@@ -166,6 +166,7 @@ def _crossing(similarity: float) -> callable:
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(each, comps): (doc_id, th, sh) for every row of docs(doc_id, text), and (sh, comp) for the sets that are linked to others."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     each = stored(rows.mapInArrow(_hashed(width), "doc_id long, th long, sh long, n int, keys array<long>"), "shingles")
     keyed = stored(each.select(F.explode("keys").alias("k"), "sh", "n").distinct(), "shingle-keys")
@@ -204,10 +205,11 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     rows = each.groupBy("sh", "doc_id", "th").agg(F.count("*").alias("c"))
     classes = rows.groupBy("sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "c")).alias("first"))
     lowest = classes.join(comps, "sh", "left").groupBy(F.coalesce("comp", "sh").alias("comp")).agg(F.min("first").alias("first"))
-    stays = stored(lowest.select(F.col("first.doc_id").alias("__doc"), F.col("first.th").alias("__th"), F.col("first.c").alias("__c")), "shingle-stays")
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th"))
-    many = stays.where("__c > 1")
+    doc, hashed, times, row = unused(docs, "__doc", "__th", "__c", "__row")
+    stays = stored(lowest.select(F.col("first.doc_id").alias(doc), F.col("first.th").alias(hashed), F.col("first.c").alias(times)), "shingle-stays")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(hashed))
+    many = stays.where(F.col(times) > 1)
     if many.isEmpty():
         return docs.join(stays, on, "left_semi")
-    repeated = docs.join(many, on).groupBy("__doc", "__th").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
-    return docs.join(stays.where("__c = 1"), on, "left_semi").unionByName(repeated.select("row.*"))
+    repeated = docs.join(many, on).groupBy(doc, hashed).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias(row))
+    return docs.join(stays.where(F.col(times) == 1), on, "left_semi").union(repeated.select(f"{row}.*"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import sliced
+from tracemill.llm.batches import sliced, small_batches
 from tracemill.llm.components import components
 from tracemill.session import stored
 
@@ -71,6 +71,7 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per document, fp as a signed long."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map, "doc_id long, fp long")
 
 
