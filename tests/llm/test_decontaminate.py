@@ -1,6 +1,9 @@
 """Plain copies that templates alone miss."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.llm import decontaminate
 
@@ -26,5 +29,112 @@ def test_runs_go_on_after_the_earlier_slot():
     """One number of the item becomes two: the run starts anew after the first of the two, not at the second."""
     item = "take 7 red stones from the big old box and put 7 of them into the small new bag near my door today"
     text = item.replace("take 7", "take 8").replace("put 7", "put 9")
-    index, t = decontaminate.Index([(1, item)]), decontaminate.tokens([text])
-    assert decontaminate.runs(index, t, index.hits(t), 13) == {(0, 0): (21, 1)}
+    assert decontaminate.Index([(1, item)]).find([text], 13) == {(0, 0): (21, 1)}
+
+
+def test_names_of_several_words(spark):
+    item = "A ship sails from Boston to the old harbour in 5 days and a faster ship sails from Boston in 3 days with less cargo"
+    text = item.replace("Boston", "New York City").replace("5", "9")
+    (covered, changed), = matched(spark, item, f"once {text} again")
+    assert covered == len(item.split()) and changed == 3
+    short = "a ship sails from Boston to the old harbour and then to Boston"
+    assert matched(spark, short, short.replace("Boston", "New York")) == [(13, 2)]
+    assert matched(spark, short, short.replace("from Boston", "from New York").replace("to Boston", "to Dover")) == []
+
+
+def test_short_items_are_whole_lines(spark):
+    assert matched(spark, "Name the capital", "first\n  name the CAPITAL!\nlast") == [(3, 0)]
+    assert matched(spark, "Name the capital", "please name the capital of it") == []
+
+
+def brute(item, text, cover):
+    """The longest run by definition: every pair of places, every run between them."""
+    best = None
+    for of, other, forms in zip(decontaminate.tokens([item]), decontaminate.tokens([text]), (3, 1), strict=True):
+        n, m = len(of.kind), len(other.kind)
+        need, size = min(cover, n), min(decontaminate.WINDOW, n)
+
+        def literal(t, form):
+            return (t.kind == 0) | ((t.kind == 3) & (form == 1)) | (form == 2)
+
+        def value(t, k, form):
+            return (t.typed, t.plain, t.surface)[form][k]
+
+        def anchor(i, d):
+            return any(all(value(of, i + x, f) == value(other, d + x, f) for x in range(size)) and all(literal(t, f)[k : k + size].sum() >= decontaminate.LITERALS * size for t, k in ((of, i), (other, d))) for f in range(forms))
+
+        for shift in range(-n, m):
+            places = [i for i in range(n) if 0 <= i + shift < m]
+            if not places:
+                continue
+            anchors = [i for i in places if i + size <= n and i + shift + size <= m and anchor(i, i + shift)]
+            if not anchors:
+                continue
+            for s in places:
+                there, back, changed = {}, {}, 0
+                for i in range(s, n):
+                    d = i + shift
+                    if d >= m:
+                        break
+                    a, b = of.surface[i], other.surface[d]
+                    if a != b and not (of.kind[i] == other.kind[d] != 0) and not (of.capital[i] and other.capital[d]):
+                        break
+                    if a != b or of.kind[i] or other.kind[d]:
+                        if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                            break
+                        changed += a != b
+                    if i - s + 1 >= need and any(s <= x and x + size <= i + 1 for x in anchors) and (best is None or (i - s + 1, -changed) > (best[0], -best[1])):
+                        best = i - s + 1, int(changed)
+    return best
+
+
+def test_against_brute_force():
+    rng = random.Random(6)
+    plain = "the a ship of red stone goes to market with old boxes and sells them for less than before".split()
+    names = ["Boston", "New York", "Anna", "Rio Grande Valley", "Oslo"]
+
+    def words(n):
+        return [rng.choice([rng.choice(plain)] * 6 + [str(rng.randint(1, 9)), f"{rng.randint(1, 9)} km", rng.choice(names)] + ["Then"]) for _ in range(n)]
+
+    found = missed = 0
+    for _ in range(300):
+        item = words(rng.randint(5, 22))
+        swap = {x: rng.choice([x, rng.choice(names) if x in names else f"{rng.randint(1, 9)} km" if "km" in x else str(rng.randint(1, 9))]) for x in item if x in names or x[0].isdigit()}
+        copy = [swap.get(x, x) if rng.random() < 0.9 else rng.choice([x, rng.choice(plain), "7"]) for x in item]
+        text = " ".join(words(rng.randint(0, 6)) + copy + words(rng.randint(0, 6)))
+        item = " ".join(item)
+        for cover in (13, 9):
+            want = brute(item, text, cover)
+            assert decontaminate.Index([(1, item)]).find([text], cover).get((0, 0)) == want, (item, text)
+            found += want is not None
+            missed += want is None
+    assert found > 100 and missed > 100
+
+
+def test_recall_of_changed_copies():
+    """Items with all numbers and names changed consistently, inside other text."""
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprst") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    names = [" ".join(w.capitalize() for w in rng.sample(vocab, rng.choice([1, 1, 2, 3]))) for _ in range(80)]
+    items, texts = [], []
+    for _ in range(150):
+        values = {f"#{k}": (str(rng.randint(2, 99)), str(rng.randint(100, 999))) for k in range(3)} | {f"@{k}": tuple(rng.sample(names, 2)) for k in range(2)}
+        words = [rng.choice(vocab) for _ in range(4)] + [rng.choice([rng.choice(vocab)] * 5 + list(values)) for _ in range(rng.randint(14, 40))]
+        one, two = (" ".join(values[w][k] if w in values else w for w in words) for k in (0, 1))
+        items.append(one)
+        texts.append(" ".join([*rng.choices(vocab, k=30), two, *rng.choices(vocab, k=30)]))
+    index = decontaminate.Index(list(enumerate(items)))
+    got = index.find(texts, 13)
+    assert sum((i, i) in got for i in range(150)) >= 0.9 * 150 and all(a == b for a, b in got)
+
+
+def test_odd_cases(spark):
+    item = "seven plain words make one short question"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, "x y z u v w"), (3, None), (4, ""), (5, " .,")], "item_id long, text string")
+    rows = [(1, f"so {item} then"), (1, f"so {item} then"), (1, "clean"), (None, item), (None, "clean"), (2, "word " * 60_000 + item), (3, None), (4, ""), (5, " \n ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__doc", F.lit(1)).withColumn("covered", F.lit("x")).withColumn("item_id", F.lit("y"))
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()]
+    assert sorted(got, key=str) == sorted([(i, k) for i in (1, 1, None, 2) for k in (1, 2)], key=str)
+    out = decontaminate.clean(d, bench)
+    assert out.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, "clean"), (None, "clean"), (3, None), (4, ""), (5, " \n ")], key=str)

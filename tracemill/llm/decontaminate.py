@@ -2,30 +2,36 @@
 
 Benchmark items and documents are read as tokens; numbers, units that follow a
 number, and names (capitalised words inside a sentence) become typed
-placeholders, everything else its lower-case form. Windows of eight tokens (an
-item of five to seven is one window) with enough literal tokens are hashed and
-looked up in the index of all items' windows. A second form keeps names as
-literals, so that copies in another case are found as well. A third takes every
-token as it is, however few are literals, so that plain copies of texts dense
-in figures are found.
-
-Hits on one diagonal (document position minus item position) are joined to
-runs as long as the slots agree: one item value must stand for one document
-value throughout and the other way round. Values are compared as words, whatever
-type they were read as; at a conflict the run goes on from just after the
-earlier of the two slots. A document is reported for an item
-if a consistent run covers `cover` tokens (or the whole of a shorter item).
-`changed` counts the slots whose values differ: zero is a plain copy, more a
-re-parameterised one.
+placeholders, everything else its lower-case form. Windows of eight tokens (a
+shorter item is one window) with enough literal tokens are hashed and looked up
+in the index of all items' windows. A second form keeps names as literals, so
+that copies in another case are found as well. A third takes every token as it
+is, however few are literals, so that plain copies of texts dense in figures
+are found. All this is done again with every name of several words as one
+placeholder, so that a longer name may stand for a shorter one.
+
+A hit gives a diagonal (document position minus item position). Tokens on it
+agree if they are equal, both numbers, both units, or both capitalised. Runs of
+agreeing tokens that hold a hit are joined as long as the slots agree: one item
+value must stand for one document value throughout and the other way round.
+Values are compared as words, whatever type they were read as; at a conflict
+the run goes on from just after the earlier of the two slots. A document is
+reported for an item if a consistent run covers `cover` tokens (or the whole of
+a shorter item). `changed` counts the slots whose values differ: zero is a
+plain copy, more a re-parameterised one. Items under five tokens would be found
+in ordinary sentences; they are looked for as whole lines, word for word.
 
 The index is built in slabs of `slab_bytes` of item text at most; each slab is
 broadcast and all documents are scanned against it, so memory is bounded
 whatever the benchmark's size.
 
-Given cases: null and empty texts match nothing, nor do items under five
-tokens; repeated documents give repeated rows; repeated items one row for each
-item_id; null ids are reported as null; with an empty benchmark or no
-documents the result is empty; other columns are ignored.
+Given cases: null, empty and wordless texts match nothing; a very long text is
+scanned whole, by itself; repeated documents give repeated rows; repeated items
+one row for each item_id; of runs of equal length the one with fewer changed
+slots counts; null ids are reported as null; with an empty benchmark or no
+documents the result is empty. contaminated() ignores other columns; clean()
+carries all columns along, and goes by the text alone, so repeated and null ids
+don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import sliced
+from tracemill.llm.batches import sliced, small_batches
 from tracemill.llm.text_hash import span_hash, words_of
 
 WINDOW, SHORTEST, LITERALS = 8, 5, 0.6
@@ -70,7 +76,10 @@ class Tokens:
     plain: np.ndarray  # hash with names as literals
     kind: np.ndarray
     surface: np.ndarray  # hash of the lower-case word
+    capital: np.ndarray
     owner: np.ndarray
+    opens: np.ndarray  # first of its line
+    closes: np.ndarray  # last of its line
 
 
 _unit_hashes: np.ndarray | None = None
@@ -82,8 +91,8 @@ def _word_hashes(text: str) -> np.ndarray:
     return span_hash(a.astype(np.uint64), s, e)
 
 
-def tokens(texts: list[str]) -> Tokens:
-    """The tokens of all texts, in order; owner is the text's place in the list."""
+def tokens(texts: list[str]) -> tuple[Tokens, Tokens]:
+    """The tokens of all texts, in order, by words and with each name of several words as one; owner is the text's place in the list."""
     global _unit_hashes
     if _unit_hashes is None:
         _unit_hashes = np.unique(_word_hashes(" ".join(UNITS)))
@@ -121,35 +130,50 @@ def tokens(texts: list[str]) -> Tokens:
     typed = np.where(kind == LITERAL, surface, MARK[kind])
     plain = np.where(kind == NAME, surface, typed)
     cuts = np.cumsum([len(d) + 1 for d in data])
-    return Tokens(typed, plain, kind, surface, np.searchsorted(cuts, starts, side="right"))
-
-
-def windows(t: Tokens, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(starts, hashes) of all windows of `size` tokens inside one text: typed and then plain, with enough literals, and then all, fully literal."""
+    line = np.concatenate([[0], np.cumsum(a == 10)])[starts]
+    edge = np.diff(line, prepend=-1, append=-1) != 0
+    words = Tokens(typed, plain, kind, surface, capital, np.searchsorted(cuts, starts, side="right"), edge[:-1], edge[1:])
+    if not len(starts):
+        return words, words
+    more = np.zeros(len(starts), bool)  # goes on with the name before it
+    more[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (starts[1:] - ends[:-1] == 1) & (a[ends[:-1]] == 32)
+    head = np.flatnonzero(~more)
+    last = np.append(head[1:], len(starts)) - 1
+    whole, kind = span_hash(surface, head, last + 1), kind[head]
+    typed = np.where(kind == LITERAL, whole, MARK[kind])
+    return words, Tokens(typed, np.where(kind == NAME, whole, typed), kind, whole, capital[head], words.owner[head], words.opens[head], words.closes[last])
+
+
+def windows(t: Tokens, size: int, forms: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, hashes) of all windows of `size` tokens inside one text: typed and then plain, with enough literals, and then all, fully literal. Under SHORTEST tokens: whole lines, fully literal."""
     n = len(t.kind) - size + 1
     if n <= 0:
         return
     at = np.arange(n)
     inside = t.owner[:n] == t.owner[size - 1 :]
-    for values, literal in ((t.typed, t.kind == LITERAL), (t.plain, (t.kind == LITERAL) | (t.kind == NAME)), (t.surface, np.ones(len(t.kind), bool))):
+    if size < SHORTEST:
+        lines = np.cumsum(t.opens)
+        own = at[inside & t.opens[:n] & t.closes[size - 1 :] & (lines[:n] == lines[size - 1 :])]
+        yield own, span_hash(t.surface, own, own + size)
+        return
+    for values, literal in ((t.typed, t.kind == LITERAL), (t.plain, (t.kind == LITERAL) | (t.kind == NAME)), (t.surface, np.ones(len(t.kind), bool)))[:forms]:
         total = np.concatenate([[0], np.cumsum(literal)])
         own = at[inside & (total[size:] - total[:-size] >= LITERALS * size)]
         yield own, span_hash(values, own, own + size)
 
 
-class Index:
+class Windows:
     """Windows of the items: sorted hashes with item and position, and a bitmap that rules out most lookups."""
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        self.tokens = tokens([x for _, x in items])
-        self.start = np.searchsorted(self.tokens.owner, np.arange(len(items) + 1))
+    def __init__(self, t: Tokens, items: int, forms: int) -> None:
+        self.tokens, self.forms = t, forms
+        self.start = np.searchsorted(t.owner, np.arange(items + 1))
         lengths = np.diff(self.start)
-        self.sizes = sorted({int(min(WINDOW, n)) for n in lengths if n >= SHORTEST})
+        self.sizes = sorted({int(min(WINDOW, n)) for n in lengths if n})
         found = []
         for size in self.sizes:
-            for at, h in windows(self.tokens, size):
-                fits = np.minimum(WINDOW, lengths[self.tokens.owner[at]]) == size
+            for at, h in windows(t, size, forms):
+                fits = np.minimum(WINDOW, lengths[t.owner[at]]) == size
                 found.append((h[fits], at[fits]))
         h, at = (np.concatenate(x) if found else np.empty(0, np.uint64) for x in (zip(*found, strict=True) if found else ((), ())))
         order = np.lexsort((at, h))
@@ -164,7 +188,7 @@ class Index:
         """(document token, item token, size) of all equal windows."""
         out = []
         for size in self.sizes:
-            for at, h in windows(t, size):
+            for at, h in windows(t, size, self.forms):
                 maybe = np.flatnonzero(self.bitmap[(h >> np.uint64(42)).astype(np.int64)])
                 lo = np.searchsorted(self.hashes, h[maybe], side="left")
                 hi = np.searchsorted(self.hashes, h[maybe], side="right")
@@ -172,75 +196,136 @@ class Index:
                     out += [(int(at[maybe[m]]), int(j), size) for j in self.at[lo[m] : hi[m]]]
         return out
 
-
-def runs(index: Index, t: Tokens, hits: list[tuple[int, int, int]], cover: int) -> dict[tuple[int, int], tuple[int, int]]:
-    """(text, item) -> (tokens covered, slots changed) of the longest consistent run that is long enough."""
-    lines: dict[tuple[int, int, int], set[int]] = defaultdict(set)
-    own = index.tokens
-    for d, i, size in hits:
-        spots = lines[int(t.owner[d]), int(own.owner[i]), d - i]
-        spots.update(range(d, d + size))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for (text, item, shift), spots in lines.items():
-        need = min(cover, int(index.start[item + 1] - index.start[item]))
-        there: dict[int, tuple[int, int]] = {}  # item value -> (document value, where it was last)
-        back: dict[int, tuple[int, int]] = {}
-        differ: list[int] = []
-        start = last = None
-        for d in sorted(spots):
-            i = d - shift
-            if last is None or d != last + 1:
-                there, back, differ, start = {}, {}, [], d
-            if own.kind[i] != LITERAL or t.kind[d] != LITERAL:
-                a, b = int(own.surface[i]), int(t.surface[d])
-                for held, x, y in ((there, a, b), (back, b, a)):
-                    if x in held and held[x][0] != y:
-                        start = max(start, held[x][1] + 1)
-                    held[x] = (y, d)
-                if a != b:
-                    differ.append(d)
-            length, changed, last = d - start + 1, len(differ) - bisect_left(differ, start), d
-            if length >= need and (length, -changed) > (best.get((text, item), (0, 0))[0], -best.get((text, item), (0, 0))[1]):
-                best[text, item] = (length, changed)
+    def runs(self, t: Tokens, cover: int) -> dict[tuple[int, int], tuple[int, int]]:
+        """(text, item) -> (tokens covered, slots changed) of the longest consistent run that is long enough."""
+        own = self.tokens
+        lines: dict[tuple[int, int, int], set[tuple[int, int]]] = defaultdict(set)
+        for d, i, size in self.hits(t):
+            lines[int(t.owner[d]), int(own.owner[i]), d - i].add((i + size, i))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for (text, item, shift), anchors in lines.items():
+            lo, hi = int(self.start[item]), int(self.start[item + 1])
+            need = min(cover, hi - lo)
+            first, stop = np.searchsorted(t.owner, [text, text + 1])
+            i = np.arange(max(lo, int(first) - shift), min(hi, int(stop) - shift))
+            d = i + shift
+            same, kind, other = own.surface[i] == t.surface[d], own.kind[i], t.kind[d]
+            agree = same | ((kind == other) & (kind != LITERAL)) | (own.capital[i] & t.capital[d])
+            slot = ~same | (kind != LITERAL) | (other != LITERAL)
+            found = longest(i.tolist(), agree.tolist(), slot.tolist(), own.surface[i].tolist(), t.surface[d].tolist(), sorted(anchors), need)
+            if found and (found[0], -found[1]) > (best[text, item][0], -best[text, item][1]) if (text, item) in best else found:
+                best[text, item] = found
+        return best
+
+
+def longest(at: list[int], agree: list[bool], slot: list[bool], item: list[int], doc: list[int], anchors: list[tuple[int, int]], need: int) -> tuple[int, int] | None:
+    """(length, changed) of the longest run of consecutive places that agree, with consistent slots and a whole anchor (end, start) in it, of `need` places at least."""
+    there: dict[int, tuple[int, int]] = {}  # item value -> (document value, where it was last)
+    back: dict[int, tuple[int, int]] = {}
+    differ: list[int] = []
+    best, start, reached, anchor = None, None, 0, -1
+    for i, ok, is_slot, a, b in zip(at, agree, slot, item, doc, strict=True):
+        if not ok:
+            start = None
+            continue
+        if start is None:
+            there, back, differ, start = {}, {}, [], i
+        if is_slot:
+            for held, x, y in ((there, a, b), (back, b, a)):
+                if x in held and held[x][0] != y:
+                    start = max(start, held[x][1] + 1)
+                held[x] = (y, i)
+            if a != b:
+                differ.append(i)
+        while reached < len(anchors) and anchors[reached][0] <= i + 1:
+            anchor = max(anchor, anchors[reached][1])
+            reached += 1
+        length = i - start + 1
+        if length >= need and anchor >= start:
+            changed = len(differ) - bisect_left(differ, start)
+            if best is None or (length, -changed) > (best[0], -best[1]):
+                best = length, changed
     return best
 
 
+class Index:
+    """The items' windows by words, and with names of several words as one."""
+
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+        self.ids = [i for i, _ in items]
+        words, names = tokens([x for _, x in items])
+        self.parts = (Windows(words, len(items), 3), Windows(names, len(items), 1))
+
+    def find(self, texts: list[str], cover: int) -> dict[tuple[int, int], tuple[int, int]]:
+        """(text, item) -> (tokens covered, slots changed)."""
+        words, names = tokens(texts)
+        out = self.parts[0].runs(words, cover)
+        for k, (n, changed) in self.parts[1].runs(names, cover).items():
+            if k not in out or (n, -changed) > (out[k][0], -out[k][1]):
+                out[k] = n, changed
+        return out
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BATCH_BYTES):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def _scan(index: Index, cover: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            texts, rows, lo = b.column(1).to_pylist(), [], 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= BATCH_BYTES):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                t = tokens([x or "" for x in texts[lo:hi]])
-                found = index.hits(t)
-                for (text, item), (n, changed) in runs(index, t, found, cover).items():
+            texts, rows = [x or "" for x in b.column(1).to_pylist()], []
+            for lo, hi in _pieces(texts):
+                for (text, item), (n, changed) in index.find(texts[lo:hi], cover).items():
                     rows.append((b.column(0)[lo + text].as_py(), index.ids[item], n, changed))
-                lo = hi
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "covered", "changed"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cover: int = 13, slab_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, item_id, covered, changed): one row for every document and item that match."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _kept(index: Index, cover: int, at: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts, keep = [x or "" for x in b.column(at).to_pylist()], np.ones(len(b), bool)
+            for lo, hi in _pieces(texts):
+                keep[[lo + text for text, _ in index.find(texts[lo:hi], cover)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, slab_bytes: int) -> Iterator:
+    """Broadcast indexes of all items, in slabs of bounded size."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slabs = max(1, -(-total // slab_bytes))
-    out = None
     for k in range(slabs):
         own = sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        shared = docs.sparkSession.sparkContext.broadcast(Index(own))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(own))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cover: int = 13, slab_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, item_id, covered, changed): one row for every document and item that match."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for shared in _indexes(benchmark, slab_bytes):
         part = rows.mapInArrow(lambda batches, shared=shared: _scan(shared.value, cover)(batches), "doc_id long, item_id long, covered int, changed int")
         out = part if out is None else out.union(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """docs without those that match an item; documents with a null id stay if nothing with a null id matches."""
-    found = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, cover: int = 13, slab_bytes: int = 16 << 20) -> DataFrame:
+    """docs without the rows whose text matches an item."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    for shared in _indexes(benchmark, slab_bytes):
+        docs = docs.mapInArrow(lambda batches, shared=shared: _kept(shared.value, cover, at)(batches), docs.schema)
+    return docs
