@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, line_dedup, quality, sentencepiece_scan, shingle_dedup
+from tracemill.llm import decontaminate, line_dedup, quality, sentencepiece_scan, simhash_dedup
 from tracemill.session import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,7 +40,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_dedup.keep_first(docs.select(*COLUMNS))
+    return simhash_dedup.keep_first(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = sentencepiece_scan.decode(sentencepiece_scan.encode(docs.select(*COLUMNS)))
+    done = sentencepiece_scan.encode(docs.select(*COLUMNS), decoded="decoded")
     return done.withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.size("ids"))).withColumn("round_trip", F.col("decoded") == F.col("text")).drop("decoded")
 
 

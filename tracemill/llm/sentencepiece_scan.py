@@ -630,28 +630,29 @@ def _traces(shared: _Shared) -> callable:
     return run
 
 
-def _single(shared: _Shared, at: int, schema: T.StructType) -> callable:
+def _single(shared: _Shared, at: int, schema: T.StructType, decoded: bool) -> callable:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattice(shared)
         for part in sliced(batches, SLICE, SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([*part.columns, lat.encode_all(part.column(at).to_pylist())], names=names)
+            ids = lat.encode_all(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, ids, *([lat.decode_all(ids)] if decoded else [])], names=names)
 
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, into: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """docs (with text) and, in a new column, the ids of the whole text."""
+def encode(docs: DataFrame, model: str = MODEL, into: str = "ids", chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
+    """docs (with text) and, in a new column, the ids of the whole text. decoded: a further column with the text of these ids, made by the same Python worker."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(into)
+    docs = docs.drop(into, *([decoded] if decoded else []))
     v = Vocabulary(model)
     shared = _Shared(docs, v)
     row, other, list_ = unused(docs.withColumn(into, F.lit(0)), "__key", "__key2", "__ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     giant = F.coalesce(F.char_length("text") >= chunk, F.lit(False))
     at = docs.columns.index("text")
-    small = docs.where(~giant).mapInArrow(_single(shared, at, schema), schema)
+    small = docs.where(~giant).mapInArrow(_single(shared, at, schema, decoded is not None), schema)
 
     rows = stored(docs.where(giant).withColumn(row, F.monotonically_increasing_id()), "giant-texts")
     chunks = rows.select(F.col(row).alias("key"), "text").mapInArrow(_cut(chunk, v.longest), "key long, k long, left string, body string, right string")
@@ -664,7 +665,7 @@ def encode(docs: DataFrame, model: str = MODEL, into: str = "ids", chunk: int =
     traced = chunks.join(ends, ["key", "k"]).mapInArrow(_traces(shared), "key long, k long, ids array<int>")
     whole = traced.groupBy(F.col("key").alias(other)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias(list_))
     found = rows.join(whole, F.col(row) == F.col(other)).select(*[rows[c] for c in docs.columns], F.col(list_).alias(into))
-    return small.union(found)
+    return small.union(decode(found, model, into, decoded) if decoded else found)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -685,5 +686,5 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", into: str = "d
 
 def round_trip(docs: DataFrame, model: str = MODEL, **params) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as text, comma-joined) and whether decoding gives the text back; null text has no tokens and is null throughout."""
-    done = decode(encode(docs.select("doc_id", "text"), model, **params), model)
+    done = encode(docs.select("doc_id", "text"), model, decoded="decoded", **params)
     return done.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))

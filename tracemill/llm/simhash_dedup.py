@@ -17,8 +17,9 @@ distance check left out of play, so t must be 2).
 
 Given cases: null or wordless text has fingerprint zero and is linked like any
 other; texts of one or two words are one shingle; repeated rows and equal texts
-share a fingerprint; null ids are kept and never the smallest; an empty table
-gives an empty one; other columns are ignored.
+share a fingerprint; a very long text is hashed in blocks; null ids are kept
+and never the smallest; an empty table gives an empty one; near_duplicates()
+ignores other columns, keep_first() carries them along.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm import simhash_shingles
 from tracemill.llm.batches import sliced, small_batches
 from tracemill.llm.components import components
 from tracemill.session import stored
@@ -138,9 +140,6 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest doc_id stays. Rows that repeat that doc_id with an equal text are one document and stay once; null ids stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **params).where("doc_id <> component_id").select("doc_id").distinct()
-    cols = docs.columns
-    held = docs.join(found, "doc_id", "left_anti")
-    return held.select(*cols)
+def keep_first(docs: DataFrame, width: int = simhash_shingles.WIDTH, similarity: float = simhash_shingles.SIMILARITY, **params) -> DataFrame:
+    """docs with one row of each group, by shingles of `width` words and a similarity of `similarity` or more: the smallest (doc_id, text hash), null ids last, and of rows that repeat it the one with the smallest columns. Candidates are found by pigeonring filtering too, on a fingerprint made for that distance (see simhash_shingles)."""
+    return simhash_shingles.keep_first(docs, width=width, similarity=similarity, **params)

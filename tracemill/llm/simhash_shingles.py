@@ -1,18 +1,33 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""SimHash near-dedup by the similarity of word shingles (Jaccard, 0.8 by default).
+
+A SimHash of 64 bits whose every bit hears every shingle can't serve here: at
+similarity 0.8 two of them differ in some ten bits, for which no key of enough
+bits stays equal. So the fingerprint is wider and its segments hear different
+shingles:
 
 1. A document is the set of hashes of its shingles of `width` words (lower
    case, divided at blanks; a character of a script without blanks is a word
    by itself). Documents with equal sets are one class.
-2. MinHash: BANDS keys of ROWS minima each. Two sets of similarity s share a
-   key with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.8.
-3. Classes under one key are candidates. First each is compared with one
-   pivot of its key, so a large group costs no more pairs than it has members;
-   then, within the keys whose classes the links don't join completely, all
-   pairs across the parts, in chunks.
-4. Every candidate is verified by the exact similarity of its sets of hashes.
-
-Null and wordless texts have the empty set and are one class. Sets have hashes
-of 64 bits: shingles that collide would count as equal.
+2. SAMPLE shingles of a set (all of a smaller one), drawn by hash, are dealt to
+   SEGMENTS segments by hash, and each segment is the SimHash of its own. A
+   segment of equal shingles is equal, so two sets of similarity s agree in a
+   segment with a chance of exp(-SAMPLE / SEGMENTS * 2 * (1 - s) / (1 + s)):
+   0.41 at 0.8, and in two or more of 16 with a chance of 0.997.
+3. Pigeonring: if BUDGET segments differ at most, there is a segment from which
+   on, for every l, at most floor(l * BUDGET / SEGMENTS) of the next l differ.
+   For l = 1 that is none: classes are joined under each equal segment. The
+   longer chains are then checked, and what fails is no candidate.
+4. Under one key each class is first compared with one pivot, so a large group
+   costs no more pairs than it has members; then, within the keys whose classes
+   the links don't join completely, all pairs across the parts, in chunks.
+5. Every candidate is verified by the exact similarity of its sets of hashes.
+
+Given cases: null and wordless texts have the empty set and are one class; a
+text under `width` words is one shingle; a very long text has a set of all its
+shingles, held by one task; ties (equal sets) and repeated rows are one class;
+null ids are kept and never the first; an empty table gives an empty one; all
+columns are carried along, whatever their names. Sets have hashes of 64 bits:
+shingles that collide would count as equal.
 """
 
 from __future__ import annotations
@@ -26,18 +41,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.batches import sliced, small_batches, unused
-from tracemill.llm.components import components
-from tracemill.llm.text_hash import mix, span_hash, words_of
+from tracemill.llm.components import components, joined
+from tracemill.llm.text_hash import mix, simhashes, span_hash, words_of
 from tracemill.session import path_bytes, stored
 
 WIDTH, SIMILARITY = 5, 0.8
-ROWS, BANDS = 5, 24
+SEGMENTS, SAMPLE, BUDGET = 16, 64, 14
 CHUNK = 512  # classes of one key that are compared with one another in one group
 BATCH_BYTES = 256 << 10
 UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, ROWS * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_CHAIN = np.arange(1, SEGMENTS + 1) * BUDGET // SEGMENTS
 
 
 def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -60,18 +75,31 @@ def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, n
     return h[fresh], np.searchsorted(owner[fresh], np.arange(len(texts) + 1))
 
 
-def band_keys(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The BANDS keys of each set, and one byte of each of its minima; sets are not empty."""
-    keys = np.empty((len(cuts) - 1, BANDS), np.uint64)
-    sketch = np.empty((len(cuts) - 1, BANDS * ROWS), np.uint8)
-    for band in range(BANDS):
-        key = np.full(len(keys), band, np.uint64)
-        for i in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat(h * _FACTORS[i], cuts[:-1])
-            key = mix(key * np.uint64(31) + least)
-            sketch[:, i] = mix(least)
-        keys[:, band] = key
-    return keys, sketch
+def segments(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The SEGMENTS segments of each set, mixed with their number; 0 where no shingle was drawn."""
+    size = np.diff(cuts)
+    owner = np.repeat(np.arange(len(size)), size)
+    drawn = np.flatnonzero((h >> np.uint64(32)).astype(np.float64) * size[owner] < SAMPLE * 2.0**32)
+    h, owner = h[drawn], owner[drawn]
+    cell = owner * SEGMENTS + (h % np.uint64(SEGMENTS)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell, h = cell[order], h[order]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    last = np.append(first[1:], len(cell))[: len(first)]
+    out = np.zeros(len(size) * SEGMENTS, np.uint64)
+    made = mix(simhashes(h, first, last) + (cell[first] % SEGMENTS + SEGMENTS * (last - first)).astype(np.uint64))
+    out[cell[first]] = np.where(made == 0, 1, made)
+    return out.reshape(-1, SEGMENTS)
+
+
+def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of segments: whether some chain around the whole ring keeps its budget at every length."""
+    differ = (a != b).astype(np.int16)
+    sums = np.cumsum(np.concatenate([np.zeros((len(differ), 1), np.int16), differ, differ], axis=1), axis=1)
+    out = np.zeros(len(differ), bool)
+    for start in range(SEGMENTS):
+        out |= (sums[:, start + 1 : start + SEGMENTS + 1] - sums[:, [start]] <= _CHAIN).all(axis=1)
+    return out
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -97,25 +125,25 @@ def _hashed(width: int) -> callable:
                 some = n > 0
                 sh = np.zeros(hi - lo, np.uint64)
                 sh[some] = span_hash(h, cuts[:-1][some], cuts[1:][some])
-                keys = band_keys(h, np.append(cuts[:-1][some], len(h)))[0] if some.any() else np.empty((0, BANDS), np.uint64)
-                ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                keys = segments(h, cuts)
+                ends = np.concatenate([[0], np.cumsum((keys != 0).sum(axis=1))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[keys != 0].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sh.view(np.int64)), pa.array(n, pa.int32()), lists], names=["doc_id", "th", "sh", "n", "keys"])
 
     return run
 
 
 def _sets(width: int) -> callable:
-    """(sh, text) -> (sh, grams, keys, sketch); texts have words."""
+    """(sh, text) -> (sh, grams, keys); texts have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             texts = b.column(1).to_pylist()
             for lo, hi in _pieces(texts):
                 h, cuts = shingles(texts[lo:hi], width)
-                keys, sketch = band_keys(h, cuts)
-                lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(x.ravel().view(np.int64))) for c, x in ((cuts, h), (np.arange(len(keys) + 1) * BANDS, keys))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["sh", "grams", "keys", "sketch"])
+                keys = segments(h, cuts)
+                lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(x.ravel().view(np.int64))) for c, x in ((cuts, h), (np.arange(len(keys) + 1) * SEGMENTS, keys))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists], names=["sh", "grams", "keys"])
 
     return run
 
@@ -127,11 +155,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(similarity: float) -> callable:
-    """(a, b, ga, gb) -> (a, b) of those that are similar enough."""
+    """(a, b, ga, gb, ka, kb) -> (a, b) of those that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 64):
-            ok = [jaccard(x.values.to_numpy(), y.values.to_numpy()) >= similarity - 1e-9 for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ka, kb = (c.flatten().to_numpy().reshape(-1, SEGMENTS) for c in (b.column(4), b.column(5)))
+            ok = [chain and jaccard(x.values.to_numpy(), y.values.to_numpy()) >= similarity - 1e-9 for chain, x, y in zip(chained(ka, kb).tolist(), b.column(2), b.column(3), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
@@ -143,7 +172,6 @@ def _crossing(similarity: float) -> callable:
     def run(rows: pa.Table) -> pa.Table:
         grams = [x.values.to_numpy() for x in rows["grams"].combine_chunks()]
         keys = np.stack([x.values.to_numpy() for x in rows["keys"].combine_chunks()])
-        sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in rows["sketch"]])
         k, i, j = (rows[c][0].as_py() for c in ("k", "i", "j"))
         sh, part, chunk = (rows[c].to_numpy() for c in ("sh", "part", "chunk"))
         n = np.array([len(g) for g in grams])
@@ -154,9 +182,10 @@ def _crossing(similarity: float) -> callable:
             y = others[part[others] != part[x]]
             y = y[y > x] if i == j else y
             y = y[np.minimum(n[y], n[x]) >= np.maximum(n[y], n[x]) * similarity - 1e-9]
-            y = y[(sketch[y] == sketch[x]).mean(axis=1) >= similarity - 0.18]  # five standard deviations of the estimate
-            common = keys[y] == keys[x]
-            y = y[keys[x][common.argmax(axis=1)] == k]
+            if len(y):
+                common = (keys[y] == keys[x]) & (keys[x] != 0)
+                y = y[keys[x][common.argmax(axis=1)] == k]
+                y = y[chained(keys[y], keys[[x]])]
             out += [(min(sh[x], sh[z]), max(sh[x], sh[z])) for z in y if jaccard(grams[x], grams[z]) >= similarity - 1e-9]
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -178,13 +207,13 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     firsts = stored(firsts.select("sh", F.col("f.doc_id").alias("d"), F.col("f.th").alias("t")), "shingle-firsts")
     asked = F.broadcast(firsts) if path_bytes(docs.sparkSession, firsts._stored_at) <= broadcast_bytes else firsts
     texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == F.col("t"))).select("sh", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "sh long, grams array<long>, keys array<long>, sketch binary").dropDuplicates(["sh"]), "shingle-sets")
-    left, right = sets.select(F.col("sh").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("sh").alias("b"), F.col("grams").alias("gb"))
+    sets = stored(texts.mapInArrow(_sets(width), "sh long, grams array<long>, keys array<long>").dropDuplicates(["sh"]), "shingle-sets")
+    left, right = sets.toDF("a", "ga", "ka"), sets.toDF("b", "gb", "kb")
     fits = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - F.lit(1e-9)
 
     pivots = members.groupBy("k").agg(F.min(F.struct("sh", "n")).alias("p")).select("k", F.col("p.sh").alias("sh2"), F.col("p.n").alias("n2"))
     pairs = members.join(pivots, "k").where("sh <> sh2").where(fits).select(F.least("sh", "sh2").alias("a"), F.greatest("sh", "sh2").alias("b")).distinct()
-    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_verified(similarity), "a long, b long"), "shingle-links")
+    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "ka", "kb").mapInArrow(_verified(similarity), "a long, b long"), "shingle-links")
     comps = stored(components(links).toDF("sh", "comp"), "shingle-parts")
     parts = members.join(comps, "sh", "left").select("k", "sh", "n", F.coalesce("comp", "sh").alias("part"))
     torn = parts.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
@@ -194,8 +223,7 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sh", "part").join(sets, "sh")
     more = stored(dealt.groupBy("k", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
-    if not more.isEmpty():
-        comps = stored(components(links.union(more)).toDF("sh", "comp"), "shingle-parts")
+    comps = joined(comps.toDF("node", "comp"), more).toDF("sh", "comp")
     return each.select("doc_id", "th", "sh"), comps
 
 
