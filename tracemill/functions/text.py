@@ -151,11 +151,11 @@ def strip_force(think: Column, sentence: str) -> Column:
 
 
 def extract_code(c: Column) -> Column:
-    """The longest fenced block (the first of equals), else from the first line of code, else the text."""
-    blocks = F.regexp_extract_all(c, F.lit("(?s)```(?:python|py)?\\s*\\n(.*?)```"), F.lit(1))
+    """The longest fenced block (the first of equals), else from the first line of code, else the text; without blanks around it."""
+    blocks = F.regexp_extract_all(c, F.lit("(?sU)```(?:python|py)?\\s*\\n(.*?)```"), F.lit(1))
     best = let(blocks, lambda b: F.aggregate(b, F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull() | (F.char_length(x) > F.char_length(acc)), x).otherwise(acc)))
-    start = F.regexp_extract(c, r"(?ms)^((?:from|import|def|class)\s.*)", 1)
-    return let(best, lambda b: F.when(b.isNotNull(), strip(b)).when(start != "", start).otherwise(c))
+    start = F.regexp_extract(c, r"(?msd)^((?:from |import |def |class ).*)", 1)
+    return strip(let(best, lambda b: F.when(b.isNotNull(), b).when(start != "", start).otherwise(c)))
 
 
 def reason_prefix(c: Column) -> Column:

@@ -60,11 +60,11 @@ def run_program(program: str, timeout: float = LIMIT_S) -> tuple[bool, str]:
 
 def fenced(answer: str) -> str:
     """The code of an answer, as extract_code() for one string."""
-    blocks = re.findall(r"```(?:python|py)?[^\S\n]*\n(.*?)```", answer, re.S)
+    blocks = re.findall(r"```(?:python|py)?\s*\n(.*?)```", answer, re.S)
     if blocks:
         return max(blocks, key=len).strip()
-    start = re.search(r"^(?:from|import|def|class)\s", answer, re.M)
-    return answer[start.start() :] if start else answer
+    start = re.search(r"^(?:from |import |def |class )", answer, re.M)
+    return (answer[start.start() :] if start else answer).strip()
 
 
 def program_of(answer: str, setup: str, tests: list[str], preamble: str = "") -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,9 +77,9 @@ def two_standard_errors(p1: Column, n1: Column, p2: Column, n2: Column) -> Colum
 
 
 def mcnemar(lost: int, gained: int) -> float:
-    """Exact two-sided p-value of the discordant counts."""
+    """Exact two-sided p-value of the discordant counts: twice the binomial tail, each term by its logarithm."""
     n, k = lost + gained, min(lost, gained)
-    return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    return min(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2)) for i in range(k + 1))) if n else 1.0
 
 
 def group_flags(samples: DataFrame, key: str) -> DataFrame:
@@ -125,5 +125,16 @@ def truncation(records: DataFrame, by: str) -> DataFrame:
     return records.groupBy(by).agg((100 * F.count_if("truncated") / F.count("*")).alias("truncated_pct"), (100 * F.count_if("correct") / F.count("*")).alias("correct_pct"), F.avg("tokens").alias("mean_tokens"))
 
 
+def progress(records: DataFrame, by: str, seconds: str) -> DataFrame:
+    """By run: done, seconds, and the rate of seconds a record."""
+    done, spent = F.count("*"), F.coalesce(F.sum(seconds), F.lit(0.0))
+    return records.groupBy(by).agg(done.alias("done"), spent.alias("seconds"), (spent / F.greatest(done, F.lit(1))).alias("rate"))
+
+
+def full_runs(summaries: DataFrame, run: str, least: int = 100) -> DataFrame:
+    """Runs that aren't sanity checks by name and have a benchmark of `least` items or more, with their largest."""
+    return summaries.where(~F.col(run).like("%sanity%")).groupBy(run).agg(F.max("total").alias("largest")).where(F.col("largest") >= least)
+
+
 def keep_rate(kept: Column, seen: Column) -> Column:
     return kept / F.greatest(seen, F.lit(1))

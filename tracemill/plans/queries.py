@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tracemill.functions import arrays
 from tracemill.functions import text as X
 from tracemill.operators import chat, evals, ngrams, sampling, selection
-from tracemill.operators.code import parses
 from tracemill.session import fresh_path, table
 from tracemill.sources import jsonl, prompts
 from tracemill.streaming import resume
@@ -215,9 +214,8 @@ def teacher_route(spark, sf):
 
 @query(f"WITH {LOG} SELECT run, count(*) AS done, round(sum(seconds), 6) AS seconds, round(sum(seconds) / greatest(count(*), 1), 6) AS rate, round((5000 - count(*)) * sum(seconds) / greatest(count(*), 1) / 3600, 6) AS eta_hours FROM e GROUP BY run")
 def progress_eta(spark, sf):
-    done, spent = F.count("*"), F.sum("seconds")
-    rate = spent / F.greatest(done, F.lit(1))
-    return log(spark, sf).groupBy("run").agg(done.alias("done"), F.round(spent, 6).alias("seconds"), F.round(rate, 6).alias("rate"), F.round((5000 - done) * rate / 3600, 6).alias("eta_hours"))
+    p = evals.progress(log(spark, sf), "run", "seconds")
+    return p.select("run", "done", F.round("seconds", 6).alias("seconds"), F.round("rate", 6).alias("rate"), F.round((5000 - F.col("done")) * F.col("rate") / 3600, 6).alias("eta_hours"))
 
 
 @query("SELECT event_id, CAST(floor(1024 * power(1.5, attempt + 1)) AS BIGINT) AS budget FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS attempt FROM events) WHERE attempt < 4")
@@ -234,10 +232,11 @@ def merged_sources(spark, sf):
     return both.groupBy(F.coalesce("source", F.lit("?")).alias("source"), "lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS grams_in_both FROM (SELECT DISTINCT role FROM conversations INTERSECT SELECT 'user')")
+@query(f"WITH b AS (SELECT {TOKENS} AS w FROM benchmark), t AS (SELECT {TOKENS} AS w FROM documents) SELECT count(*) AS grams_in_both FROM (SELECT unnest({GRAMS}) AS gram FROM b INTERSECT SELECT unnest({GRAMS}) AS gram FROM t)")
 def set_intersection(spark, sf):
-    roles = table(spark, sf, "conversations").select("role").distinct()
-    return roles.where(F.col("role") == "user").agg(F.count("*").alias("grams_in_both"))
+    """How many n-grams of the benchmark are in some document."""
+    both = ngrams.index(table(spark, sf, "benchmark"), GRAM).intersect(ngrams.index(table(spark, sf, "documents"), GRAM))
+    return both.agg(F.count("*").alias("grams_in_both"))
 
 
 # ---- chat ---------------------------------------------------------------
@@ -271,15 +270,6 @@ def chosen_rejected(spark, sf):
     return t.select("conv_id", "turn", chat.thought(F.col("prompt"), F.col("answer")).alias("chosen"), chat.rejected(F.col("prompt"), F.col("answer"), F.col("cut"), F.lit(False)).alias("rejected"), F.col("cut").alias("rejected_unterminated"))
 
 
-@query(f"""WITH {ROLLOUTS} SELECT CASE WHEN r.doc_id IS NULL OR r.correct THEN 'no_failure' WHEN d.n_chars > 4000 THEN 'chosen_too_long' ELSE 'kept' END AS reason, count(*) AS n FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY reason""")
-def pair_reasons(spark, sf):
-    """Left join with the first rollout of each id; null or right means there is no failure to learn from."""
-    rolls = selection.one_per_key(rollouts(spark, sf).select("doc_id", "correct"), "doc_id", "correct").withColumnRenamed("correct", "was_right")
-    rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(rolls, "doc_id", "left")
-    reason = F.when(F.col("was_right").isNull() | F.col("was_right"), "no_failure").when(F.col("n_chars") > 4000, "chosen_too_long").otherwise("kept")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 # ---- evaluation ---------------------------------------------------------
 
 SUMMARY = "count(*) AS total, count(*) FILTER (WHERE correct) AS correct, round_even(CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*), 4) AS accuracy, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE forced) AS forced, count(*) FILTER (WHERE forced AND correct) AS forced_correct, round_even(sum(seconds), 1) AS seconds"
@@ -360,13 +350,6 @@ def two_se(spark, sf):
     return a.join(base, "benchmark").select("run", "benchmark", F.round(evals.two_standard_errors(F.col("accuracy"), F.col("n"), F.col("p2"), F.col("n2")), 9).alias("two_se"))
 
 
-@query()
-def mcnemar(spark, sf):
-    """Exact p-value of the discordant items of two runs (binomial sums; tested against hand-computed values)."""
-    r = evals.regressions(*two_runs(spark, sf)).first()
-    return spark.createDataFrame([(r["lost"], r["gained"], evals.mcnemar(r["lost"], r["gained"]))], "lost long, gained long, p double")
-
-
 @query(f"WITH {LOG} SELECT run, round(avg(CAST(correct AS INTEGER)) FILTER (WHERE forced), 9) AS inside, round(avg(CAST(correct AS INTEGER)) FILTER (WHERE NOT forced), 9) AS outside FROM e GROUP BY run")
 def stratified_gap(spark, sf):
     return evals.stratified_gap(log(spark, sf), "run", "forced").select("run", F.round("inside", 9).alias("inside"), F.round("outside", 9).alias("outside"))
@@ -378,15 +361,9 @@ def recovery_fraction(spark, sf):
     return s.select("run", "benchmark", F.round(evals.recovery(F.col("helped"), F.col("plain"), F.col("t")), 9).alias("recovery"))
 
 
-@query(f"WITH {LOG}, s AS (SELECT run, benchmark, {SUMMARY} FROM e GROUP BY run, benchmark) SELECT run, benchmark FROM s WHERE abs(CAST(correct AS DOUBLE) / total - accuracy) >= 0.001")
-def consistency_check(spark, sf):
-    return evals.inconsistent(evals.summary(log(spark, sf), "run", "benchmark")).select("run", "benchmark")
-
-
 @query(f"WITH {LOG}, s AS (SELECT run, benchmark, count(*) AS total FROM e GROUP BY run, benchmark) SELECT run, max(total) AS largest FROM s WHERE run NOT LIKE '%sanity%' GROUP BY run HAVING max(total) >= 100")
 def full_runs(spark, sf):
-    s = log(spark, sf).groupBy("run", "benchmark").agg(F.count("*").alias("total")).where(~F.col("run").like("%sanity%"))
-    return s.groupBy("run").agg(F.max("total").alias("largest")).where("largest >= 100")
+    return evals.full_runs(evals.summary(log(spark, sf), "run", "benchmark"), "run")
 
 
 @query(f"""WITH {ACC} SELECT run, benchmark, printf('%.1f%%', accuracy * 100) || CASE WHEN n < 1000 THEN '~' || n ELSE '' END AS cell, printf('%+.1f', (accuracy - 0.5) * 100) AS over_half FROM s""")
@@ -411,41 +388,6 @@ def normalized_documents(spark, sf):
     return w.select("doc_id", "x.words", "x.digest")
 
 
-def literal(name: str, cases: list[tuple[str, object]], expression: Callable, kind: str = "string") -> None:
-    """Register a query over literal rows with the results they must have."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "case int, text string")
-        return rows.select("case", expression(F.col("text")).cast(kind).alias("result"))
-
-    quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-    run.__name__ = name
-    QUERIES[name] = run
-    sqltype = "BOOLEAN" if kind == "boolean" else "VARCHAR"
-    ORACLE[name] = "SELECT \"case\", CAST(result AS " + sqltype + ") AS result FROM (VALUES " + ", ".join(f"({i}, {quote(c[1])})" for i, c in enumerate(cases)) + ') t("case", result)'
-
-
-literal("final_answer", [("x\nAnswer: 1\nAnswer: two ", "two"), ("no line", None), ("ANSWER : yes\nmore", "yes"), ("the answer:\n 42", "42"), ("Answer： C", None), ("", None)], X.final_answer)
-literal("final_letter", [("Answer: C", "C"), ("so (B) because\nAnswer: (B) because", "B"), ("it must be D", "D"), ("Answer: Z", "Z"), ("Answer: two", "T"), ("nothing", None)], X.final_letter)
-literal("final_letter_of_four", [("Answer: Z", None), ("Answer: *B*", "B"), ("I pick c", "C"), ("A then D", "D")], lambda c: X.final_letter(c, 4))
-literal("qa_match", [("Answer: The Eiffel Tower!", True), ("it is paris", False), ("Answer: ", False), ("eiffel-tower", False), ("I say eiffel tower", True)], lambda c: X.qa_match(c, F.array(F.lit("an Eiffel Tower"), F.lit("the"))), "boolean")
-literal("declines", [("Answer: I don't know", True), ("Answer: 42", False), ("I am not sure", True), ("I don't know\nAnswer: Paris", False)], X.declines, "boolean")
-literal("abstains", [("Answer: not stated in the passage", True), ("It does not say", True), ("Answer: 1912", False)], X.abstains, "boolean")
-literal("true_false", [("Answer: True.", True), ("Answer: false", False), ("true", False)], lambda c: X.true_false_match(c, F.lit("True")), "boolean")
-literal("split_think_answer", [("<think>a</think>b", "b"), ("a</think>b", "b"), ("<think>a", ""), ("plain", "plain"), ("<think>a</think>b<think>c</think>d", "bd"), (" x ", "x")], lambda c: X.split_think(c)["answer"])
-literal("split_think_thought", [("<think>a</think>b", "a"), ("a</think>b", "a"), ("<think>a", "a"), ("plain", None), ("<think> a </think>b<think>c</think>d", "a")], lambda c: X.split_think(c)["think"])
-literal("split_think_opened", [("still going", "")], lambda c: X.split_think(c, True)["answer"])
-literal("opens_think", [("user\n<think>\n", True), ("<think>a</think>", False), ("x", False)], X.opens_think, "boolean")
-literal("unclosed", [("<think>a", True), ("<think>a</think>", False), ("x", False)], X.unclosed, "boolean")
-literal("strip_force", [("cut off\n\n" + chat.FORCE_SENTENCE + " \n", "cut off"), ("own end ", "own end"), (chat.FORCE_SENTENCE + " no", chat.FORCE_SENTENCE + " no")], lambda c: X.strip_force(c, chat.FORCE_SENTENCE))
-literal("extract_code", [("a\n```python\nx = 1\n```\nb\n```\nlonger = 22\n```", "longer = 22"), ("so:\ndef f():\n  return 1", "def f():\n  return 1"), ("just text", "just text"), ("```py\naa\n```\n```\nbb\n```", "aa")], X.extract_code)
-literal("abstention_sentence", [("Let me see. The passage does not mention the year of birth. Output matches requirements.", "The passage does not mention the year of birth."), ("The text never says.", None), ("", None), ("\"The document is silent on the matter of taxes.\" Done.", "The document is silent on the matter of taxes.\" Done.")], X.abstention_sentence)
-literal("reason_prefix", [("mcq:A->B", "mcq"), ("qa", "qa")], X.reason_prefix)
-literal("last_line", [("a\nNameError: x", "NameError: x"), ("y" * 80, "y" * 60)], X.last_line)
-literal("question_of", [("Who? \n\nAnswer accurately and so on", "Who?"), ("bare", "bare")], prompts.question_of)
-literal("code_parses", [("```python\nx = 1\n```", True), ("```python\nx = \n```", False), ("", False), ("def f(:", False)], parses, "boolean")
-
-
 # ---- templates and choices ---------------------------------------------
 
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || chr(10) || 'Think it through, then end your reply with a final line of exactly ''Answer: <letter>''.' AS prompt, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS gold FROM part")

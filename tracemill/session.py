@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set in local mode (tests); on a cluster that would be another one for each machine, so it's an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tracemill.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("tracemill.shared.dir", found)
     return found.rstrip("/")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,16 +16,26 @@ def scan(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def scan_ordered(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """As scan(), with file_order (place in `paths`) and line_no (order within a file), which first-wins and last-wins rules need."""
+def scan_ordered(spark: SparkSession, paths: list[str], schema: str, by_time: bool = False) -> DataFrame:
+    """As scan(), with file_order and line_no (from 0, blank lines counted), which first-wins and last-wins rules need.
+
+    Files are in the order of `paths`, and within a folder in that of their
+    names, or of their times if by_time (what a later run appends comes after).
+    A large file is read in several blocks: a line's number is its place in its
+    block and the lines of the blocks before, of which there is a row for each.
+    """
     parts = []
     for order, path in enumerate(paths):
-        lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.lit(order).alias("file_order"), F.monotonically_increasing_id().alias("line_no"))
-        parts.append(lines.select(F.from_json("value", schema).alias("r"), "file_order", "line_no").select("r.*", "file_order", "line_no"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_modification_time", "file_block_start")]
+        lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("id"))
+        blocks = lines.groupBy("file_path", "file_modification_time", "file_block_start").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1))
+        names = (["file_modification_time"] if by_time else []) + ["file_path"]
+        rank = F.dense_rank().over(Window.partitionBy(F.lit(order)).orderBy(*names))  # a row for each block
+        blocks = blocks.select(F.col("file_path").alias("f"), F.col("file_block_start").alias("b"), "lo", F.coalesce(before, F.lit(0)).alias("before"), F.struct(F.lit(order), rank).alias("file_order"))
+        found = lines.join(F.broadcast(blocks), (F.col("file_path") == F.col("f")) & (F.col("file_block_start") == F.col("b"))).where(F.trim("value") != "")
+        parts.append(found.select(F.from_json("value", schema).alias("r"), "file_order", (F.col("before") + F.col("id") - F.col("lo")).alias("line_no")).select("r.*", "file_order", "line_no"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def append(df: DataFrame, path: str) -> None:
