@@ -1,4 +1,4 @@
-"""Command line over JSON-lines folders: prompts, teach, rollout, hedge, dataset, pairs, eval, report, status.
+"""Command line over JSON-lines folders: check, prompts, teach, rollout, hedge, dataset, logits, pairs, eval, report, status.
 
 python -m tracemill.cli --config run.json COMMAND
 
@@ -9,21 +9,23 @@ Training, fusing and quantizing are not part of this package.
 from __future__ import annotations
 
 import argparse
+import json
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill import schemas
+from tracemill.functions.text import strip
 from tracemill.operators import chat, evals, report, sampling, selection
-from tracemill.operators.generate import generate, load, sized
+from tracemill.operators.generate import escalated, generate, load, sized
 from tracemill.operators.verify import verified
 from tracemill.plans.curate import curate
 from tracemill.session import local_session
-from tracemill.sources import jsonl
+from tracemill.sources import jsonl, teacher_topk
 from tracemill.sources.prompts import pool
-from tracemill.sources.settings import Settings
+from tracemill.sources.settings import Settings, fingerprint, shared_vocabulary
 from tracemill.sources.settings import load as load_config
 
 
@@ -39,6 +41,13 @@ class Run:
         path = self.out / name
         return jsonl.scan(self.spark, str(path), schema) if path.exists() else self.spark.createDataFrame([], schema)
 
+    def ordered(self, name: str, schema: str) -> DataFrame:
+        """As read(), with the order in which records were appended."""
+        path = self.out / name
+        if path.exists():
+            return jsonl.scan_ordered(self.spark, [str(path)], schema, by_time=True)
+        return self.spark.createDataFrame([], f"{schema}, file_order int, line_no long")
+
     def traces(self) -> DataFrame:
         found = sorted(p.name for p in (self.out / "teacher").glob("*")) if (self.out / "teacher").exists() else []
         return reduce(DataFrame.unionByName, [self.read(f"teacher/{n}", schemas.TRACE) for n in found]) if found else self.spark.createDataFrame([], schemas.TRACE)
@@ -65,9 +74,20 @@ class Run:
         for name in a.teacher or list(self.cfg.teachers):
             todo = selection.todo(routed.where(F.col("teacher") == name), self.read(f"teacher/{name}", schemas.TRACE))
             todo = todo.orderBy("id").limit(a.limit) if a.limit else todo
-            done = generate(todo, load(a.generator), chat.EXPERT_SYSTEM, sized(todo, self.cfg.budgets))
+            done = escalated(todo, load(a.generator), self.system(name), self.budget(todo, name), self.cfg.retries, F.col("truncated"), always=False)
             jsonl.append(done.withColumn("teacher_model", F.lit(self.cfg.teachers[name].get("path"))), self.at(f"teacher/{name}"))
 
+    def system(self, teacher: str) -> Column:
+        """The system prompt of each row: that of all experts, and the style of its domain."""
+        styles = {d: s for d in self.cfg.teachers[teacher]["domains"] if (s := self.cfg.style_for(d, teacher))}
+        table = F.create_map(*[F.lit(x) for kv in styles.items() for x in kv]).cast("map<string,string>")
+        return F.concat_ws(" ", F.lit(chat.EXPERT_SYSTEM), F.try_element_at(table, F.col("domain")))
+
+    def budget(self, rows: DataFrame, teacher: str) -> Column:
+        """The tokens of the row's kind, or else what the teacher may use."""
+        most = self.cfg.teachers[teacher].get("max_tokens")
+        return sized(rows, {"default": most} | self.cfg.budgets if most else self.cfg.budgets)
+
     def rollout(self, a: argparse.Namespace) -> None:
         prompts = self.read("pool", schemas.TRACE)
         if not (a.triage_only or a.harvest_only):
@@ -88,7 +108,9 @@ class Run:
     def hedge(self, a: argparse.Namespace) -> None:
         todo = selection.reasks(self.traces(), self.cfg, self.read("teacher/hedge", schemas.TRACE))
         todo = todo.orderBy("id").limit(a.limit) if a.limit else todo
-        done = verified(generate(todo.drop("ok", "why"), load(a.generator), chat.EXPERT_SYSTEM, sized(todo, self.cfg.budgets), prompt="ask"), self.cfg)
+        todo = todo.drop("ok", "why", "raw", "answer", "think", "truncated", "forced", "gen_tokens", "gen_seconds")
+        empty = strip(F.coalesce("answer", F.lit(""))) == ""
+        done = verified(escalated(todo, load(a.generator), chat.EXPERT_SYSTEM, sized(todo, self.cfg.budgets), self.cfg.hedge_retries, empty, always=True, prompt="ask"), self.cfg)
         jsonl.append(done.where("ok").withColumn("source", F.lit("hedge")).drop("ask", "ok", "why"), self.at("teacher/hedge"))
 
     def dataset(self, a: argparse.Namespace) -> None:
@@ -98,7 +120,7 @@ class Run:
         print(jsonl.write_stats(made.stats, self.at("stats.json")))
 
     def pairs(self, a: argparse.Namespace) -> None:
-        judged = selection.pair_reasons(self.traces(), self.read("rollouts", schemas.ROLLOUT), self.benchmark(a.skip_decontam), self.cfg, run_code=a.run_code)
+        judged = selection.pair_reasons(self.traces(), self.ordered("rollouts", schemas.ROLLOUT), self.benchmark(a.skip_decontam), self.cfg, run_code=a.run_code)
         split = sampling.split(selection.pairs(judged), "id", self.cfg.seed, self.cfg.valid_frac)
         for part in ("train", "valid"):
             jsonl.overwrite(split.where(F.col("part") == part).drop("part", "rn"), self.at(f"pairs-{part}"))
@@ -113,11 +135,16 @@ class Run:
                 items = sampling.sample(items, "id", self.cfg.seed, a.sample) if a.sample else items
                 todo = selection.todo(items, self.read(f"{folder}/{name}", schemas.EVAL))
                 todo = todo.orderBy("id").limit(a.limit) if a.limit else todo
-                done = verified(generate(todo, load(a.generator), chat.EVAL_SYSTEM, F.lit(a.max_tokens)), self.cfg, a.run_code)
+                options = {"force_budget": a.force_budget, "temp": a.temp, "rep_penalty": a.rep_penalty, "think_bias": a.think_bias}
+                done = verified(generate(todo, load(a.generator, **options), chat.EVAL_SYSTEM, F.lit(a.max_tokens)), self.cfg, a.run_code)
                 kept = F.when(F.col("truncated"), F.right("think", F.lit(1500)))
                 jsonl.append(done.select("id", F.col("ok").alias("correct"), F.col("answer").alias("output"), "truncated", "forced", F.char_length("think").alias("think_chars"), kept.alias("think_tail"), F.col("gen_tokens").alias("tokens"), F.col("gen_seconds").alias("seconds"), "meta"), self.at(f"{folder}/{name}"))
-                records = selection.one_per_key(self.read(f"{folder}/{name}", schemas.EVAL), "id", F.desc("tokens"))
-                fresh = evals.summary(records).withColumns({"benchmark": F.lit(name), "model": F.lit(a.tag or a.model)})
+                records = selection.one_per_key(self.ordered(f"{folder}/{name}", schemas.EVAL), "id", F.desc("file_order"), F.desc("line_no"))
+                decode = {k: str(v) for k, v in options.items() if v is not None and k in ("rep_penalty", "think_bias")}
+                run = {"benchmark": name, "model": a.tag or a.model, "think": True, "max_tokens": a.max_tokens, "force_budget": a.force_budget, "temp": a.temp}
+                kinds = dict(c.split(" ", 1) for c in schemas.SUMMARY.split(", "))
+                fresh = evals.summary(records).withColumns({k: F.lit(v).cast(kinds[k]) for k, v in run.items()})
+                fresh = fresh.withColumn("decode", F.create_map(*[F.lit(x) for kv in decode.items() for x in kv]).cast("map<string,string>"))
                 merged = jsonl.upsert(self.read(f"{folder}/summary", schemas.SUMMARY), fresh, "benchmark").collect()
                 jsonl.overwrite(self.spark.createDataFrame(merged, self._summary_schema(fresh)), self.at(f"{folder}/summary"))
 
@@ -135,15 +162,50 @@ class Run:
         Path(self.at("report.txt")).write_text(text + "\n")
         print(text)
 
+    def logits(self, a: argparse.Namespace) -> None:
+        """The teachers' top-k for the samples that have a domain and aren't in the store."""
+        rows = self.ordered(a.split, "messages array<struct<role:string,content:string>>")
+        numbered = rows.withColumn("sample", F.row_number().over(Window.partitionBy(F.lit(a.split)).orderBy("file_order", "line_no")).cast("int") - 1)
+        asked = numbered.withColumn("prompt", F.try_element_at("messages", F.lit(-2))["content"])
+        known = teacher_topk.domains_by_prompt(asked.select("sample", "messages", "prompt"), self.read("prompts", schemas.PROMPT))
+        routed = selection.routes(known, {k: v["domains"] for k, v in self.cfg.teachers.items()}, "domain")
+        for name in a.teacher or list(self.cfg.teachers):
+            path = self.out / "teacher_logits" / f"{a.split}-{name}"
+            todo = routed.where(F.col("teacher") == name)
+            todo = teacher_topk.missing(todo, teacher_topk.read(self.spark, str(path))) if path.exists() else todo
+            todo = todo.orderBy("sample").limit(a.limit) if a.limit else todo
+            teacher_topk.append(teacher_topk.reduced(teacher_topk.scored(todo, load(a.scorer)), self.cfg.top_k), str(path))
+
+    def check(self, a: argparse.Namespace) -> None:
+        """Whether the models are there, and which teachers share the student's vocabulary."""
+        paths = {f"teacher:{k}": v.get("path", "") for k, v in self.cfg.teachers.items()} | {"student": self.config.get("student", "")}
+        for name, path in sorted(paths.items()):
+            print(f"{'ok  ' if path and Path(path).exists() else 'MISS'} {name:<20} {path}")
+        base = fingerprint(paths["student"])
+        for name in self.cfg.teachers:
+            print(f"{name:<20} {shared_vocabulary(base, fingerprint(paths[f'teacher:{name}']))}")
+
     def status(self, a: argparse.Namespace) -> None:
+        wanted: dict[str, int] = {}
         for s in self.config.get("sources", []):
-            print(f"{s['domain']:<14} wanted {s['n']}")
-        t = self.traces().groupBy("teacher").agg(F.count("*").alias("n"), F.sum("gen_seconds").alias("s")).collect()
-        for r in t:
-            print(f"{r['teacher']}: {r['n']} traces, {(r['s'] or 0) / max(r['n'], 1):.1f} s each")
-
-
-COMMANDS = ("prompts", "teach", "rollout", "hedge", "dataset", "pairs", "eval", "report", "status")
+            wanted[s["domain"]] = wanted.get(s["domain"], 0) + s["n"]
+        print(f"prompts {self.read('prompts', schemas.PROMPT).count()} built ({', '.join(f'{k} {v}' for k, v in wanted.items())})")
+        for name, t in self.cfg.teachers.items():
+            target = sum(wanted.get(d, 0) for d in t["domains"] if self.cfg.teacher_for(d) == name)
+            r = evals.progress(self.read(f"teacher/{name}", schemas.TRACE).withColumn("file", F.lit(name)), "file", "gen_seconds").first()
+            print(f"{name:<12} " + (f"{r['done']}/{target} {r['rate']:.1f}s/trace eta {(target - r['done']) * r['rate'] / 3600:.1f}h" if r else "not started"))
+        found = Path(self.at("stats.json"))
+        if found.exists():
+            stats = json.loads(found.read_text())
+            print(f"dataset {stats.get('kept', 0)}/{stats.get('seen', 0)} kept ({stats.get('kept', 0) / max(stats.get('seen', 0), 1):.0%}) {({k: v for k, v in stats.items() if k.startswith('reject')})}")
+        else:
+            print("dataset not built")
+        for p in sorted((self.out / "eval").glob("*/summary")):
+            cells = self.read(str(p.relative_to(self.out)), schemas.SUMMARY).orderBy("benchmark").collect()
+            print(f"eval {p.parent.name:<20} " + "  ".join(f"{r['benchmark']}={r['accuracy']:.1%}({r['total']})" for r in cells))
+
+
+COMMANDS = ("check", "prompts", "teach", "rollout", "hedge", "dataset", "logits", "pairs", "eval", "report", "status")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -157,8 +219,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--run-code", action="store_true")
         if name == "prompts":
             c.add_argument("--domain", action="append")
-        if name == "teach":
+        if name in ("teach", "logits"):
             c.add_argument("--teacher", action="append")
+        if name == "logits":
+            c.add_argument("--split", default="train")
+            c.add_argument("--scorer", default="")
         if name == "rollout":
             c.add_argument("--triage-only", action="store_true")
             c.add_argument("--harvest-only", action="store_true")
@@ -170,6 +235,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--sample", type=int)
             c.add_argument("--tag")
             c.add_argument("--max-tokens", type=int, default=2048)
+            c.add_argument("--force-budget", type=int)
+            c.add_argument("--temp", type=float, default=0.0)
+            c.add_argument("--rep-penalty", type=float)
+            c.add_argument("--think-bias", type=float)
         if name == "report":
             c.add_argument("--time", action="store_true")
     return p

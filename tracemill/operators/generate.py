@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import split_think, unclosed
+from tracemill.session import stored
 
 RAW = "id string, raw string, gen_tokens int, gen_seconds double, forced boolean"
 
@@ -21,10 +22,11 @@ class Generator(Protocol):
     def __call__(self, prompts: list[str], system: str, max_tokens: int) -> list[dict]: ...
 
 
-def load(name: str) -> Callable[[], Generator]:
-    """A factory named 'module:function'; it runs once in each worker, so a model is loaded there and only there."""
+def load(name: str, **options: object) -> Callable[[], Generator]:
+    """A factory named 'module:function'; it runs once in each worker, so a model is loaded there and only there. options (of decoding) that are None aren't passed on."""
     module, _, attribute = name.partition(":")
-    return lambda: getattr(importlib.import_module(module), attribute)()
+    given = {k: v for k, v in options.items() if v is not None}
+    return lambda: getattr(importlib.import_module(module), attribute)(**given)
 
 
 def recorded(answers: dict[str, str]) -> Callable[[], Generator]:
@@ -32,22 +34,46 @@ def recorded(answers: dict[str, str]) -> Callable[[], Generator]:
     return lambda: lambda prompts, system, max_tokens: [{"raw": answers.get(p, ""), "tokens": len(answers.get(p, "").split()), "seconds": 0.0} for p in prompts]
 
 
-def generate(rows: DataFrame, factory: Callable[[], Generator], system: str, budget: Column, prompt: str = "prompt", pre_opened: bool = False) -> DataFrame:
-    """rows(id, prompt, ...) with raw, answer, think, truncated, forced, gen_tokens and gen_seconds."""
+def generate(rows: DataFrame, factory: Callable[[], Generator], system: str | Column, budget: Column, prompt: str = "prompt", pre_opened: bool = False) -> DataFrame:
+    """rows(id, prompt, ...) with raw, answer, think, truncated, forced, gen_tokens and gen_seconds. Prompts of one call share their system prompt and budget."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for frame in frames:
-            for most, part in frame.groupby("budget"):
-                out = model(list(part["prompt"]), system, int(most))
+            for (most, instruction), part in frame.groupby(["budget", "system"]):
+                out = model(list(part["prompt"]), instruction, int(most))
                 yield pd.DataFrame({"id": list(part["id"]), "raw": [x["raw"] for x in out], "gen_tokens": [x["tokens"] for x in out], "gen_seconds": [round(x["seconds"], 2) for x in out], "forced": [bool(x.get("forced", False)) for x in out]})
 
-    done = rows.select("id", F.col(prompt).alias("prompt"), budget.cast("int").alias("budget")).mapInPandas(run, RAW)
+    instruction = F.lit(system) if isinstance(system, str) else system
+    done = rows.select("id", F.col(prompt).alias("prompt"), budget.cast("int").alias("budget"), instruction.alias("system")).mapInPandas(run, RAW)
     parts = split_think(F.col("raw"), pre_opened)
     derived = done.withColumns({"answer": parts["answer"], "think": parts["think"], "truncated": unclosed(F.col("raw"), pre_opened)})
     return rows.drop("raw", "answer", "think", "truncated", "forced", "gen_tokens", "gen_seconds").join(derived, "id")
 
 
+def escalated(rows: DataFrame, factory: Callable[[], Generator], system: str | Column, budget: Column, retries: int, stuck: Column, always: bool, prompt: str = "prompt") -> DataFrame:
+    """As generate(), and what is stuck is asked again, each time with half as much budget more. A retry takes the row's place: always, or only if it isn't truncated itself. Every round is stored, since a model is asked once."""
+    done = stored(generate(rows, factory, system, budget, prompt), "generated")
+    for attempt in range(retries):
+        again = done.where(stuck)
+        if again.isEmpty():
+            break
+        once_more = stored(generate(again.select(*rows.columns), factory, system, retry_budget(budget, F.lit(attempt)), prompt), "generated")
+        done = stored(retried(done, once_more, always), "generated")
+    return done
+
+
+def retry_budget(base: Column, attempt: Column) -> Column:
+    """Tokens of a retry: 1.5 times more with each attempt, cut to an integer."""
+    return F.floor(base * F.pow(F.lit(1.5), attempt + 1)).cast("long")
+
+
+def retried(rows: DataFrame, again: DataFrame, keep_if_cut: bool) -> DataFrame:
+    """Rows with their retry in place: always, or only if the retry isn't truncated itself."""
+    ok = again if keep_if_cut else again.where(~F.col("truncated"))
+    return rows.join(ok.select("id"), "id", "left_anti").unionByName(ok)
+
+
 def sized(rows: DataFrame, budgets: dict[str, int], key: str = "kind") -> Column:
     """The budget of a row by its kind, else the default, else 2048."""
     table = F.create_map(*[F.lit(x) for kv in budgets.items() for x in kv]) if budgets else F.create_map()

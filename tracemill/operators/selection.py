@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import strip_force
 from tracemill.operators import chat
+from tracemill.operators.generate import retried, retry_budget  # noqa: F401  part of choosing rows
 from tracemill.operators.ngrams import contaminated_ids
 from tracemill.operators.sampling import draw, group_ranks
 from tracemill.operators.verify import verified
@@ -122,17 +123,6 @@ def routes(df: DataFrame, teachers: dict[str, list[str]], domain: str) -> DataFr
     return df.withColumn("teacher", F.try_element_at(table, F.col(domain))).where(F.col("teacher").isNotNull())
 
 
-def retry_budget(base: Column, attempt: Column) -> Column:
-    """Tokens of a retry: 1.5 times more with each attempt, cut to an integer."""
-    return F.floor(base * F.pow(F.lit(1.5), attempt + 1)).cast("long")
-
-
-def retried(rows: DataFrame, again: DataFrame, keep_if_cut: bool) -> DataFrame:
-    """Rows with their retry in place: always, or only if the retry isn't truncated itself."""
-    ok = again if keep_if_cut else again.where(~F.col("truncated"))
-    return rows.join(ok.select("id"), "id", "left_anti").unionByName(ok)
-
-
 def token_proxy(text: Column) -> Column:
     """Blank-separated words, where no tokenizer is plugged in."""
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != ""))

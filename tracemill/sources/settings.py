@@ -48,6 +48,9 @@ class Settings:
     valid_frac: float = 0.02
     max_samples: int | None = None
     budgets: dict[str, int] = field(default_factory=dict)
+    retries: int = 0
+    hedge_retries: int = 2
+    top_k: int = 64
 
     def teacher_for(self, domain: str) -> str:
         """The first teacher that lists the domain."""
@@ -57,7 +60,9 @@ class Settings:
         raise KeyError(f"no teacher for {domain}")
 
     def style_for(self, domain: str, teacher: str) -> str | None:
-        return self.styles.get(domain) or self.teachers[teacher].get("style")
+        """The teacher's (or else the run's) style of a domain, else the teacher's own; an empty one means none."""
+        t = self.teachers[teacher]
+        return (t.get("style_by_domain") or self.styles).get(domain, t.get("style")) or None
 
     def budget_for(self, kind: str) -> int:
         return self.budgets.get(kind) or self.budgets.get("default") or 2048
@@ -70,3 +75,24 @@ class Settings:
         if kind == "teacher":
             return self.teachers[name]["path"]
         return ref
+
+
+PROBE = "The quick brown fox: 12345, naïve café, x = [1, 2]; 漢字 🙂"
+
+
+def fingerprint(path: str) -> tuple[int, list[int]] | None:
+    """(vocabulary size, ids of a probe text) of the tokenizer.json at a path or in its folder; null if there is none."""
+    file = Path(path) if path.endswith(".json") else Path(path) / "tokenizer.json"
+    if not path or not file.exists():
+        return None
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(file))
+    return t.get_vocab_size(), t.encode(PROBE).ids
+
+
+def shared_vocabulary(student: tuple | None, teacher: tuple | None) -> str:
+    """Logits can be distilled only between models with one vocabulary."""
+    if student is None or teacher is None:
+        return "tokenizer not found"
+    return "shared vocabulary: logit distillation is viable" if student == teacher else "different vocabulary: sequence level only"

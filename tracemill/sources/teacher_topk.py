@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,20 @@ def reduced(logits: DataFrame, k: int = 64) -> DataFrame:
     return logits.select("sample", "pos", top.alias("t")).select("sample", "pos", F.transform("t", lambda x: x["id"]).alias("ids"), F.transform("t", lambda x: x["logprob"].cast("float")).alias("logprobs"))
 
 
+def scored(samples: DataFrame, factory: Callable[[], Callable]) -> DataFrame:
+    """samples(sample, messages) -> (sample, pos, values): the logits that a scorer gives for the positions of the answer. The scorer is called with one sample's messages and returns a list of lists."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = factory()
+        for frame in frames:
+            for sample, messages in zip(frame["sample"], frame["messages"], strict=True):
+                values = score([dict(m) for m in messages])
+                yield pd.DataFrame({"sample": [sample] * len(values), "pos": range(len(values)), "values": [[float(x) for x in row] for row in values]})
+
+    plain = F.transform("messages", lambda m: F.create_map(F.lit("role"), m["role"], F.lit("content"), m["content"]))
+    return samples.select("sample", plain.alias("messages")).mapInPandas(run, "sample int, pos int, values array<double>")
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Partitioned by a hash of the sample, so a resumed run only reads what it has to."""
     rows.withColumn("slice", F.pmod(F.xxhash64("sample"), F.lit(64)).cast("int")).write.mode("append").partitionBy("slice").parquet(path)
