@@ -127,11 +127,11 @@ def test_ngrams(spark):
     docs = rows(spark, [(1, "see: QUICK brown, fox jumps over a lazy cat"), (2, "quick brown fox runs"), (3, None), (4, "")], "doc_id long, text string")
     assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench, 5).collect()] == [1]
     assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench.limit(0), 5).collect()] == []
-    ngrams.LITERAL_LIMIT, old = 0, ngrams.LITERAL_LIMIT
+    ngrams.BROADCAST_GRAMS, old = -1, ngrams.BROADCAST_GRAMS
     try:
         assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench, 5).collect()] == [1]
     finally:
-        ngrams.LITERAL_LIMIT = old
+        ngrams.BROADCAST_GRAMS = old
 
 
 def test_normalisers(spark):

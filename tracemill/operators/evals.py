@@ -24,14 +24,15 @@ def summary(records: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def running_accuracy(records: DataFrame, by: str, order: str, cells: int = 256) -> DataFrame:
+def running_accuracy(records: DataFrame, by: str, order: str, cells: int | None = None) -> DataFrame:
     """records with the accuracy over the items done so far; order is an integer column.
 
     The order is cut into equal ranges; what the ranges before hold (a row for
     each group and range) is added to the window within a range, so a long run
     is no single task.
     """
-    edge = records.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    edge = records.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
+    cells = cells or max(256, edge["n"] // 1_000_000)
     width = max(1, -(-(edge["hi"] - edge["lo"] + 1) // cells)) if edge["lo"] is not None else 1
     celled = records.withColumn("__cell", F.floor((F.col(order) - (edge["lo"] or 0)) / width))
     sums = celled.groupBy(F.col(by).alias("__by"), "__cell").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))

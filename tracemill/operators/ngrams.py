@@ -1,9 +1,10 @@
-"""n-gram decontamination without a shuffle.
+"""n-gram decontamination without shuffling texts.
 
-A document's n-grams are hashed in place and overlapped with the index of all
-benchmark n-grams, a literal array if its checked size allows; a larger index
-is joined. Hash hits are then verified on the n-gram strings, which concerns
-the few documents that hit.
+A document's n-grams are hashed in place and looked up in a hash table of all
+benchmark n-grams, which is broadcast if its checked size allows (joined by a
+shuffle of hashes otherwise), so a lookup doesn't grow with the benchmark. Hash
+hits are then verified on the n-gram strings, which concerns the few documents
+that hit.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import let, tokens
+from tracemill.session import path_bytes, stored
 
-LITERAL_LIMIT = 100_000
+BROADCAST_GRAMS, BROADCAST_BYTES = 4_000_000, 32 << 20
 
 
 def gram_hashes(text: Column, n: int) -> Column:
@@ -34,11 +36,9 @@ def index(benchmark: DataFrame, n: int, text: str = "text") -> DataFrame:
 def contaminated_ids(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id") -> DataFrame:
     """Ids of the documents that share an n-gram with the benchmark."""
     known = benchmark.select(F.explode(gram_hashes(F.col("text"), n)).alias("h")).distinct()
-    found = [r["h"] for r in known.limit(LITERAL_LIMIT + 1).collect()]
+    known = F.broadcast(known) if known.count() <= BROADCAST_GRAMS else known
     rows = docs.select(key, "text")
-    if len(found) <= LITERAL_LIMIT:
-        wanted = F.array(*map(F.lit, found)) if found else F.array().cast("array<bigint>")
-        hit = rows.where(F.coalesce(F.arrays_overlap(gram_hashes(F.col("text"), n), wanted), F.lit(False)))
-    else:
-        hit = rows.join(rows.select(key, F.explode(gram_hashes(F.col("text"), n)).alias("h")).join(known, "h", "left_semi").select(key).distinct(), key, "left_semi")
-    return hit.select(key, F.explode(grams(F.col("text"), n)).alias("gram")).join(index(benchmark, n), "gram", "left_semi").select(key).distinct()
+    found = stored(rows.select(key, F.explode(gram_hashes(F.col("text"), n)).alias("h")).join(known, "h", "left_semi").select(key).distinct(), "gram-hits")
+    hits = F.broadcast(found) if path_bytes(docs.sparkSession, found._stored_at) <= BROADCAST_BYTES else found
+    grams_there = rows.join(hits, key, "left_semi").select(key, F.explode(grams(F.col("text"), n)).alias("gram"))
+    return grams_there.join(index(benchmark, n), "gram", "left_semi").select(key).distinct()

@@ -25,12 +25,16 @@ def sample(df: DataFrame, key: str, seed: int, k: int) -> DataFrame:
 def group_ranks(df: DataFrame, key: str, seed: int, group: str | None = None) -> DataFrame:
     """df with `rn`, the rank from 1 of every row in the order of the draw, overall or within each group, without bringing a group's rows into one task.
 
-    The draw's leading hex digits cut the order into 256 ranges; ranks within a
-    range come from a window, and the row counts of the ranges before it (at
-    most 256 a group, groups being domains or kinds) are added.
+    The draw's leading hex digits cut the order into ranges of at most a million
+    rows or so; ranks within a range come from a window, and the row counts of
+    the ranges before it (one for each range and group, groups being domains or
+    kinds) are added. How many ranges there are doesn't change a rank.
     """
+    total, digits = df.count(), 2
+    while total > 1_000_000 * 16**digits and digits < 5:
+        digits += 1
     parts = [F.col(group)] if group else []
-    ranged = df.withColumn("__draw", draw(seed, *parts, F.col(key))).withColumn("__range", F.substring("__draw", 1, 2)).withColumn("__group", F.col(group).cast("string") if group else F.lit(""))
+    ranged = df.withColumn("__draw", draw(seed, *parts, F.col(key))).withColumn("__range", F.substring("__draw", 1, digits)).withColumn("__group", F.col(group).cast("string") if group else F.lit(""))
     before: dict = {}
     shifts = []
     for r in sorted(ranged.groupBy("__group", "__range").count().collect(), key=lambda r: (r["__group"] or "", r["__group"] is None, r["__range"])):
