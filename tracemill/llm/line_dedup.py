@@ -3,18 +3,22 @@
 1. Every line is normalised (lower case, ASCII punctuation dropped, digits
    made 0, blanks collapsed) and hashed; its words make a 64-bit SimHash. One
    pass over the text, with numpy over whole batches.
-2. Lines with equal normalised text are one node. Nodes of `min_words` words
-   or more whose SimHashes differ in at most three bits are candidates: of
-   five blocks of the bits at least two must then be equal (pigeonhole), so
-   each hash is dealt under the ten pairs of blocks, and within a pair's
-   bucket the remaining bits are compared. Very large buckets are divided
-   again by blocks of their remaining bits, which is exact too.
-3. Candidates are verified by edit similarity (1 - Levenshtein / longer
-   length, of the normalised lines) of `similarity` or more. In a bucket, each
-   set of hashes that hang together gives a spanning tree first, so a large
-   group of variants costs no more pairs than it has members. Sets that the
-   verified tree doesn't join completely are then looked at again, and all
-   their pairs across the parts are verified, so no link is lost.
+2. Lines with equal normalised text are one node. A node also has a SimHash in
+   five blocks: its words of LONG bytes or more (of a long line some SAMPLE of
+   them, drawn by hash) are dealt to the blocks by hash, and each block is the
+   SimHash of its own words. A replaced word touches two blocks at most, so by
+   the pigeonhole principle three stay equal; nodes that agree in two blocks of
+   LEAST words or more together are joined under that pair. Lines with few long
+   words, or none (short lines, scripts without blanks), use GRAM-byte strings
+   instead of words; around the boundary a line has both kinds of keys.
+3. Candidates further apart than FAR bits of the whole SimHash fall out, the
+   rest is verified by edit similarity (1 - Levenshtein / longer length, of the
+   normalised lines) of `similarity` or more. In a bucket of up to SMALL nodes
+   all pairs are candidates. In a larger one each node is tried with the
+   nearest before it; buckets that the verified links don't join completely are
+   then looked at again, and all their pairs across the parts are tried (in
+   pairs of chunks of CHUNK nodes, each a group by itself), so no link is lost.
+   Such a pair gives a row only if it is a link that joins two parts.
 4. Connected groups keep the occurrence that is first by (doc_id, text hash,
    line number); all other occurrences go. Blank lines always stay.
 
@@ -24,10 +28,14 @@ their dropped lines (broadcast if its stored size is under `broadcast_bytes`,
 else by a shuffle).
 
 Given cases: null and empty text stay as they are; documents with lines that
-all go are removed, since all they held is kept elsewhere; rows that repeat a
-doc_id with an equal text are one document and share its outcome; null ids
-sort first; an empty table gives an empty one; further columns are carried
-along. Hashes of lines have 64 bits: texts that collide would count as equal.
+all go are removed, since all they held is kept elsewhere (or kept with a null
+text, if asked for); rows that repeat a doc_id with an equal text are one
+document and share its outcome; null ids sort first; equal lines tie by
+(doc_id, text hash, line number); a very long text is read line by line and a
+very long line has as few keys as any other; an empty table gives an empty
+one; further columns are carried along, but for those named like the new ones
+(dropped_lines, keepers): they are replaced. Hashes of lines have 64 bits:
+texts that collide would count as equal.
 """
 
 from __future__ import annotations
@@ -43,16 +51,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.batches import sliced
-from tracemill.llm.components import components
-from tracemill.llm.text_hash import simhashes, span_hash, words_of
-from tracemill.session import path_bytes, stored
-
-DISTANCE, BLOCKS = 3, 5
-LIMIT = 2048  # hashes that are compared with one another directly
-BATCH_BYTES = 256 << 10
+from tracemill.llm.batches import sliced, small_batches, unused
+from tracemill.llm.components import components, joined
+from tracemill.llm.text_hash import mix, simhashes, span_hash, words_of
+from tracemill.session import discard, path_bytes, stored
+
+BLOCKS, LEAST = 5, 3  # blocks of a line's SimHash, and features that a pair of equal blocks must hold
+LONG, FEW, SAMPLE = 5, 6, 12  # bytes of a word that counts, words under which a line has grams, words drawn
+GRAM, GRAMS = 4, 8  # bytes of a gram, grams drawn
+FAR, SHORT = 17, 8  # bits of the whole SimHash, which is left out of play for lines under SHORT words
+SMALL, CHUNK = 8, 2048
+BATCH_BYTES = 512 << 10
 DIGITS = bytes(ord("0") if chr(b).isdigit() and b < 128 else 32 if b < 32 and b != 10 else b for b in range(256))
 MARKS = string.punctuation.encode()
+_GRAM = np.array([1 << 8 * i for i in range(GRAM)], np.uint64)
 
 
 def flattened(text: str) -> bytes:
@@ -64,124 +76,172 @@ def normal(line: str) -> str:
     return " ".join(flattened(line.replace("\n", " ")).decode().split(" ")).strip() if line else ""
 
 
+def _block_keys(kind: int, line: np.ndarray, feature: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) for all pairs of blocks with enough different features. line, feature: which feature hashes a line has."""
+    cell = line * BLOCKS + (feature % np.uint64(BLOCKS)).astype(np.int64)
+    order = np.lexsort((feature, cell))
+    cell, feature = cell[order], feature[order]
+    fresh = np.ones(len(cell), bool)
+    fresh[1:] = (cell[1:] != cell[:-1]) | (feature[1:] != feature[:-1])
+    cell, feature = cell[fresh], feature[fresh]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    last = np.append(first[1:], len(cell))[: len(first)]
+    block, held = np.zeros(lines * BLOCKS, np.uint64), np.zeros(lines * BLOCKS, np.int64)
+    block[cell[first]], held[cell[first]] = simhashes(feature, first, last), last - first
+    block, held = block.reshape(lines, BLOCKS), held.reshape(lines, BLOCKS)
+    rows, keys = [], []
+    for k, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
+        own = np.flatnonzero(held[:, i] + held[:, j] >= LEAST)
+        a, b = (block[own, c] + held[own, c].astype(np.uint64) for c in (i, j))
+        rows.append(own)
+        keys.append(mix(mix(a + np.uint64(k + 16 * kind)) * np.uint64(31) + b))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _drawn(feature: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
+    """Which features are drawn, about `most` of a line that has `of`."""
+    return (feature >> np.uint64(32)).astype(np.float64) * of < most * 2.0**32
+
+
 def hashed_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """For all lines with words: text number, line number, line hash, SimHash, words."""
+    """For all lines with words: text number, line number, line hash, SimHash (its lowest bit tells whether the line is short), and (keys, cuts)."""
     flat = [flattened(t) for t in texts]
     data = np.frombuffer(b"\n".join(flat) + b"\n", np.uint8)
-    if not texts:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
     breaks = data == 10
     starts, ends = words_of(data, breaks | (data == 32))
+    if not len(starts):
+        none = np.empty(0, np.int64)
+        return none, none, none, none, none, np.zeros(1, np.int64)
     line = np.cumsum(breaks)[starts]
     word = span_hash(data.astype(np.uint64), starts, ends)
     first = np.flatnonzero(np.diff(line, prepend=-1))
-    last = np.append(first[1:], len(line))[: len(first)]
-    lines = line[first]
+    last = np.append(first[1:], len(line))
+    lines, words, n = line[first], last - first, len(first)
     per_text = np.array([f.count(b"\n") + 1 for f in flat])
     opens = np.concatenate([[0], np.cumsum(per_text)])
     owner = np.searchsorted(opens, lines, side="right") - 1
-    return owner, lines - opens[owner], span_hash(word, first, last).view(np.int64), simhashes(word, first, last).view(np.int64), last - first
+
+    at = np.repeat(np.arange(n), words)
+    long = ends - starts >= LONG
+    many = np.add.reduceat(long.astype(np.int64), first)[at]
+    pick = long & (many >= FEW - 1) & _drawn(word, many, SAMPLE)
+    found = [_block_keys(0, at[pick], word[pick], n)]
+    few = np.flatnonzero(many <= FEW + 1)
+    if len(few):  # the normalised lines, a blank after each word
+        size = ends[few] - starts[few] + 1
+        chars = data[np.repeat(starts[few] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        chars[np.cumsum(size) - 1] = 32
+        own = np.repeat(at[few], size)
+        grams = np.lib.stride_tricks.sliding_window_view(chars, GRAM) if len(chars) >= GRAM else np.zeros((0, GRAM), np.uint8)
+        inside = own[: len(grams)] == own[GRAM - 1 :]
+        gram, own = mix(grams[inside].astype(np.uint64) @ _GRAM), own[: len(grams)][inside]
+        pick = _drawn(gram, np.bincount(own, minlength=n)[own], GRAMS)
+        found.append(_block_keys(1, own[pick], gram[pick], n))
+    row, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    sim = simhashes(word, first, last) & ~np.uint64(1) | (words < SHORT).astype(np.uint64)
+    return owner, lines - opens[owner], span_hash(word, first, last).view(np.int64), sim.view(np.int64), key[order].view(np.int64), np.searchsorted(row[order], np.arange(n + 1))
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BATCH_BYTES):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         texts = b.column(2).to_pylist()
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BATCH_BYTES):
-                size += len(texts[hi])
-                hi += 1
-            owner, pos, lh, sim, n = hashed_lines(texts[lo:hi])
+        for lo, hi in _pieces(texts):
+            owner, pos, lh, sim, keys, cuts = hashed_lines(texts[lo:hi])
             at = pa.array(owner + lo)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(lh), pa.array(sim), pa.array(n, pa.int32())], names=["doc_id", "th", "pos", "lh", "sim", "words"])
-            lo = hi
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(lh, pa.int64()), pa.array(sim, pa.int64()), lists], names=["doc_id", "th", "pos", "lh", "sim", "keys"])
 
 
-def near(sims: np.ndarray, free: list[int], t: int, parts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of distinct unsigned hashes within t bits of one another, which agree outside the bits in `free`.
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which SimHashes differ; 0 where one of them is a short line's."""
+    return np.where((a | b) & np.uint64(1), 0, np.bitwise_count(a ^ b))
 
-    Without parts: pairs that connect the same hashes as all pairs would (some
-    may close circles). With parts: all pairs whose parts differ.
-    """
-    if len(sims) < 2:
-        return []
-    if len(sims) > LIMIT and len(free) > t:
-        out = []
-        for k in range(t + 1):
-            block = free[k :: t + 1]
-            mask = np.uint64(sum(1 << b for b in block))
-            rest = [b for b in free if b not in block]
-            order = np.argsort(sims & mask, kind="stable")
-            for run in np.split(order, np.flatnonzero(np.diff((sims & mask)[order])) + 1):
-                out += near(sims[run], rest, t, None if parts is None else parts[run])
-        return out
-    out, label = [], np.arange(len(sims))
-    for lo in range(0, len(sims), LIMIT):
-        close = np.bitwise_count(sims[lo : lo + LIMIT, None] ^ sims[None, lo:]) <= t
-        if parts is not None:
-            a, b = np.nonzero(close & (parts[lo : lo + LIMIT, None] != parts[None, lo:]))
-            ok = b > a
-            out.append((sims[lo:][a[ok]], sims[lo:][b[ok]]))
-            continue
-        for i in np.flatnonzero(close.sum(axis=1) > 1):
-            there = np.flatnonzero(close[i]) + lo
-            own = label[lo + i]
-            names, at = np.unique(label[there], return_index=True)
-            if len(names) > 1:
-                pick = there[at[names != own]]
-                out.append((np.full(len(pick), sims[lo + i]), sims[pick]))
-                label[np.isin(label, names)] = own
-    return out
-
-
-def _masks() -> list[int]:
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    part = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(BLOCKS)]
-    return [part[i] | part[j] for i, j in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _buckets(no: np.ndarray, sim: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """The hashes of all buckets with two or more, with the bits that differ within them."""
-    for k, mask in enumerate(_masks()):
-        own = np.unique(sim[no == k])
-        key = own & np.uint64(mask)
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        free = [b for b in range(64) if not mask >> b & 1]
-        for i in np.flatnonzero(np.diff(cuts) > 1):
-            yield own[cuts[i] : cuts[i + 1]], free
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (no, sim), whole buckets -> (s1, s2, root): pairs that connect what hangs together within a bucket, and the smallest hash of each such set. 9 bytes a row are held."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+
+def nearest(sims: np.ndarray) -> np.ndarray:
+    """For each but the first the place of the one before it with the fewest differing bits."""
+    out = np.zeros(len(sims), np.int64)
+    for lo in range(0, len(sims), 256):
+        part = np.bitwise_count(sims[lo : lo + 256, None] ^ sims[None, : lo + 256])
+        part[np.arange(part.shape[1])[None, :] >= lo + np.arange(len(part))[:, None]] = 255
+        out[lo : lo + 256] = part.argmin(axis=1)
+    return out[1:]
+
+
+def _large(lh: np.ndarray, sim: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large bucket that mostly join what belongs together: each member and the nearest before it in its chunk, and the eight nearest of each chunk and the first one's head."""
+    for at in range(0, len(lh), CHUNK):
+        own, there = lh[at : at + CHUNK], sim[at : at + CHUNK]
+        j = nearest(there)
+        ok = apart(there[1:], there[j]) <= FAR
+        yield own[1:][ok], own[j[ok]]
+        if at:
+            gap = np.bitwise_count(there[:256, None] ^ sim[None, :256])
+            a, b = np.unravel_index(np.argsort(gap, axis=None, kind="stable")[:8], gap.shape)
+            yield own[a], lh[b]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of (k, lh, sim), whole buckets -> (a, b, null), pairs to verify, and (lh, sim, k), the members of buckets that are not small. 24 bytes a row are held."""
+    held = [[c.to_numpy() for c in b.columns] for b in batches]
     if not held:
         return
-    no, sim = (np.concatenate(x) for x in zip(*held, strict=True))
-    rows: list[tuple[int, int, int]] = []
-    for own, free in _buckets(no, sim.view(np.uint64)):
-        if len(own) == 2:  # most buckets of any use
-            found = [(int(own[0]), int(own[1]))] if int(own[0] ^ own[1]).bit_count() <= DISTANCE else []
-        else:
-            found = [(int(x), int(y)) for a, b in near(own, free, DISTANCE) for x, y in zip(a, b, strict=True)]
-        if not found:
-            continue
+    k, lh, sim = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    order = np.lexsort((lh, k))
+    k, lh, sim = k[order], lh[order], sim[order].view(np.uint64)
+    cuts = np.append(np.flatnonzero(np.diff(k, prepend=~k[0])), len(k))
+    size = np.repeat(np.diff(cuts), np.diff(cuts))
+    pairs = []
+    for step in range(1, SMALL):
+        i = np.flatnonzero((k[step:] == k[:-step]) & (size[step:] <= SMALL))
+        i = i[apart(sim[i], sim[i + step]) <= FAR]
+        pairs.append((lh[i], lh[i + step]))
+    large = np.flatnonzero(np.diff(cuts) > SMALL)
+    for lo, hi in zip(cuts[large], cuts[large + 1], strict=True):
+        pairs += _large(lh[lo:hi], sim[lo:hi])
+    found = np.unique(np.stack([np.concatenate(x) for x in zip(*((np.minimum(a, b), np.maximum(a, b)) for a, b in pairs), strict=True)], axis=1), axis=0)
+    if len(found):
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], names=["a", "b", "k"])
+    many = size > SMALL
+    if many.any():
+        yield pa.RecordBatch.from_arrays([pa.array(lh[many]), pa.array(sim[many].view(np.int64)), pa.array(k[many])], names=["a", "b", "k"])
+
+
+def _across(similarity: float) -> callable:
+    """The rows (k, i, j, chunk, lh, sim, part, line) of one bucket and one pair of its chunks -> links that join parts. Every pair across parts that is near enough is verified, unless its parts have been joined meanwhile."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        lh, part, chunk = (rows[c].to_numpy() for c in ("lh", "part", "chunk"))
+        sim, line = rows["sim"].to_numpy().view(np.uint64), rows["line"].to_pylist()
+        ones = np.flatnonzero(chunk == i)
+        others = ones if i == j else np.flatnonzero(chunk == j)
         root: dict[int, int] = {}
-        for x, y in found:
-            x, y = _find(root, x), _find(root, y)
-            root[max(x, y)] = min(x, y)
-        rows += [(min(x, y), max(x, y), _find(root, x)) for x, y in found]
-        if len(rows) > 50_000:
-            yield _longs(rows, ["s1", "s2", "root"])
-            rows = []
-    if rows:
-        yield _longs(rows, ["s1", "s2", "root"])
+        out = []
+        for x in ones.tolist():
+            gap = apart(sim[[x]], sim[others])
+            near = others[(gap <= FAR) & (part[others] != part[x]) & ((lh[others] > lh[x]) if i == j else True)]
+            for y in near.tolist():
+                p, q = _find(root, int(part[x])), _find(root, int(part[y]))
+                if p != q and alike(line[x], line[y], similarity):
+                    root[max(p, q)] = min(p, q)
+                    out.append((min(lh[x], lh[y]), max(lh[x], lh[y])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _find(root: dict[int, int], x: int) -> int:
@@ -190,59 +250,31 @@ def _find(root: dict[int, int], x: int) -> int:
     return x
 
 
-def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*rows, strict=True)], names=names)
-
-
-def trees(sims: DataFrame, count: int) -> DataFrame:
-    """sims(sim), distinct -> (s1, s2, root), which connect all hashes that pairs within DISTANCE bits connect."""
-    masks = _masks()
-    keys = F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("no"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("k")) for k, m in enumerate(masks)])).alias("x")
-    parts = max(int(sims.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(masks) // 2_000_000))
-    dealt = sims.select("sim", keys).select("x.no", "sim", F.xxhash64("x.no", "x.k").alias("k")).repartition(parts, F.pmod("k", F.lit(parts * 64)))
-    return dealt.select("no", "sim").mapInArrow(_trees, "s1 long, s2 long, root long")
+def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """members(k, lh, sim) of large buckets; parts(node, comp), what is joined so far; texts(lh, line) -> (a, b), the links that were still missing."""
+    named = members.join(parts, members["lh"] == parts["node"], "left").select("k", "lh", "sim", F.coalesce("comp", "lh").alias("part"))
+    torn = named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    dealt = named.join(torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q")), "k").withColumn("chunk", F.pmod(F.xxhash64("lh"), F.col("q")).cast("int"))
+    dealt = dealt.join(texts, "lh").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "lh", "sim", "part", "line")
+    return dealt.groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long")
 
 
-def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (root, sim, part), whole sets -> all pairs within DISTANCE bits across parts."""
-    held = [[c.to_numpy() for c in b.columns] for b in batches]
-    if not held:
-        return
-    root, sim, part = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((sim, root))
-    root, sim, part = root[order], sim.view(np.uint64)[order], part[order]
-    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(root)) + 1, [len(root)]])), strict=True):
-        for a, b in near(sim[lo:hi], list(range(64)), DISTANCE, part[lo:hi]):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["s1", "s2"])
-
-
-def crossings(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """found: trees(); parts(sim, part): the component of a hash's lines, null where they are in several -> pairs that still have to be tried."""
-    members = found.select("root", F.col("s1").alias("sim")).union(found.select("root", "s2")).distinct().join(parts, "sim")
-    # a hash whose lines are in several components is a part by itself
-    named = members.select("root", "sim", F.coalesce(F.xxhash64(F.lit("part"), "part"), F.xxhash64(F.lit("sim"), "sim")).alias("part"))
-    open_ = named.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("root")
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return named.join(open_, "root").select("root", "sim", "part").repartition(n, "root").mapInArrow(_crossings, "s1 long, s2 long").distinct()
-
-
-def _rebuild(keep_columns: list[str], at: int) -> callable:
+def _rebuild(names: list[str], at: int, keep_emptied: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            gone, texts, out, dropped = b.column(len(keep_columns)).to_pylist(), b.column(at).to_pylist(), [], []
+            gone, texts, out, dropped, keepers = b.column(len(names)).to_pylist(), b.column(at).to_pylist(), [], [], []
             for t, g in zip(texts, gone, strict=True):
-                if not g:
-                    out.append(t)
-                    dropped.append(0)
-                    continue
-                go = set(g)
-                left = [x for i, x in enumerate(t.split("\n")) if i not in go]
-                out.append("\n".join(left) if any(normal(x) for x in left) else None)
-                dropped.append(len(go))
-            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(keep_columns))]
-            stays = pa.array([not g or o is not None for g, o in zip(gone, out, strict=True)])
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(dropped, pa.int32())], names=[*keep_columns, "dropped_lines"]).filter(stays)
+                if g:
+                    go = {x["pos"] for x in g}
+                    left = [x for i, x in enumerate(t.split("\n")) if i not in go]
+                    t = "\n".join(left) if any(normal(x) for x in left) else None
+                out.append(t)
+                dropped.append(len(g) if g else 0)
+                keepers.append(sorted({x["doc_id"] for x in g if x["doc_id"] is not None}) if g else [])
+            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            made = pa.RecordBatch.from_arrays([*cols, pa.array(dropped, pa.int32()), pa.array(keepers, pa.list_(pa.int64()))], names=[*names, "dropped_lines", "keepers"])
+            yield made if keep_emptied else made.filter(pa.array([not g or o is not None for g, o in zip(gone, out, strict=True)], pa.bool_()))
 
     return run
 
@@ -251,46 +283,46 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, th, gone): for each document with dropped lines their numbers from 0."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
-    lines = stored(rows.mapInArrow(_lines, "doc_id long, th long, pos int, lh long, sim long, words int"), "lines")
+def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, th, gone): for each document with dropped lines, these lines' numbers from 0, each with the doc_id and line that is kept instead."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    lines = stored(rows.mapInArrow(_lines, "doc_id long, th long, pos int, lh long, sim long, keys array<long>"), "lines")
     where = F.struct("doc_id", "th", "pos")
-    nodes = stored(lines.groupBy("lh").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.min("sim").alias("sim"), F.min("words").alias("words")), "line-nodes")
+    nodes = stored(lines.groupBy("lh").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.min(F.struct("sim", "keys")).alias("x")).select("lh", "first", "last", "x.sim", "x.keys"), "line-nodes")
 
-    fuzzy = nodes.where(F.col("words") >= min_words).select("lh", "sim", "first", "words")
-    sims = stored(fuzzy.groupBy("sim").agg(F.count("*").alias("n")), "line-sims")
-    found = stored(trees(sims.select("sim"), sims.count()), "line-trees")
-    same = sims.where("n > 1").select(F.col("sim").alias("s1"), F.col("sim").alias("s2"))
-    wanted = found.select(F.col("s1").alias("sim")).union(found.select("s2")).union(same.select("s1")).distinct()
-    taken = stored(fuzzy.join(wanted, "sim").select("sim", "lh", "first.doc_id", "first.th", "first.pos"), "line-wanted")
+    keyed = nodes.select(F.explode("keys").alias("k"), "lh", "sim")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * 10 // 2_000_000))
+    found = stored(keyed.repartition(parts, "k").mapInArrow(_candidates, "a long, b long, k long"), "line-candidates")
+    pairs = found.where("k is null").select("a", "b").distinct()
+    members = found.where("k is not null").select("k", F.col("a").alias("lh"), F.col("b").alias("sim"))
 
     # the text of the lines that take part in a candidate pair, from one occurrence of each
-    asked = taken.groupBy(F.col("doc_id").alias("d"), "th").agg(F.collect_list(F.struct("pos", "lh", "sim")).alias("asked"))
-    asked = F.broadcast(asked) if path_bytes(docs.sparkSession, taken._stored_at) <= broadcast_bytes else asked
+    wanted = found.select(F.col("a").alias("lh")).union(found.where("k is null").select("b")).distinct()
+    taken = stored(nodes.select("lh", "first").join(wanted, "lh").select("lh", "first.doc_id", "first.th", "first.pos"), "line-wanted")
+    asked = taken.groupBy(F.col("doc_id").alias("d"), "th").agg(F.collect_list(F.struct("pos", "lh")).alias("asked"))
+    asked = F.broadcast(asked) if path_bytes(spark, taken._stored_at) <= broadcast_bytes else asked
     texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == asked["th"])).select("text", "asked")
-    texts = stored(texts.mapInArrow(_fetch, "lh long, sim long, line string").dropDuplicates(["lh"]), "line-texts")
-    left, right = texts.toDF("a", "s1", "la"), texts.toDF("b", "s2", "lb")
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left, "s1").join(right, "s2").where((F.col("s1") != F.col("s2")) | (F.col("a") < F.col("b")))
-        return both.select("a", "b", "la", "lb").mapInArrow(_verified(similarity), "a long, b long")
-
-    links = stored(tried(found.select("s1", "s2").distinct().union(same)), "line-links")
-    first_groups = components(links).toDF("lh", "comp")
-    parts = taken.select("sim", "lh").join(first_groups, "lh", "left").groupBy("sim").agg(F.min(F.coalesce("comp", "lh")).alias("lo"), F.max(F.coalesce("comp", "lh")).alias("hi"))
-    parts = parts.select("sim", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("part"))
-    more = stored(tried(crossings(found, parts)), "line-links")
-    groups = first_groups if more.isEmpty() else components(links.union(more)).toDF("lh", "comp")
-    joined = nodes.join(groups, "lh").select("lh", "comp", "first")
-    firsts = joined.groupBy("comp").agg(F.min("first").alias("keeper"))
-    fuzzy_keep = joined.join(firsts, "comp").select("lh", "keeper")
+    texts = stored(texts.mapInArrow(_fetch, "lh long, line string").dropDuplicates(["lh"]), "line-texts")
+    left, right = texts.toDF("a", "la"), texts.toDF("b", "lb")
+
+    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(_verified(similarity), "a long, b long"), "line-links")
+    first_groups = components(links)
+    more = stored(across(members, first_groups, texts, similarity), "line-links")
+    groups = joined(first_groups, more).toDF("lh", "comp")
+    there = nodes.select("lh", "first").join(groups, "lh").select("lh", "comp", "first")
+    firsts = there.groupBy("comp").agg(F.min("first").alias("keeper"))
+    fuzzy_keep = there.join(firsts, "comp").select("lh", "keeper")
     repeated = nodes.where(F.col("first") != F.col("last")).select("lh", F.col("first").alias("own"))
     keep = repeated.join(fuzzy_keep, "lh", "full_outer").select("lh", F.coalesce("keeper", "own").alias("keeper"))
     keep = stored(keep, "line-keepers")
-    keep = F.broadcast(keep) if path_bytes(docs.sparkSession, keep._stored_at) <= broadcast_bytes else keep
-    gone = lines.join(keep, "lh").where(~where.eqNullSafe(F.col("keeper")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    held = F.broadcast(keep) if path_bytes(spark, keep._stored_at) <= broadcast_bytes else keep
+    gone = lines.select("doc_id", "th", "pos", "lh").join(held, "lh").where(~where.eqNullSafe(F.col("keeper")))
+    gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("pos"), F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.pos").alias("line"))).alias("gone")), "dropped-lines")
+    for done in (lines, nodes, found, taken, texts, links, first_groups, more, keep):
+        discard(done)
+    return gone
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -316,13 +348,33 @@ def edits(a: str, b: str, most: int) -> int:
     return at
 
 
+def replaced(x: list[str], y: list[str], most: int) -> bool:
+    """Whether replacing, dropping or adding whole words leads from x to y within `most` edits, going by the next words that are equal: an upper bound of the distance."""
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        p, q = x[i], y[j]
+        if p != q:
+            if i + 1 < len(x) and x[i + 1] == q and not (j + 1 < len(y) and x[i + 1] == y[j + 1]):
+                cost += len(p) + 1
+                j -= 1
+            elif j + 1 < len(y) and p == y[j + 1] and not (i + 1 < len(x) and x[i + 1] == y[j + 1]):
+                cost += len(q) + 1
+                i -= 1
+            else:
+                cost += max(len(p), len(q))
+            if cost > most:
+                return False
+        i += 1
+        j += 1
+    return cost + sum(len(p) + 1 for p in (*x[i:], *y[j:])) <= most
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
-    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; replacing differing words one by one, or all between the equal ends, bounds the distance from above and mostly decides."""
+    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; going word by word, or replacing all between the equal ends, bounds the distance from above and mostly decides."""
     most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+    if replaced(a.split(" "), b.split(" "), most):
         return True
     lo = len(commonprefix((a, b)))
     a, b = a[lo:], b[lo:]
@@ -344,18 +396,20 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             lines = text.split("\n")
-            rows += [(a["lh"], a["sim"], normal(lines[a["pos"]])) for a in asked]
+            rows += [(a["lh"], normal(lines[a["pos"]])) for a in asked]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lh", "sim", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lh", "line"])
 
 
-def dedup(docs: DataFrame, broadcast_bytes: int = 32 << 20, **params) -> DataFrame:
-    """docs with the lines that stay, and dropped_lines, the number of those that went."""
-    found = stored(dropped_lines(docs, broadcast_bytes=broadcast_bytes, **params), "dropped-lines")
-    gone = found.toDF("__doc", "__th", "__gone")
+def dedup(docs: DataFrame, keep_emptied: bool = False, broadcast_bytes: int = 32 << 20, **params) -> DataFrame:
+    """docs with the lines that stay, dropped_lines, the number of those that went, and keepers, the ids of the documents that hold them instead. keep_emptied: documents without a line left stay, with a null text."""
+    found = dropped_lines(docs, broadcast_bytes=broadcast_bytes, **params)
+    docs = docs.drop("dropped_lines", "keepers")
+    doc, hashed, list_ = unused(docs, "__doc", "__th", "__gone")
+    gone = found.toDF(doc, hashed, list_)
     gone = F.broadcast(gone) if path_bytes(docs.sparkSession, found._stored_at) <= broadcast_bytes else gone
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (_text_hash(F.col("text")) == F.col("__th"))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (_text_hash(docs["text"].cast("string")) == F.col(hashed))
     names = docs.columns
-    rows = docs.join(gone, on, "left").select(*[docs[c] for c in names], "__gone")
-    schema = T.StructType([*docs.schema.fields, T.StructField("dropped_lines", T.IntegerType())])
-    return rows.mapInArrow(_rebuild(names, names.index("text")), schema)
+    rows = docs.join(gone, on, "left").select(*[docs[c] for c in names], list_)
+    schema = T.StructType([*docs.schema.fields, T.StructField("dropped_lines", T.IntegerType()), T.StructField("keepers", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(_rebuild(names, names.index("text"), keep_emptied), schema)

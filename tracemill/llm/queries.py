@@ -14,8 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "dropped_lines", F.size(F.split("text", "\n")).alias("kept_lines"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    """Every document with how many of its lines went, what stays (null, if nothing), and which documents hold the lines that went."""
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_emptied=True)
+    kept = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", "dropped_lines", kept.alias("kept_lines"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "keepers")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
