@@ -13,8 +13,15 @@ but the last return the columns of `documents`.
 5. tokens: SentencePiece ids, their number, and whether decoding them gives
    the text back.
 
-A table of no rows passes through all stages as one; null texts are neither
-rejected (unless the classifier's prior is) nor changed.
+Given cases, for every stage: a table of no rows passes as one. Null, empty and
+wordless texts get the classifier's prior, have no lines to lose, match no
+benchmark, and have null or no ids; near_duplicates keeps one of them, as they
+are one class. Very long texts are worked on whole. Rows that repeat an id with
+an equal text share the outcome of stages 1, 2 and 4, and one row stays in stage
+3; rows that share an id but not the text are judged each by its own text. Ties
+go to the smallest (doc_id, text hash), null ids last (stage 2: first). Columns
+beside those of `documents` are dropped at the start of a stage, so their names
+can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontaminate, line_dedup, quality, sentencepiece_scan, simhash_dedup
-from tracemill.session import stored, table
+from tracemill.session import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,5 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # what the stage before stored
+        docs = done
     return docs

@@ -20,7 +20,7 @@ from tracemill.session import discard, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links(a long, b long) -> (node, comp), comp being the smallest node of the component. Loops and repeats are fine; an empty table gives an empty one."""
+    """links(a long, b long) -> (node, comp), a stored table, comp being the smallest node of the component. Loops and repeats are fine; an empty table gives an empty one."""
     edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     roots = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")), "roots")
     for k in range(max_rounds):
@@ -40,7 +40,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     discard(edges)
     least = roots.groupBy("root").agg(F.min("node").alias("comp"))
-    return roots.join(least, "root").select("node", "comp")
+    out = stored(roots.join(least, "root").select("node", "comp"), "components")
+    discard(roots)
+    return out
 
 
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:

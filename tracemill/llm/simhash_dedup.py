@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tracemill.llm import simhash_shingles
 from tracemill.llm.batches import sliced, small_batches
 from tracemill.llm.components import components
-from tracemill.session import stored
+from tracemill.session import discard, stored
 
 SEED = 42
 BLOCK = 1 << 15  # shingles whose bits are spread out at a time
@@ -89,8 +89,8 @@ def _turned(x: Column, by: int) -> Column:
     return x if by == 0 else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def _links(fps: DataFrame, t: int, m: int, pair_limit: int) -> DataFrame:
-    """fps(fp), distinct -> (a, b): links that connect all fingerprints within t bits."""
+def _links(fps: DataFrame, t: int, m: int, pair_limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """fps(fp), distinct -> (a, b), links that connect all fingerprints within t bits, and the stored tables that they are read from."""
     widths, equal, checks = _plan(t, m)
     at = [0, *accumulate(widths)][:m]
     span = lambda i, n: sum(widths[(i + k) % m] for k in range(n))
@@ -119,7 +119,7 @@ def _links(fps: DataFrame, t: int, m: int, pair_limit: int) -> DataFrame:
     around = many.select("fp", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)])).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("mid"))
     around = stored(around, "fp-mid")
     star = around.join(around.groupBy("mid").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "mid").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return pairs.union(star)
+    return pairs.union(star), [keyed, hot, around]
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 7, pair_limit: int = 256) -> DataFrame:
@@ -128,11 +128,14 @@ def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 7, pair_
         raise ValueError("the midpoint form for very common keys is exact for a distance of 2 only")
     each = stored(fingerprints(docs), "fp")
     classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-class")
-    comps = components(_links(classes.select("fp"), distance, segments, pair_limit)).toDF("fp", "comp")
-    linked = classes.join(comps, "fp")
+    links, made = _links(classes.select("fp"), distance, segments, pair_limit)
+    comps = components(links)
+    linked = classes.join(comps.toDF("fp", "comp"), "fp")
     lowest = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
     moved = linked.join(lowest, "comp").select("fp", "component_id")
-    ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    ids = stored(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "fp-ids")
+    for done in (classes, comps, *made):
+        discard(done)
     return each.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 

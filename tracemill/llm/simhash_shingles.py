@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.batches import sliced, small_batches, unused
 from tracemill.llm.components import components, joined
 from tracemill.llm.text_hash import mix, simhashes, span_hash, words_of
-from tracemill.session import path_bytes, stored
+from tracemill.session import discard, path_bytes, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 SEGMENTS, SAMPLE, BUDGET = 16, 64, 14
@@ -194,7 +194,7 @@ def _crossing(similarity: float) -> callable:
 
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
-    """(each, comps): (doc_id, th, sh) for every row of docs(doc_id, text), and (sh, comp) for the sets that are linked to others."""
+    """(each, comps), stored tables: (doc_id, th, sh, ...) for every row of docs(doc_id, text), and (sh, comp) for the sets that are linked to others."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     each = stored(rows.mapInArrow(_hashed(width), "doc_id long, th long, sh long, n int, keys array<long>"), "shingles")
@@ -214,7 +214,8 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     pivots = members.groupBy("k").agg(F.min(F.struct("sh", "n")).alias("p")).select("k", F.col("p.sh").alias("sh2"), F.col("p.n").alias("n2"))
     pairs = members.join(pivots, "k").where("sh <> sh2").where(fits).select(F.least("sh", "sh2").alias("a"), F.greatest("sh", "sh2").alias("b")).distinct()
     links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "ka", "kb").mapInArrow(_verified(similarity), "a long, b long"), "shingle-links")
-    comps = stored(components(links).toDF("sh", "comp"), "shingle-parts")
+    first = components(links)
+    comps = first.toDF("sh", "comp")
     parts = members.join(comps, "sh", "left").select("k", "sh", "n", F.coalesce("comp", "sh").alias("part"))
     torn = parts.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
     # a large key is divided into chunks, and each pair of chunks is a group by itself
@@ -223,8 +224,10 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sh", "part").join(sets, "sh")
     more = stored(dealt.groupBy("k", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
-    comps = joined(comps.toDF("node", "comp"), more).toDF("sh", "comp")
-    return each.select("doc_id", "th", "sh"), comps
+    out = stored(joined(first, more).toDF("sh", "comp"), "shingle-groups")
+    for done in (keyed, members, firsts, sets, links, first, more):
+        discard(done)
+    return each, out
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:
@@ -236,6 +239,8 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     doc, hashed, times, row = unused(docs, "__doc", "__th", "__c", "__row")
     stays = stored(lowest.select(F.col("first.doc_id").alias(doc), F.col("first.th").alias(hashed), F.col("first.c").alias(times)), "shingle-stays")
     on = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(hashed))
+    discard(each)
+    discard(comps)
     many = stays.where(F.col(times) > 1)
     if many.isEmpty():
         return docs.join(stays, on, "left_semi")
