@@ -13,8 +13,10 @@ predicted, over its whole text.
 
 Given cases: null text, and text without a letter, is `und` with score 0; so is
 everything if no labelled row exists. Null labels never train. Repeated rows
-and equal texts get equal predictions. An empty table gives an empty one.
-Window batches are bounded, so a very long text needs no more memory.
+and equal texts get equal predictions; languages that tie go by the order of
+their names. An empty table gives an empty one. A very long text is read in
+batches of windows. Null ids are not held out and don't train; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,8 +2,11 @@
 
 Terms are pairs of neighbouring byte classes (letters by themselves, capitals
 as one class, digits as one, each punctuation mark, two classes of non-ASCII
-bytes), and words that repeat one of the three words before them, counted over the whole text, damped by a square root, weighted by
-inverse document frequency and scaled to unit length. A truncated SVD of the
+bytes), and words that repeat one of the three words before them, counted over
+the whole text, damped by a square root, weighted by inverse document frequency
+and scaled to unit length. The weight of the repeats and their three distances
+(ECHO, LAGS) were chosen by hand, since texts of one word said over and over are
+a common kind of junk; they aren't learned. A truncated SVD of the
 labelled sample gives the latent space. The labelled vectors are broadcast
 with the projection; each block of documents is multiplied with all of them
 (exact cosines), and the labels of the nearest neighbours vote with their
@@ -14,14 +17,17 @@ by hash; its feature vectors, not its texts, come to the driver (per_class *
 2 * 4,489 floats). All documents are scored.
 
 Given cases: null or empty text has a zero vector and gets the share of label
-1 in the sample; without labelled rows every score is 0.5. A label table with
+1 in the sample; a very long text is counted piece by piece; of neighbours that
+tie in similarity at the last place any may vote; without labelled rows every score is 0.5. A label table with
 repeated or null rows is read by its distinct non-null pairs; a document with
 both labels trains as neither. Repeated rows and equal texts score alike; an
-empty table gives an empty one; further columns are carried along untouched.
+empty table gives an empty one; further columns are carried along untouched,
+but for one with the name of the score: it is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import islice
 from operator import eq
@@ -61,6 +67,17 @@ LAGS = (1, 2, 3)  # a word equal to the word so many before it is a term by itse
 ECHO = 3.0  # its weight before damping would be the square: a text that is all echo has most of its mass there
 TERMS = PAIRS + len(LAGS)
 PIECE = 1 << 20  # bytes of a text that are counted at a time
+BLANK = re.compile(rb"\s")
+
+
+def word_pieces(data: bytes) -> Iterator[bytes]:
+    """data in pieces of some PIECE bytes that end at a blank."""
+    lo = 0
+    while lo < len(data):
+        blank = BLANK.search(data, lo + PIECE) if lo + PIECE < len(data) else None
+        hi = blank.start() if blank else len(data)
+        yield data[lo:hi]
+        lo = hi
 
 
 def counts(text: str | None) -> np.ndarray:
@@ -70,9 +87,12 @@ def counts(text: str | None) -> np.ndarray:
     for lo in range(0, len(data), PIECE):
         kinds = KIND[np.frombuffer(data[lo : lo + PIECE + 1], np.uint8)]
         out += np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=TERMS)
-    words = data.split()
-    for k, lag in enumerate(LAGS):
-        out[PAIRS + k] = ECHO**2 * sum(map(eq, words, islice(words, lag, None)))
+    last: list[bytes] = []
+    for piece in word_pieces(data):
+        words = last + piece.split()
+        for k, lag in enumerate(LAGS):
+            out[PAIRS + k] += ECHO**2 * sum(map(eq, islice(words, max(0, len(last) - lag), None), islice(words, max(len(last), lag), None)))
+        last = words[-max(LAGS) :]
     return np.sqrt(out)
 
 

@@ -9,14 +9,20 @@ correlation. The three p-values are combined by Bonferroni (they depend on one
 another). Structured runs (dates, paths, repeated words) are the rejections;
 false rejections are controlled by Benjamini-Hochberg at `fdr` within length
 classes, since a long run has more power than a short one. What is not
-rejected is reported as a secret.
+rejected is reported as a secret. The null hypothesis being "drawn uniformly
+from the alphabet", the control bounds the share of random strings among what
+is set aside as structured (secrets that are missed), not the share of false
+alarms; and since the thresholds come from all p-values of the table, which
+runs of a document are reported depends on the other documents. tests/llm
+measure both rates on planted strings.
 
 The p-values are counted over all documents on a fixed grid of tenths of
 ln(p), so the control needs one small aggregate (classes x grid cells), and
 only its thresholds (one per class) come to the driver. Text is scanned once;
 the intermediate table holds spans and p-values.
 
-Given cases: null text counts as empty; texts without matches give zero counts,
+Given cases: null text counts as empty; a very long text is scanned whole; spans
+that start together tie by the order of their kinds; texts without matches give zero counts,
 the digest of the empty string and empty spans; repeated rows give a row each;
 an empty table gives an empty one; other columns are ignored. Offsets are code
 points, end exclusive, also for characters outside the basic plane.
