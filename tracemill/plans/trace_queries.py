@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators import chat, evals, report, selection
@@ -184,28 +184,32 @@ def record(dataset: str, kind: str, prompt: str, where: str = "true", letter: st
     return f"SELECT '{dataset}-main-train-' || p_partkey AS id, 'shop' AS domain, '{kind}' AS kind, {prompt} AS prompt, CAST({letter} AS VARCHAR) AS letter, CAST({aliases} AS VARCHAR) AS aliases, CAST({preamble} AS VARCHAR) AS preamble, CAST({setup} AS VARCHAR) AS setup, CAST({tests} AS VARCHAR) AS tests, 'org/{dataset}' AS origin FROM part WHERE {where}"
 
 
-THREE = F.array("p_brand", "p_type", "p_name")
+def three() -> Column:
+    return F.array("p_brand", "p_type", "p_name")
 
 
 @query(record("mmlu", "mcq", ASK(prompts.MCQ, "p_name", CHOICES), "p_size % 5 < 3", "substr('ABC', CAST(p_size % 5 AS INT) + 1, 1)"))
 def source_mmlu(spark, sf):
     """The answer is an index; out of range it drops the row."""
-    return made(parts(spark, sf).select("idx", F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("question"), THREE.alias("choices"), F.pmod("p_size", F.lit(5)).alias("answer")), "mmlu", "mcq")
+    return made(parts(spark, sf).select("idx", F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("question"), three().alias("choices"), F.pmod("p_size", F.lit(5)).alias("answer")), "mmlu", "mcq")
+
+
+def labelled_choices() -> Column:
+    return F.struct(F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("label"), three().alias("text"))
 
 
-LABELS = F.struct(F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("label"), THREE.alias("text"))
 KEYED = dict(letter="substr('ABC', CAST(p_size % 5 AS INT), 1)", where="p_size % 5 BETWEEN 1 AND 3")
 
 
 @query(record("ai2_arc", "mcq", ASK(prompts.MCQ, "p_name", CHOICES), **KEYED))
 def source_arc(spark, sf):
     """The answer is one of the choices' labels; another one drops the row."""
-    return made(parts(spark, sf).select("idx", F.col("p_name").alias("question"), LABELS.alias("choices"), F.pmod("p_size", F.lit(5)).cast("string").alias("answerKey")), "ai2_arc", "mcq")
+    return made(parts(spark, sf).select("idx", F.col("p_name").alias("question"), labelled_choices().alias("choices"), F.pmod("p_size", F.lit(5)).cast("string").alias("answerKey")), "ai2_arc", "mcq")
 
 
 @query(record("openbookqa", "mcq", ASK(prompts.MCQ, "p_name", CHOICES), **KEYED))
 def source_openbook(spark, sf):
-    return made(parts(spark, sf).select("idx", F.col("p_name").alias("question_stem"), LABELS.alias("choices"), F.pmod("p_size", F.lit(5)).cast("string").alias("answerKey")), "openbookqa", "mcq")
+    return made(parts(spark, sf).select("idx", F.col("p_name").alias("question_stem"), labelled_choices().alias("choices"), F.pmod("p_size", F.lit(5)).cast("string").alias("answerKey")), "openbookqa", "mcq")
 
 
 @query(record("squad_v2", "unanswerable", f"replace(replace({quoted(prompts.ABSTAIN)}, 'Passage: %s', 'Passage: ' || substr(repeat(p_name || ' ', 200), 1, 1200)), 'Question: %s', 'Question: ' || p_type)", "p_size % 2 = 0", "'UNANSWERABLE'"))
@@ -274,7 +278,7 @@ def source_pool(spark, sf):
 @query(f"SELECT p_partkey, {ASK(prompts.EVAL_MCQ, 'p_name', CHOICES)} AS mcq, replace({quoted(prompts.EVAL_CODE)}, '%s', p_name) AS code, p_name || {NL} || p_brand || {NL} || p_type || {NL} || 'check(' || p_size || ')' AS program FROM part")
 def evaluation_items(spark, sf):
     """Prompts of the evaluations, and the program that judges code: prompt, code, tests and the call of the check."""
-    ask, _ = prompts.mcq(F.col("p_name"), THREE, F.lit(0), prompts.EVAL_MCQ)
+    ask, _ = prompts.mcq(F.col("p_name"), three(), F.lit(0), prompts.EVAL_MCQ)
     program = chat.eval_program(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"))
     return parts(spark, sf).select("p_partkey", ask.alias("mcq"), F.format_string(prompts.EVAL_CODE, F.col("p_name")).alias("code"), program.alias("program"))
 
