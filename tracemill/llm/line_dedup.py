@@ -250,14 +250,16 @@ def _find(root: dict[int, int], x: int) -> int:
     return x
 
 
-def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """members(k, lh, sim) of large buckets; parts(node, comp), what is joined so far; texts(lh, line) -> (a, b), the links that were still missing."""
+def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """members(k, lh, sim) of large buckets; parts(node, comp), what is joined so far; texts(lh, line) -> (a, b), the links that were still missing, and a stored table that they are made of."""
     named = members.join(parts, members["lh"] == parts["node"], "left").select("k", "lh", "sim", F.coalesce("comp", "lh").alias("part"))
     torn = named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    dealt = named.join(torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q")), "k").withColumn("chunk", F.pmod(F.xxhash64("lh"), F.col("q")).cast("int"))
+    torn = stored(torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q")), "line-torn")
+    held = F.broadcast(torn) if path_bytes(parts.sparkSession, torn._stored_at) <= broadcast_bytes else torn
+    dealt = named.join(held, "k").withColumn("chunk", F.pmod(F.xxhash64("lh"), F.col("q")).cast("int"))
     dealt = dealt.join(texts, "lh").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "lh", "sim", "part", "line")
-    return dealt.groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long")
+    return dealt.groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long"), torn
 
 
 def _rebuild(names: list[str], at: int, keep_emptied: bool) -> callable:
@@ -309,7 +311,8 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
 
     links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(_verified(similarity), "a long, b long"), "line-links")
     first_groups = components(links)
-    more = stored(across(members, first_groups, texts, similarity), "line-links")
+    missing, torn = across(members, first_groups, texts, similarity, broadcast_bytes)
+    more = stored(missing, "line-links")
     groups = joined(first_groups, more).toDF("lh", "comp")
     there = nodes.select("lh", "first").join(groups, "lh").select("lh", "comp", "first")
     firsts = there.groupBy("comp").agg(F.min("first").alias("keeper"))
@@ -320,7 +323,7 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
     held = F.broadcast(keep) if path_bytes(spark, keep._stored_at) <= broadcast_bytes else keep
     gone = lines.select("doc_id", "th", "pos", "lh").join(held, "lh").where(~where.eqNullSafe(F.col("keeper")))
     gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("pos"), F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.pos").alias("line"))).alias("gone")), "dropped-lines")
-    for done in (lines, nodes, found, taken, texts, links, first_groups, more, keep):
+    for done in (lines, nodes, found, taken, texts, links, first_groups, torn, more, keep):
         discard(done)
     return gone
 
