@@ -3,13 +3,17 @@
 Vectors are quantised to integers. Rows are dealt into candidate groups and
 queries into query groups, both of bounded size by the tables' own counts; a
 cell of the grid sees one group of each. Within a cell, candidates lie in
-vertical layout (dimension by row), dimensions in falling order of mass. After
-each block of dimensions a candidate's score can grow by at most the product
-of the two vectors' remaining norms (Cauchy-Schwarz); candidates that can't
-reach the query's k-th best score so far are compacted away before the next
-block. Bounds are widened by a relative 1e-9, and only candidates strictly
-below the k-th score go, so ties are kept and the result is exact. Each cell
-returns k rows a query, which one window merges.
+vertical layout (dimension by row), longest vectors first, and every query
+visits the dimensions in falling order of its own mass. After each block of
+dimensions a candidate's score can grow by at most the product of the two
+vectors' remaining norms (Cauchy-Schwarz); candidates that can't reach the
+query's k-th best score so far are compacted away before the next block, and
+chunks of candidates that are too short to reach it aren't visited at all. So
+that there is a score to reach from the start, the candidates that lead after
+the first block of the first chunk are finished first. Bounds are widened by a
+relative 1e-5, and only candidates strictly below the k-th score go, so ties
+are kept and the result is exact. Each cell returns k rows a query, which one
+window merges.
 
 All queries meet all rows, as the task states; the grid replicates queries by
 the number of candidate groups and rows by the number of query groups, and
@@ -30,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import small_batches
 from tracemill.session import stored
 
 CHUNK = 4096  # candidates at a time
-EXACT = float(1 << 52)
+EDGES = (0.375, 0.5, 0.625, 0.75, 0.875, 1.0)  # shares of the dimensions at which candidates are compacted
+EXACT = {np.float32: float(1 << 23), np.float64: float(1 << 52)}  # sums that are held exactly
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -52,13 +58,21 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, blocks: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and integer scores of its k best rows, ties to the smaller id. own: the queries' ids."""
+def _merged(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(ids) > 4 * k:
+        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+        reach = scores >= cut
+        ids, scores = ids[reach], scores[reach]
+    pick = np.lexsort((ids, -scores))[:k]
+    return ids[pick], scores[pick]
+
+
+def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, tally: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and integer scores of its k best rows, ties to the smaller id. own: the queries' ids. tally: gets the number of products that were computed."""
     width = max(1, rows.shape[1])
-    order = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=0), kind="stable") if len(rows) else np.arange(width)
-    q, c = queries[:, order].astype(np.float64), np.ascontiguousarray(rows[:, order].T.astype(np.float64))
-    top = [np.linalg.norm(x, axis=a).max(initial=0) for x, a in ((q, 1), (c, 0))]
-    if top[0] * top[1] >= EXACT:  # beyond what doubles hold exactly: plain integers
+    top = [np.linalg.norm(x.astype(np.float64), axis=1).max(initial=0) for x in (queries, rows)]
+    most = max(top[0] * top[1], top[1] ** 2)
+    if most >= EXACT[np.float64]:  # beyond what doubles hold exactly: plain integers
         best = []
         for i in range(len(queries)):
             s = rows @ queries[i]
@@ -66,40 +80,55 @@ def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarr
             pick = ok[np.lexsort((ids[ok], -s[ok]))[:k]]
             best.append((ids[pick], s[pick]))
         return best
-    edges = [width * b // blocks for b in range(blocks + 1)]
-    rest = lambda x, axis: [np.sqrt((x[edges[b + 1] :] ** 2).sum(axis=0)) if axis == 0 else np.sqrt((x[:, edges[b + 1] :] ** 2).sum(axis=1)) for b in range(blocks)]
-    q_rest = rest(q, 1)
-    found = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(q))]
+    kind = np.float32 if most < EXACT[np.float32] else np.float64
+    mass = (rows.astype(np.float64) ** 2).sum(axis=1)
+    order = np.argsort(-mass, kind="stable")
+    ids, mass, q = ids[order], mass[order].astype(kind), queries.astype(kind)
+    c = np.ascontiguousarray(rows[order].T.astype(kind))
+    visit = np.argsort(-np.abs(q), axis=1, kind="stable")
+    edges = sorted({max(1, round(width * e)) for e in EDGES})
+    found = [(np.empty(0, np.int64), np.empty(0, kind)) for _ in range(len(q))]
+    done = 0
     for lo in range(0, c.shape[1], CHUNK):
-        part, part_ids = c[:, lo : lo + CHUNK], ids[lo : lo + CHUNK]
-        c_rest = rest(part, 0)
-        first = q[:, : edges[1]] @ part[: edges[1]]
+        part, part_ids, part_mass = c[:, lo : lo + CHUNK], ids[lo : lo + CHUNK], mass[lo : lo + CHUNK]
+        square = part * part
         for i in range(len(q)):
-            known_ids, known = found[i]
-            least = known[-1] if len(known) == k else -np.inf
-            live, total = np.flatnonzero(part_ids != own[i]), None
-            total = first[i, live]
-            for b in range(blocks):
-                if b:
-                    block = slice(edges[b], edges[b + 1])
-                    total = total + q[i, block] @ part[block][:, live]
-                bound = q_rest[b][i] * c_rest[b][live]
-                keep = total + bound + 1e-9 * (np.abs(total) + bound) >= least
+            left = np.sqrt(np.concatenate([np.cumsum((q[i, visit[i]].astype(np.float64) ** 2)[::-1])[::-1], [0.0]]))
+            least = found[i][1][-1] if len(found[i][1]) == k else -np.inf
+            if left[0] * np.sqrt(float(part_mass[0])) * (1 + 1e-5) < least:
+                continue  # so are all after it
+            live, total, rest, at = None, None, None, 0
+            for edge in edges:
+                dims = visit[i, at:edge]
+                if live is None:
+                    total, rest = q[i, dims] @ part[dims], part_mass - square[dims].sum(axis=0)
+                    live = np.flatnonzero(part_ids != own[i])
+                    total, rest = total[live], rest[live]
+                    done += len(dims) * len(part_ids)
+                    if len(found[i][1]) < k and len(live) > k and edge < width:
+                        lead = np.argpartition(-total, k)[:k]
+                        later = visit[i, edge:]
+                        least = (total[lead] + q[i, later] @ part[np.ix_(later, live[lead])]).min()
+                        done += k * len(later)
+                else:
+                    spot = np.ix_(dims, live)
+                    total, rest = total + q[i, dims] @ part[spot], rest - square[spot].sum(axis=0)
+                    done += len(dims) * len(live)
+                at = edge
+                bound = left[edge] * np.sqrt(np.maximum(rest, 0))
+                keep = total + bound + 1e-5 * (np.abs(total) + bound) >= least
                 if not keep.all():
-                    live, total = live[keep], total[keep]
-            all_ids, all_scores = np.concatenate([known_ids, part_ids[live]]), np.concatenate([known, total])
-            if len(all_ids) > 4 * k:
-                cut = np.partition(all_scores, len(all_scores) - k)[len(all_scores) - k]
-                reach = all_scores >= cut
-                all_ids, all_scores = all_ids[reach], all_scores[reach]
-            pick = np.lexsort((all_ids, -all_scores))[:k]
-            found[i] = all_ids[pick], all_scores[pick]
+                    live, total, rest = live[keep], total[keep], rest[keep]
+            found[i] = _merged(np.concatenate([found[i][0], part_ids[live]]), np.concatenate([found[i][1], total]), k)
+    if tally is not None:
+        tally.append(done)
     return [(a, np.rint(s).astype(np.int64)) for a, s in found]
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: float = 64.0, query_group: int = 4096, row_group: int = 16384) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score); queries are the rows whose vec_id is divisible by query_step."""
     spark = vectors.sparkSession
+    small_batches(spark)
     whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
