@@ -145,4 +145,5 @@ def test_teacher_store(spark, tmp_path):
 
 def test_model_references():
     cfg = Settings(teachers={"a": {"domains": [], "path": "p"}})
+    assert Settings().eval_budget_for("mmlu") == 2048 and Settings(eval_max_tokens={"default": 9, "mmlu": 5}).eval_budget_for("mmlu") == 5 and Settings(eval_max_tokens={"default": 9}).eval_budget_for("x") == 9
     assert [cfg.model_for(x, "base", {"q": "quant"}) for x in ("student", "student:q", "teacher:a", "/x")] == ["base", "quant", "p", "/x"]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill import schemas
-from tracemill.functions.text import strip
+from tracemill.functions.text import strip, tail
 from tracemill.operators import chat, evals, report, sampling, selection
 from tracemill.operators.generate import escalated, generate, load, sized
 from tracemill.operators.verify import verified
@@ -133,15 +133,17 @@ class Run:
             for name in a.benchmark or self.config["benchmarks"]:
                 items = self.spark.read.schema(schemas.PROMPT).json(self.config["benchmarks"][name])
                 items = sampling.sample(items, "id", self.cfg.seed, a.sample) if a.sample else items
+                items = items.orderBy("id").limit(a.limit) if a.limit else items
                 todo = selection.todo(items, self.read(f"{folder}/{name}", schemas.EVAL))
-                todo = todo.orderBy("id").limit(a.limit) if a.limit else todo
-                options = {"force_budget": a.force_budget, "temp": a.temp, "rep_penalty": a.rep_penalty, "think_bias": a.think_bias}
-                done = verified(generate(todo, load(a.generator, **options), chat.EVAL_SYSTEM, F.lit(a.max_tokens)), self.cfg, a.run_code)
-                kept = F.when(F.col("truncated"), F.right("think", F.lit(1500)))
-                jsonl.append(done.select("id", F.col("ok").alias("correct"), F.col("answer").alias("output"), "truncated", "forced", F.char_length("think").alias("think_chars"), kept.alias("think_tail"), F.col("gen_tokens").alias("tokens"), F.col("gen_seconds").alias("seconds"), "meta"), self.at(f"{folder}/{name}"))
-                records = selection.one_per_key(self.ordered(f"{folder}/{name}", schemas.EVAL), "id", F.desc("file_order"), F.desc("line_no"))
+                budget, temp = a.max_tokens or self.cfg.eval_budget_for(name), self.cfg.eval_temp if a.temp is None else a.temp
+                options = {"force_budget": a.force_budget, "temp": temp, "rep_penalty": a.rep_penalty, "think_bias": a.think_bias}
+                done = verified(generate(todo, load(a.generator, **options), chat.EVAL_SYSTEM, F.lit(budget)), self.cfg, a.run_code)
+                think = F.coalesce("think", F.lit(""))
+                kept = F.when(F.col("truncated"), tail(think)).otherwise("")
+                jsonl.append(done.select("id", F.col("ok").alias("correct"), F.col("answer").alias("output"), "truncated", "forced", F.char_length(think).alias("think_chars"), kept.alias("think_tail"), F.col("gen_tokens").alias("tokens"), F.col("gen_seconds").alias("seconds"), "meta"), self.at(f"{folder}/{name}"))
+                records = selection.one_per_key(self.ordered(f"{folder}/{name}", schemas.EVAL), "id", F.desc("file_order"), F.desc("line_no")).join(items.select("id"), "id", "left_semi")
                 decode = {k: str(v) for k, v in options.items() if v is not None and k in ("rep_penalty", "think_bias")}
-                run = {"benchmark": name, "model": a.tag or a.model, "think": True, "max_tokens": a.max_tokens, "force_budget": a.force_budget, "temp": a.temp}
+                run = {"benchmark": name, "model": a.tag or a.model, "think": self.cfg.eval_think, "max_tokens": budget, "force_budget": a.force_budget, "temp": temp}
                 kinds = dict(c.split(" ", 1) for c in schemas.SUMMARY.split(", "))
                 fresh = evals.summary(records).withColumns({k: F.lit(v).cast(kinds[k]) for k, v in run.items()})
                 fresh = fresh.withColumn("decode", F.create_map(*[F.lit(x) for kv in decode.items() for x in kv]).cast("map<string,string>"))
@@ -234,9 +236,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--benchmark", action="append")
             c.add_argument("--sample", type=int)
             c.add_argument("--tag")
-            c.add_argument("--max-tokens", type=int, default=2048)
+            c.add_argument("--max-tokens", type=int)
             c.add_argument("--force-budget", type=int)
-            c.add_argument("--temp", type=float, default=0.0)
+            c.add_argument("--temp", type=float)
             c.add_argument("--rep-penalty", type=float)
             c.add_argument("--think-bias", type=float)
         if name == "report":

@@ -51,6 +51,9 @@ class Settings:
     retries: int = 0
     hedge_retries: int = 2
     top_k: int = 64
+    eval_max_tokens: int | dict[str, int] = 2048
+    eval_temp: float = 0.0
+    eval_think: bool = True
 
     def teacher_for(self, domain: str) -> str:
         """The first teacher that lists the domain."""
@@ -67,6 +70,11 @@ class Settings:
     def budget_for(self, kind: str) -> int:
         return self.budgets.get(kind) or self.budgets.get("default") or 2048
 
+    def eval_budget_for(self, benchmark: str) -> int:
+        """One budget for all, or one by benchmark with a default."""
+        most = self.eval_max_tokens
+        return most.get(benchmark, most["default"]) if isinstance(most, dict) else most
+
     def model_for(self, ref: str, student: str, variants: dict[str, str]) -> str:
         """student, student:<variant>, teacher:<name>, or a path."""
         kind, _, name = ref.partition(":")
