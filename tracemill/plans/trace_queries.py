@@ -43,7 +43,7 @@ CFG = Settings(seed=SEED, mix=SHARES, max_seq_len=1024, valid_frac=0.05)
 
 def traces(spark, sf: str) -> DataFrame:
     letter = F.when(F.col("kind") == "mcq", "C").when(F.col("kind") == "tf", "True").when(F.col("kind") == "unanswerable", "UNANSWERABLE")
-    rows = table(spark, sf, "documents").selectExpr("*").createOrReplaceTempView("documents_of_traces")
+    table(spark, sf, "documents").createOrReplaceTempView("documents_of_traces")
     rows = spark.sql(TRACES.replace("FROM documents", "FROM documents_of_traces"))
     return rows.withColumn("gold", prompts.gold(letter=letter, aliases=F.array("source"))).drop("doc_id")
 

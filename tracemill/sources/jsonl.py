@@ -55,9 +55,13 @@ def merged(*tables: DataFrame) -> DataFrame:
 
 
 def write_stats(stats: DataFrame, path: str) -> dict[str, int]:
-    """A counter table (key, n) as one JSON object; counters are few by design."""
+    """A counter table (key, n) as one JSON object; counters are few by design. The file system is the session's, so the path may be on a cluster's."""
     found = {r["key"]: r["n"] for r in stats.orderBy("key").collect()}
-    Path(path).write_text(json.dumps(found, indent=2))
+    spark = stats.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(json.dumps(found, indent=2).encode()))
+    out.close()
     return found
 
 
