@@ -259,7 +259,8 @@ def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: f
     dealt = named.join(held, "k").withColumn("chunk", F.pmod(F.xxhash64("lh"), F.col("q")).cast("int"))
     dealt = dealt.join(texts, "lh").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "lh", "sim", "part", "line")
-    return dealt.groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long"), torn
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be put together
+    return dealt.repartition(n, "k", "i", "j").groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long"), torn
 
 
 def _rebuild(names: list[str], at: int, keep_emptied: bool) -> callable:
