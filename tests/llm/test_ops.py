@@ -350,6 +350,12 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_one_shard_a_partition(spark):
+    for n in (1, 7, 64):
+        rows = spark.createDataFrame([(k,) for k in range(n)], "shard int").withColumn("dealt", warc.partition_key(spark, F.col("shard"), n))
+        assert rows.repartition(n, "dealt").select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
 def test_warc_notices_damage():
     good = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
     assert warc.parse(good)[2] == b"abc"

@@ -199,6 +199,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     k, lh, sim = (np.concatenate(x) for x in zip(*held, strict=True))
     del held
+    if not len(k):
+        return
     order = np.lexsort((lh, k))
     k, lh, sim = k[order], lh[order], sim[order].view(np.uint64)
     cuts = np.append(np.flatnonzero(np.diff(k, prepend=~k[0])), len(k))
