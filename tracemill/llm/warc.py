@@ -4,9 +4,9 @@ Writing: payload digests are taken first (one narrow table). Shards are ranges
 of page_id, cut where a histogram of payload bytes says (refined where ids
 cluster), so they don't depend on sampling. The pages are shuffled once, by
 shard; which page a record revisits travels in small rows that sort just
-before the page's own row. Each shard writes its records in page order as one
-gzip member each, and starts a new file once the compressed size passes
-`roll_bytes`. A file is written under a temporary name that carries the task
+before the page's own row. Each shard (some `shard_bytes` of payload) writes
+its records in page order as one gzip member each, and starts a new file once
+the compressed size passes `roll_bytes`. A file is written under a temporary name that carries the task
 attempt and moved to its own name when it is closed, so a retried or
 speculative task replaces it by the same bytes. The manifest (file, records,
 bytes, SHA-1) is written by Spark when all shards are done; the reader opens
@@ -20,7 +20,9 @@ counts as the smallest; rows that repeat a page_id with an equal payload are
 all responses if that id is the largest, else all revisits; null url becomes
 urn:page:<id>, line breaks in a url are percent-coded; an empty table gives an
 empty archive and result; other columns are ignored. One page_id stays in one
-shard, which streams, so memory is bounded by a record.
+shard, which streams, so memory is bounded by a record, however long. Payloads
+that very many pages share are joined from a broadcast list, which holds
+MOST_HOT of them at most.
 """
 
 from __future__ import annotations
@@ -35,11 +37,15 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import small_batches
+from tracemill.llm.sharding import points_before
 from tracemill.session import fresh_path, stored
 
+SLICE = 8 << 10  # compressed bytes that are handed on at a time
+MOST_HOT = 10_000
 DATE = "2024-01-01T00:00:00Z"
 CELLS = 1024
 MANIFEST = "file string, records long, bytes long, sha1 string"
@@ -93,18 +99,18 @@ def parse(data: bytes) -> tuple:
 
 def members(stream) -> Iterator[bytes]:
     """The gzip members of a file, one at a time."""
-    z, parts, pending = zlib.decompressobj(31), [], b""
-    while True:
-        data = pending or stream.read(1 << 20)
-        pending = b""
-        if not data:
-            if parts:
-                raise ValueError("the last member is cut off")
-            return
-        parts.append(z.decompress(data))
-        if z.eof:
-            yield b"".join(parts)
-            pending, parts, z = z.unused_data, [], zlib.decompressobj(31)
+    z, parts = zlib.decompressobj(31), []
+    while data := stream.read(1 << 20):
+        view, at = memoryview(data), 0
+        while at < len(view):
+            piece = view[at : at + SLICE]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+            if z.eof:
+                yield b"".join(parts)
+                parts, z = [], zlib.decompressobj(31)
+    if parts:
+        raise ValueError("the last member is cut off")
 
 
 class Roller:
@@ -172,18 +178,31 @@ def shard_starts(sizes: DataFrame, shard_bytes: int, most: int = 4096) -> list[i
     return starts
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = 4 << 20, roll_bytes: int = 64 << 20) -> DataFrame:
+def partition_key(spark: SparkSession, place: Column, n: int) -> Column:
+    """For each place from 0 to n - 1 a number that hash partitioning deals to a partition of its own, so that no task gets two shards."""
+    found = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    by = {r["p"]: r["id"] for r in found}
+    return F.element_at(F.array(*[F.lit(by.get(p, p)).cast("long") for p in range(n)]), place + 1)
+
+
+def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = 12 << 20, roll_bytes: int = 2 << 20) -> DataFrame:
     """Write pages(page_id, url, html) as archives into folder and return its manifest."""
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     facts = stored(pages.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("bytes")), "warc-digests")
-    groups = facts.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    notes = facts.join(groups, "sha1").where((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
-
-    starts = F.array(*[F.lit(x).cast("long") for x in shard_starts(facts, shard_bytes)] or [F.lit(None).cast("long")])
-    shard = F.coalesce(F.aggregate(starts, F.lit(0), lambda n, s: n + F.when(F.col("page_id") >= s, 1).otherwise(0)), F.lit(0))
+    groups = facts.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    often = max(1000, -(-facts.count() // MOST_HOT))
+    hot, few = groups.where(F.col("n") > often).drop("n"), groups.where(F.col("n") <= often).drop("n")
+    revisits = facts.join(F.broadcast(hot), "sha1").unionByName(facts.join(F.broadcast(hot.select("sha1")), "sha1", "left_anti").join(few, "sha1"))
+    notes = revisits.where((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
+
+    starts = shard_starts(facts, shard_bytes)
+    shard = F.coalesce(points_before(F.col("page_id"), starts, equal=True), F.lit(0))
     rows = pages.select("page_id", F.sha1("payload").alias("sha1"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     both = rows.unionByName(notes.withColumn("kind", F.lit(0)), allowMissingColumns=True).withColumn("shard", shard)
-    ordered = both.repartition("shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
+    n = len(starts) + 1
+    dealt = both.withColumn("dealt", partition_key(pages.sparkSession, F.col("shard"), n))
+    ordered = dealt.repartition(n, "dealt").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, note = Roller(folder, roll_bytes), (None, None, None)
