@@ -47,6 +47,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,7 @@ LONG, FEW, SAMPLE = 5, 6, 12  # bytes of a word that counts, words under which a
 GRAM, GRAMS = 4, 8  # bytes of a gram, grams drawn
 FAR, SHORT = 17, 8  # bits of the whole SimHash, which is left out of play for lines under SHORT words
 SMALL, CHUNK = 8, 2048
-BATCH_BYTES = 512 << 10
+BATCH_BYTES = 1 << 20
 DIGITS = bytes(ord("0") if chr(b).isdigit() and b < 128 else 32 if b < 32 and b != 10 else b for b in range(256))
 MARKS = string.punctuation.encode()
 _GRAM = np.array([1 << 8 * i for i in range(GRAM)], np.uint64)
@@ -230,6 +231,7 @@ def _across(similarity: float) -> callable:
         sim, line = rows["sim"].to_numpy().view(np.uint64), rows["line"].to_pylist()
         ones = np.flatnonzero(chunk == i)
         others = ones if i == j else np.flatnonzero(chunk == j)
+        words = [x.split(" ") for x in line]
         root: dict[int, int] = {}
         out = []
         for x in ones.tolist():
@@ -237,7 +239,7 @@ def _across(similarity: float) -> callable:
             near = others[(gap <= FAR) & (part[others] != part[x]) & ((lh[others] > lh[x]) if i == j else True)]
             for y in near.tolist():
                 p, q = _find(root, int(part[x])), _find(root, int(part[y]))
-                if p != q and alike(line[x], line[y], similarity):
+                if p != q and alike(line[x], line[y], similarity, words[x], words[y]):
                     root[max(p, q)] = min(p, q)
                     out.append((min(lh[x], lh[y]), max(lh[x], lh[y])))
         a, b = zip(*out, strict=True) if out else ((), ())
@@ -268,18 +270,21 @@ def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: f
 def _rebuild(names: list[str], at: int, keep_emptied: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            gone, texts, out, dropped, keepers = b.column(len(names)).to_pylist(), b.column(at).to_pylist(), [], [], []
-            for t, g in zip(texts, gone, strict=True):
-                if g:
-                    go = {x["pos"] for x in g}
-                    left = [x for i, x in enumerate(t.split("\n")) if i not in go]
-                    t = "\n".join(left) if any(normal(x) for x in left) else None
-                out.append(t)
+            gone, out, dropped, keepers = b.column(len(names)).to_pylist(), [], [], []
+            some = np.array([bool(g) for g in gone])
+            for t, g in zip(b.column(at).filter(pa.array(some)).to_pylist(), filter(None, gone), strict=True):
+                go = {x["pos"] for x in g}
+                left = [x for i, x in enumerate(t.split("\n")) if i not in go]
+                out.append("\n".join(left) if any(normal(x) for x in left) else None)
+            for g in gone:
                 dropped.append(len(g) if g else 0)
                 keepers.append(sorted({x["doc_id"] for x in g if x["doc_id"] is not None}) if g else [])
-            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            emptied = np.zeros(len(b), bool)
+            emptied[np.flatnonzero(some)] = [x is None for x in out]
+            text = pc.replace_with_mask(b.column(at), pa.array(some), pa.array(out, b.column(at).type))
+            cols = [text if i == at else b.column(i) for i in range(len(names))]
             made = pa.RecordBatch.from_arrays([*cols, pa.array(dropped, pa.int32()), pa.array(keepers, pa.list_(pa.int64()))], names=[*names, "dropped_lines", "keepers"])
-            yield made if keep_emptied else made.filter(pa.array([not g or o is not None for g, o in zip(gone, out, strict=True)], pa.bool_()))
+            yield made if keep_emptied else made.filter(pa.array(~emptied))
 
     return run
 
@@ -295,7 +300,7 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     lines = stored(rows.mapInArrow(_lines, "doc_id long, th long, pos int, lh long, sim long, keys array<long>"), "lines")
     where = F.struct("doc_id", "th", "pos")
-    nodes = stored(lines.groupBy("lh").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.min(F.struct("sim", "keys")).alias("x")).select("lh", "first", "last", "x.sim", "x.keys"), "line-nodes")
+    nodes = stored(lines.groupBy("lh").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min(F.struct("sim", "keys")).alias("x")).select("lh", "first", "n", "x.sim", "x.keys"), "line-nodes")
 
     keyed = nodes.select(F.explode("keys").alias("k"), "lh", "sim")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * 10 // 2_000_000))
@@ -320,7 +325,7 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
     there = nodes.select("lh", "first").join(groups, "lh").select("lh", "comp", "first")
     firsts = there.groupBy("comp").agg(F.min("first").alias("keeper"))
     fuzzy_keep = there.join(firsts, "comp").select("lh", "keeper")
-    repeated = nodes.where(F.col("first") != F.col("last")).select("lh", F.col("first").alias("own"))
+    repeated = nodes.where("n > 1").select("lh", F.col("first").alias("own"))
     keep = repeated.join(fuzzy_keep, "lh", "full_outer").select("lh", F.coalesce("keeper", "own").alias("keeper"))
     keep = stored(keep, "line-keepers")
     held = F.broadcast(keep) if path_bytes(spark, keep._stored_at) <= broadcast_bytes else keep
@@ -375,12 +380,12 @@ def replaced(x: list[str], y: list[str], most: int) -> bool:
     return cost + sum(len(p) + 1 for p in (*x[i:], *y[j:])) <= most
 
 
-def alike(a: str, b: str, similarity: float) -> bool:
-    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; going word by word, or replacing all between the equal ends, bounds the distance from above and mostly decides."""
+def alike(a: str, b: str, similarity: float, x: list[str] | None = None, y: list[str] | None = None) -> bool:
+    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; going word by word, or replacing all between the equal ends, bounds the distance from above and mostly decides. x and y: their words, if they are known."""
     most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    if replaced(a.split(" "), b.split(" "), most):
+    if replaced(x or a.split(" "), y or b.split(" "), most):
         return True
     lo = len(commonprefix((a, b)))
     a, b = a[lo:], b[lo:]
