@@ -182,6 +182,29 @@ def test_word_bound_and_edits():
         assert line_dedup.alike(x, y, 0.8) == similar(x, y)
 
 
+def test_bigram_bound():
+    """No pair that is similar enough is ruled out, and most others are."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 7))) for _ in range(80)]
+    lines = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    for x in lines[:60]:
+        w = list(x)
+        for _ in range(rng.randint(1, max(1, len(w) // 5))):
+            w[rng.randrange(len(w))] = rng.choice("abc ")
+        lines.append("".join(w))
+    lines += ["", "a", "b" * 70_000]
+    counts, size = line_dedup.bigrams(lines)
+    out = ruled = 0
+    for x in range(len(lines) - 1):
+        ok = line_dedup.reachable(counts, size, x, np.arange(len(lines)), 0.8)
+        for y in range(len(lines) - 1):
+            alike = similar(lines[x], lines[y])
+            assert ok[y] or not alike, (lines[x], lines[y])
+            out += not alike
+            ruled += not ok[y]
+    assert ruled > 0.5 * out
+
+
 def test_lines_odd(spark):
     many = odd(spark).withColumn("dropped_lines", F.lit("x")).withColumn("__gone", F.lit(1)).withColumn("__doc", F.lit(2)).withColumn("__th", F.lit(2))
     out = line_dedup.dedup(many)
