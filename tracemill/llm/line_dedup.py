@@ -61,7 +61,7 @@ BLOCKS, LEAST = 5, 3  # blocks of a line's SimHash, and features that a pair of
 LONG, FEW, SAMPLE = 5, 6, 12  # bytes of a word that counts, words under which a line has grams, words drawn
 GRAM, GRAMS = 4, 8  # bytes of a gram, grams drawn
 FAR, SHORT = 17, 8  # bits of the whole SimHash, which is left out of play for lines under SHORT words
-SMALL, CHUNK = 8, 2048
+SMALL, CHUNK, BINS = 8, 2048, 512
 BATCH_BYTES = 1 << 20
 DIGITS = bytes(ord("0") if chr(b).isdigit() and b < 128 else 32 if b < 32 and b != 10 else b for b in range(256))
 MARKS = string.punctuation.encode()
@@ -222,6 +222,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lh[many]), pa.array(sim[many].view(np.int64)), pa.array(k[many])], names=["a", "b", "k"])
 
 
+def bigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring characters of each line, counted in BINS bins by hash, and the characters of each; no counts for a line too long for them."""
+    counts, size = np.zeros((len(lines), BINS), np.uint16), np.array([len(x) for x in lines])
+    for row, line in zip(counts, lines, strict=True):
+        if 2 <= len(line) < 1 << 16:
+            c = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
+            row[:] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) % BINS, minlength=BINS)
+    return counts, size
+
+
+def reachable(counts: np.ndarray, size: np.ndarray, x: int, near: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the lines in `near` can be similar enough to line x: one edit takes two pairs of characters from a line at most, so half of those that the other lacks bounds the distance from below. Bins that hold several pairs only lower the bound."""
+    both = np.minimum(counts[x], counts[near]).sum(axis=1, dtype=np.int64)
+    longer = np.maximum(size[near], size[x])
+    lacking = np.where(longer < 1 << 16, longer - 1 - both, 0)
+    return (lacking + 1) // 2 <= np.floor(longer * (1 - similarity) + 1e-9)
+
+
 def _across(similarity: float) -> callable:
     """The rows (k, i, j, chunk, lh, sim, part, line) of one bucket and one pair of its chunks -> links that join parts. Every pair across parts that is near enough is verified, unless its parts have been joined meanwhile."""
 
@@ -231,13 +249,13 @@ def _across(similarity: float) -> callable:
         sim, line = rows["sim"].to_numpy().view(np.uint64), rows["line"].to_pylist()
         ones = np.flatnonzero(chunk == i)
         others = ones if i == j else np.flatnonzero(chunk == j)
-        words = [x.split(" ") for x in line]
+        words, (counts, size) = [x.split(" ") for x in line], bigrams(line)
         root: dict[int, int] = {}
         out = []
         for x in ones.tolist():
             gap = apart(sim[[x]], sim[others])
             near = others[(gap <= FAR) & (part[others] != part[x]) & ((lh[others] > lh[x]) if i == j else True)]
-            for y in near.tolist():
+            for y in near[reachable(counts, size, x, near, similarity)].tolist():
                 p, q = _find(root, int(part[x])), _find(root, int(part[y]))
                 if p != q and alike(line[x], line[y], similarity, words[x], words[y]):
                     root[max(p, q)] = min(p, q)
