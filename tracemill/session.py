@@ -62,3 +62,26 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables stored for one job, deleted together when it ends, whether or not it failed:
+
+    with Scratch() as keep:
+        rows = keep(df, "label")
+    """
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        out = stored(df, label)
+        self.held.append(out)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in self.held:
+            discard(df)
