@@ -50,3 +50,12 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = 0) -
             yield b.slice(lo, step)
         del b
     relax()
+
+
+def word_pieces(raw: bytes | None, fold: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in lists, cut between words about every `size` bytes. fold: a table of 256 bytes that has a blank for every byte between words."""
+    folded, at = (raw or b"").translate(fold), 0
+    while len(folded) - at > size and (cut := folded.find(b" ", at + size)) >= 0:
+        yield folded[at:cut].split()
+        at = cut
+    yield folded[at:].split()

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and the SQL for those that SQL can express."""
+"""The registered queries of the operators, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, language_id, line_dedup, quality, secret_scan, sentencepiece_scan, sharding, simhash_dedup, topk, warc
+from tracemill.llm import decontaminate, importance, language_id, line_dedup, quality, secret_scan, sentencepiece_scan, sharding, simhash_dedup, topk, warc
 from tracemill.session import table
 
 
@@ -53,7 +53,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op7_decontaminate, op8_quality_classifier, op9_secret_scan, op10_sentencepiece)}
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op7_decontaminate, op8_quality_classifier, op9_secret_scan, op10_sentencepiece, op12_importance)}
 _BITS = " + ".join(f"{16 >> j} * CAST(substr(bits, 5 * i + {j + 1}, 1) AS INTEGER)" for j in range(5))
 
 ORACLE: dict[str, str] = {
@@ -74,4 +78,36 @@ ORACLE: dict[str, str] = {
             CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> top THEN top END AS refers_to
         FROM b""",
+    # CRC-32 from its table of 256 steps, over the bytes of each distinct feature
+    "op12_importance": """
+        WITH steps AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+        texts AS (
+            SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        split AS (
+            SELECT kind, doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+        grams AS (
+            SELECT kind, doc_id, r, unnest(list_concat(list_concat(w,
+                list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])),
+                list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM split),
+        counted AS (SELECT kind, r, g, count(*) AS n FROM grams GROUP BY ALL),
+        distinct_grams AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM counted)),
+        hashed AS (
+            SELECT g, xor(list_reduce(list_transform(range(CAST(len(x) / 2 AS BIGINT)), lambda i: 16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1),
+                lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+            FROM distinct_grams, steps),
+        placed AS (SELECT kind, r, bucket, sum(n) AS n FROM counted JOIN hashed USING (g) GROUP BY ALL),
+        sums AS (
+            SELECT b.bucket, coalesce(sum(n) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 'b'), 0) AS t
+            FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN placed p ON p.bucket = b.bucket GROUP BY b.bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS gain FROM sums),
+        weights AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM placed JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+            FROM split LEFT JOIN weights USING (r) WHERE kind = 'd'),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (WHERE n_words >= 20) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 5 * n // 100 THEN k END AS rank FROM ranked""",
 }
