@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, importance, language_id, line_dedup, quality, secret_scan, sentencepiece_scan, sharding, simhash_dedup, topk, warc, whitening
+from tracemill.llm import decontaminate, importance, language_id, lattice_lm, line_dedup, quality, secret_scan, sentencepiece_scan, sharding, simhash_dedup, topk, warc, whitening
 from tracemill.session import table
 
 
@@ -61,7 +61,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op7_decontaminate, op8_quality_classifier, op9_secret_scan, op10_sentencepiece, op11_whitening, op12_importance)}
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_topk, op4_sharding, op5_warc, op6_simhash_dedup, op7_decontaminate, op8_quality_classifier, op9_secret_scan, op10_sentencepiece, op11_whitening, op12_importance, op13_lattice_lm)}
 _BITS = " + ".join(f"{16 >> j} * CAST(substr(bits, 5 * i + {j + 1}, 1) AS INTEGER)" for j in range(5))
 
 ORACLE: dict[str, str] = {
