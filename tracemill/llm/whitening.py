@@ -83,7 +83,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(sizes), width)
     out = np.full((len(sizes), width), OFFSET, np.int64)
     for i, (k, end) in enumerate(zip(sizes, np.cumsum(sizes), strict=True)):
         out[i, :k] = flat[end - k : end]
