@@ -215,15 +215,6 @@ def test_settings():
     assert cfg.teacher_for("code") == "t1" and cfg.teacher_for("qa") == "t2" and cfg.style_for("code", "t1") == "s" and cfg.budget_for("mcq") == 5 and cfg.budget_for("x") == 2048
 
 
-def test_lock(tmp_path):
-    p = str(tmp_path / "lock")
-    with jsonl.Lock(p), pytest.raises(RuntimeError), jsonl.Lock(p):
-        pass
-    (tmp_path / "lock").write_text("999999999")
-    with jsonl.Lock(p):
-        pass
-
-
 def test_upsert(spark):
     old, new = rows(spark, [("a", 1), ("b", 1)], "k string, v int"), rows(spark, [("b", 2), ("c", 2)], "k string, v int")
     assert {(r["k"], r["v"]) for r in jsonl.upsert(old, new, "k").collect()} == {("a", 1), ("b", 2), ("c", 2)}

@@ -24,6 +24,7 @@ from tracemill.operators.verify import verified
 from tracemill.plans.curate import curate
 from tracemill.session import local_session
 from tracemill.sources import jsonl, teacher_topk
+from tracemill.sources.lease import Lease
 from tracemill.sources.prompts import pool
 from tracemill.sources.settings import Settings, fingerprint, shared_vocabulary
 from tracemill.sources.settings import load as load_config
@@ -129,7 +130,7 @@ class Run:
     def eval(self, a: argparse.Namespace) -> None:
         folder = f"eval/{a.tag or a.model}"
         (self.out / folder).mkdir(parents=True, exist_ok=True)
-        with jsonl.Lock(self.at(f"{folder}/.lock")):
+        with Lease(self.spark, self.at(f"{folder}/.lease"), 86400.0) as lease:
             for name in a.benchmark or self.config["benchmarks"]:
                 items = self.spark.read.schema(schemas.PROMPT).json(self.config["benchmarks"][name])
                 items = sampling.sample(items, "id", self.cfg.seed, a.sample) if a.sample else items
@@ -140,6 +141,7 @@ class Run:
                 done = verified(generate(todo, load(a.generator, **options), chat.EVAL_SYSTEM, F.lit(budget)), self.cfg, a.run_code)
                 think = F.coalesce("think", F.lit(""))
                 kept = F.when(F.col("truncated"), tail(think)).otherwise("")
+                lease.check()
                 jsonl.append(done.select("id", F.col("ok").alias("correct"), F.col("answer").alias("output"), "truncated", "forced", F.char_length(think).alias("think_chars"), kept.alias("think_tail"), F.col("gen_tokens").alias("tokens"), F.col("gen_seconds").alias("seconds"), "meta"), self.at(f"{folder}/{name}"))
                 records = selection.one_per_key(self.ordered(f"{folder}/{name}", schemas.EVAL), "id", F.desc("file_order"), F.desc("line_no")).join(items.select("id"), "id", "left_semi")
                 decode = {k: str(v) for k, v in options.items() if v is not None and k in ("rep_penalty", "think_bias")}

@@ -1,11 +1,9 @@
-"""JSON-lines files at the edges: scans with declared schemas, sinks, and upserts."""
+"""JSON-lines files at the edges: scans with declared schemas, sinks, and upserts. Appends that must survive being handed again go through commits.Log."""
 
 from __future__ import annotations
 
 import json
-import os
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,30 +70,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__age", "__rn")
 
 
-class Lock:
-    """One writer per tag: a file made exclusively, holding the writer's pid; one left by a dead process is taken over."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def __enter__(self) -> Lock:
-        while True:
-            try:
-                fd = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-            except FileExistsError:
-                text = Path(self.path).read_text().strip()
-                if text.isdigit() and Path(f"/proc/{text}").exists():
-                    raise RuntimeError(f"process {text} is writing already") from None
-                Path(self.path).unlink(missing_ok=True)
-                continue
-            os.write(fd, str(os.getpid()).encode())
-            os.close(fd)
-            return self
-
-    def __exit__(self, *_: object) -> None:
-        Path(self.path).unlink(missing_ok=True)
-
-
 def results(spark: SparkSession, path: str) -> DataFrame:
     """A results document, models{name{benchmark{accuracy, correct, total, seconds}}}, as a long table."""
     one = "struct<accuracy:double,correct:int,total:int,seconds:double>"
