@@ -33,6 +33,7 @@ and decode(), but for one that has the name of the new column: it is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -80,6 +81,8 @@ class Vocabulary:
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.special = [i for i in range(n) if p.is_control(i) or p.is_unknown(i)]
         self.longest = max(map(len, self.ids))
+        #: what lattices are kept by in workers: the same for the same model, whichever broadcast brings it
+        self.digest = hashlib.sha256(p.serialized_model_proto()).hexdigest()
         if any(" " in x.lstrip(" ") for x in self.ids):
             raise ValueError("pieces that hold a blank after a letter are not supported")
 
@@ -514,27 +517,22 @@ def _load(s: str) -> Matrix:
     return {(p, o): {(q, n): x for q, n, x in row} for p, o, row in json.loads(s)}
 
 
-_lattices: dict[int, Lattice] = {}
+_lattices: dict[str, Lattice] = {}
 
 
-def _lattice(shared) -> Lattice:
-    """One lattice a worker and broadcast."""
-    if shared.id not in _lattices:
+def _lattice(shared: _Shared) -> Lattice:
+    """One lattice a worker, of the model that was used last."""
+    if shared.digest not in _lattices:
         _lattices.clear()
-        _lattices[shared.id] = Lattice(shared.value)
-    return _lattices[shared.id]
+        _lattices[shared.digest] = Lattice(shared.held.value)
+    return _lattices[shared.digest]
 
 
 class _Shared:
-    """A broadcast with a name of its own."""
+    """A broadcast vocabulary and its digest, which a worker knows before it unpacks it."""
 
     def __init__(self, df: DataFrame, v: Vocabulary) -> None:
-        self.held = df.sparkSession.sparkContext.broadcast(v)
-        self.id = id(v)
-
-    @property
-    def value(self) -> Vocabulary:
-        return self.held.value
+        self.held, self.digest = df.sparkSession.sparkContext.broadcast(v), v.digest
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
