@@ -202,7 +202,8 @@ def test_arrays(spark):
 
 
 def test_evals(spark):
-    assert evals.mcnemar(0, 0) == 1.0 and abs(evals.mcnemar(1, 5) - 0.21875) < 1e-12
+    tested = {(r["lost"], r["gained"]): (r["p"], r["z"]) for r in evals.tested(rows(spark, [(0, 0), (1, 5), (5, 1), (3, 3)], "lost long, gained long")).collect()}
+    assert tested[0, 0] == (1.0, 0.0) and abs(tested[1, 5][0] - 0.21875) < 1e-12 and tested[5, 1][1] == -tested[1, 5][1] < 0 and tested[3, 3] == (1.0, 0.0)
     table = rows(spark, [("m1", "mmlu", 0.5, 10, 3600.0), ("m1", "humaneval", 0.75, 164, 7200.0)], "model string, benchmark string, accuracy double, total long, seconds double")
     got = report.rows(table, ["mmlu", "humaneval"])
     assert got[1] == ["m1", "50.0%~10", "75.0%"]

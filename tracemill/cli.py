@@ -13,7 +13,7 @@ import json
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill import schemas
@@ -22,7 +22,7 @@ from tracemill.operators import chat, evals, report, sampling, selection
 from tracemill.operators.generate import escalated, generate, load, sized
 from tracemill.operators.verify import verified
 from tracemill.plans.curate import curate
-from tracemill.session import local_session
+from tracemill.session import Scratch, local_session
 from tracemill.sources import jsonl, teacher_topk
 from tracemill.sources.lease import Lease
 from tracemill.sources.prompts import pool
@@ -33,7 +33,7 @@ from tracemill.sources.settings import load as load_config
 class Run:
     def __init__(self, spark: SparkSession, config: dict) -> None:
         self.spark, self.config, self.out = spark, config, Path(config["out_dir"])
-        self.cfg = Settings(**config.get("settings", {}))
+        self.cfg, self.keep = Settings(**config.get("settings", {})), Scratch()
 
     def at(self, name: str) -> str:
         return str(self.out / name)
@@ -46,8 +46,8 @@ class Run:
         """As read(), with the order in which records were appended."""
         path = self.out / name
         if path.exists():
-            return jsonl.scan_ordered(self.spark, [str(path)], schema, by_time=True)
-        return self.spark.createDataFrame([], f"{schema}, file_order int, line_no long")
+            return jsonl.scan_ordered(self.spark, [str(path)], schema, by_time=True, keep=self.keep)
+        return self.spark.createDataFrame([], f"{schema}, file_order long, line_no long, number long")
 
     def traces(self) -> DataFrame:
         found = sorted(p.name for p in (self.out / "teacher").glob("*")) if (self.out / "teacher").exists() else []
@@ -169,8 +169,7 @@ class Run:
     def logits(self, a: argparse.Namespace) -> None:
         """The teachers' top-k for the samples that have a domain and aren't in the store."""
         rows = self.ordered(a.split, "messages array<struct<role:string,content:string>>")
-        numbered = rows.withColumn("sample", F.row_number().over(Window.partitionBy(F.lit(a.split)).orderBy("file_order", "line_no")).cast("int") - 1)
-        asked = numbered.withColumn("prompt", F.try_element_at("messages", F.lit(-2))["content"])
+        asked = rows.withColumn("sample", F.col("number").cast("int")).withColumn("prompt", F.try_element_at("messages", F.lit(-2))["content"])
         known = teacher_topk.domains_by_prompt(asked.select("sample", "messages", "prompt"), self.read("prompts", schemas.PROMPT))
         routed = selection.routes(known, {k: v["domains"] for k, v in self.cfg.teachers.items()}, "domain")
         for name in a.teacher or list(self.cfg.teachers):
@@ -250,7 +249,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
-    getattr(Run(spark or local_session(), load_config(a.config)), a.command)(a)
+    run = Run(spark or local_session(), load_config(a.config))
+    with run.keep:
+        getattr(run, a.command)(a)
 
 
 if __name__ == "__main__":

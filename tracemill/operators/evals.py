@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.stats import mcnemar_p, mcnemar_z
+
 FULL = {"mmlu": 1000, "truthfulqa": 817, "humaneval": 164}
 
 
@@ -77,10 +77,23 @@ def two_standard_errors(p1: Column, n1: Column, p2: Column, n2: Column) -> Colum
     return 2 * F.sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2)
 
 
-def mcnemar(lost: int, gained: int) -> float:
-    """Exact two-sided p-value of the discordant counts: twice the binomial tail, each term by its logarithm."""
-    n, k = lost + gained, min(lost, gained)
-    return min(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2)) for i in range(k + 1))) if n else 1.0
+def tested(counts: DataFrame) -> DataFrame:
+    """counts(lost, gained, ...) with the exact p-value and z of McNemar's test."""
+    return counts.withColumns({"p": mcnemar_p(F.col("lost"), F.col("gained")), "z": mcnemar_z(F.col("lost"), F.col("gained"))})
+
+
+def compared(records: DataFrame, item: str, order: str, *by: str, run: str = "run") -> DataFrame:
+    """Every two runs against one another, by group: (*by, a, b, common, lost, gained), a before b by name.
+
+    Of an item's records in a run the last counts. The runs of an item are
+    paired where they lie, so records are shuffled once, and pairs are counted
+    before they are shuffled; an item has a row for each pair of its runs.
+    """
+    last = records.groupBy(*by, item, run).agg(F.max_by("correct", order).alias("correct"))
+    runs = last.groupBy(*by, item).agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), "correct"))).alias("__runs"))
+    pairs = F.transform("__runs", lambda x, i: F.transform(F.slice("__runs", i + 2, F.size("__runs")), lambda y: F.struct(x["run"].alias("a"), y["run"].alias("b"), x["correct"].alias("was"), y["correct"].alias("now"))))
+    each = runs.select(*by, F.explode(F.flatten(pairs)).alias("p")).select(*by, "p.*")
+    return each.groupBy(*by, "a", "b").agg(F.count("*").alias("common"), F.count_if(F.col("was") & ~F.col("now")).alias("lost"), F.count_if(F.col("now") & ~F.col("was")).alias("gained"))
 
 
 def group_flags(samples: DataFrame, key: str) -> DataFrame:

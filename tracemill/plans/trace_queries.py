@@ -14,13 +14,13 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators import chat, evals, report, selection
+from tracemill.operators import chat, distill, evals, report, selection
 from tracemill.operators.generate import sized
 from tracemill.plans import curate as curation
 from tracemill.plans.queries import DIRTY, LOG, SEED, SHARES, log, query
 from tracemill.plans.text_queries import FENCE, NL, WS, chosen, quoted
-from tracemill.session import fresh_path, table
-from tracemill.sources import jsonl, prompts, teacher_topk
+from tracemill.session import Scratch, fresh_path, stored, table
+from tracemill.sources import jsonl, prompts, ragged, teacher_topk
 from tracemill.sources.settings import Settings, expanded
 
 KINDS = ("mcq", "tf", "qa", "unanswerable", "code_free", "hedge")
@@ -374,8 +374,20 @@ TERM = "exp(lgamma(d + 1) - lgamma(i + 1) - lgamma(d - i + 1) - d * ln(2))"
 def mcnemar(spark, sf):
     """Exact p-value of the discordant items of two runs."""
     rows = log(spark, sf).withColumn("id", F.floor(F.col("event_id") / 2))
-    r = evals.regressions(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")).first()
-    return spark.createDataFrame([(r["lost"], r["gained"], round(evals.mcnemar(r["lost"], r["gained"]), 6))], "lost long, gained long, p double")
+    r = evals.regressions(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+    return evals.tested(r).select("lost", "gained", F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {LOG}, l AS (SELECT benchmark, run, user_id // 3 AS item, correct FROM e QUALIFY row_number() OVER (PARTITION BY benchmark, run, user_id // 3 ORDER BY event_id DESC) = 1),
+    c AS (SELECT x.benchmark, x.run AS a, y.run AS b, count(*) AS common, count(*) FILTER (WHERE x.correct AND NOT y.correct) AS lost, count(*) FILTER (WHERE y.correct AND NOT x.correct) AS gained
+        FROM l x JOIN l y ON x.benchmark = y.benchmark AND x.item = y.item AND x.run < y.run GROUP BY ALL),
+    t AS (SELECT *, lost + gained AS d, unnest(range(least(lost, gained) + 1)) AS i FROM c)
+    SELECT benchmark, a, b, common, lost, gained, round(CASE WHEN d = 0 THEN 0 ELSE (gained - lost) / sqrt(d) END, 6) AS z, round(least(1.0, 2 * sum({TERM})), 6) AS p FROM t GROUP BY ALL""")
+def mcnemar_pairs(spark, sf):
+    """Every two runs against one another on each benchmark, by the last record of each item: the exact p-value and z."""
+    rows = log(spark, sf).withColumn("item", F.floor(F.col("user_id") / 3))
+    out = evals.tested(evals.compared(rows, "item", "event_id", "benchmark"))
+    return out.select("benchmark", "a", "b", "common", "lost", "gained", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH {LOG}, s AS (SELECT run, benchmark, count(*) AS n, round_even(CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*), 4) AS a FROM e GROUP BY run, benchmark),
@@ -396,10 +408,20 @@ def ordered_scan(spark, sf):
     c, path = table(spark, sf, "conversations"), fresh_path(spark, "ordered")
     for k, rows in enumerate((c.where("role <> 'user'"), c.where("role = 'user'"))):  # the later file has the earlier name
         rows.orderBy("conv_id", "turn", "role", "text").coalesce(1).write.json(f"{path}/{1 - k}-log")
-    out = jsonl.scan_ordered(spark, [f"{path}/0-log", f"{path}/1-log"], "conv_id long, turn long, role string, text string")
-    place = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("file_order"))
-    files = out.select("file_order").distinct().withColumn("file", place.cast("int"))
-    return out.join(F.broadcast(files), "file_order").select("conv_id", "turn", "role", F.md5("text").alias("text"), "file", "line_no")
+    with Scratch() as keep:
+        out = jsonl.scan_ordered(spark, [f"{path}/0-log", f"{path}/1-log"], "conv_id long, turn long, role string, text string", keep=keep)
+        return stored(out.select("conv_id", "turn", "role", F.md5("text").alias("text"), (F.col("file_order") + 1).cast("int").alias("file"), "line_no"), "ordered")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS text, row_number() OVER (ORDER BY role <> 'user', conv_id, turn, role, text) - 1 AS number FROM conversations")
+def ordered_lines(spark, sf):
+    """The number of every line over all files of a scan, many files in two folders."""
+    c, path = table(spark, sf, "conversations"), fresh_path(spark, "ordered")
+    for k, rows in enumerate((c.where("role = 'user'"), c.where("role <> 'user'"))):
+        rows.repartitionByRange(5, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").write.json(f"{path}/{k}-log")
+    with Scratch() as keep:
+        out = jsonl.scan_ordered(spark, [f"{path}/0-log", f"{path}/1-log"], "conv_id long, turn long, role string, text string", keep=keep)
+        return stored(out.select("conv_id", "turn", "role", F.md5("text").alias("text"), "number"), "numbered")
 
 
 @query("SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type")
@@ -431,3 +453,41 @@ def style_and_budget(spark, sf):
     cfg = Settings(teachers={"one": {"domains": ["0", "1", "2"], "style": "calm"}, "two": {"domains": ["3", "4"]}}, styles={"0": "short"}, budgets={"0": 512, "1": 900, "default": 700})
     rows = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("d")).collect()
     return spark.createDataFrame([(r["n_nationkey"], cfg.style_for(r["d"], cfg.teacher_for(r["d"])), cfg.budget_for(r["d"])) for r in rows], "n_nationkey int, style string, budget int")
+
+
+# ---- flat parts with offsets, and the loss they are for -----------------
+
+@query("SELECT CAST(vec_id AS BIGINT) AS sample, CAST(i - 1 AS INT) AS pos, round(CAST(e[i] AS DOUBLE), 9) AS value FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT vec_id, list_filter(embedding, lambda x: x > 0) AS e FROM embeddings))")
+def ragged_round_trip(spark, sf):
+    """Rows of different lengths (a vector's positive components), written as flat parts with offsets and put together again."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("sample"), F.posexplode(F.filter("embedding", lambda x: x > 0)).alias("pos", "value"))
+    path = fresh_path(spark, "ragged")
+    ragged.write(rows, path, parts=5)
+    return ragged.read(spark, path).select("sample", "pos", F.round(F.col("value").cast("double"), 9).alias("value"))
+
+
+SCALED = "list_transform(embedding, lambda x: 4 * CAST(x AS DOUBLE))"
+LSE = lambda e: f"(list_max({e}) + ln(list_sum(list_transform({e}, lambda x: exp(x - list_max({e}))))))"
+
+
+@query(f"""WITH s AS (SELECT CAST(vec_id // 8 AS INT) AS sample, CAST(vec_id % 8 + 1 AS INT) AS step, {SCALED} AS e, CAST(vec_id * 7 % 64 AS INT) AS target FROM embeddings),
+    p AS (SELECT *, 2 + sample % 3 AS prompt_len, 8 - sample % 2 AS last, {LSE('e')} AS z FROM s),
+    f AS (SELECT sample, step, prompt_len, last, unnest(e) AS x, unnest(list_transform(e, lambda x: -x / 2)) AS t, unnest(range(len(e))) AS id, z FROM p WHERE sample % 5 <> 0 AND step >= prompt_len AND step < last),
+    g AS (SELECT *, CAST(t - ln(sum(exp(t)) OVER w) AS FLOAT) AS lp, row_number() OVER (PARTITION BY sample, step ORDER BY t DESC, id) AS r FROM f WINDOW w AS (PARTITION BY sample, step)),
+    k AS (SELECT *, CAST(lp AS DOUBLE) - ln(sum(exp(CAST(lp AS DOUBLE))) OVER (PARTITION BY sample, step)) AS q FROM g WHERE r <= 6),
+    d AS (SELECT sample, step, sum(exp(q) * (q - (x - z))) AS kl FROM k GROUP BY sample, step),
+    c AS (SELECT p.sample, count(*) AS n_tokens, count(d.kl) AS n_teacher, avg(z - e[target + 1]) AS ce, coalesce(avg(d.kl), 0) AS kl FROM p LEFT JOIN d ON p.sample = d.sample AND p.step = d.step
+        WHERE p.step BETWEEN prompt_len AND last GROUP BY p.sample)
+    SELECT sample, n_tokens, n_teacher, round(ce, 6) AS ce, round(kl, 6) AS kl, round(0.3 * ce + 0.7 * kl, 6) AS loss FROM c""")
+def distillation_loss(spark, sf):
+    """Cross entropy on the answer and divergence from the stored top 6 of a teacher, mixed by sample; every fifth sample has no teacher. A vector is the logits of a step, eight of them a sequence."""
+    sample, step = F.floor(F.col("vec_id") / 8).cast("int"), (F.col("vec_id") % 8 + 1).cast("int")
+    steps = table(spark, sf, "embeddings").select(
+        sample.alias("sample"), step.alias("step"), F.transform("embedding", lambda x: 4 * x.cast("double")).alias("logits"), (F.col("vec_id") * 7 % 64).cast("int").alias("target"),
+        (2 + sample % 3).alias("prompt_len"), (8 - sample % 2).alias("end"),
+    )
+    scored = steps.where("sample % 5 <> 0 AND step >= prompt_len").select("sample", (F.col("step") - F.col("prompt_len")).alias("pos"), F.transform("logits", lambda x: -x / 2).alias("values"))
+    path = fresh_path(spark, "topk")
+    teacher_topk.append(teacher_topk.reduced(scored, 6), path)
+    out = distill.losses(distill.with_teacher(steps, teacher_topk.read(spark, path)), 0.3, "sample")
+    return out.where("n_tokens > 0").select("sample", "n_tokens", "n_teacher", *[F.round(c, 6).alias(c) for c in ("ce", "kl", "loss")])

@@ -8,32 +8,41 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.prefix import exclusive_sums
+from tracemill.session import Scratch, stored
+
 
 def scan(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Records of one or more files or folders; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
 
 
-def scan_ordered(spark: SparkSession, paths: list[str], schema: str, by_time: bool = False) -> DataFrame:
-    """As scan(), with file_order and line_no (from 0, blank lines counted), which first-wins and last-wins rules need.
+def scan_ordered(spark: SparkSession, paths: list[str], schema: str, by_time: bool = False, keep: Scratch | None = None) -> DataFrame:
+    """As scan(), with file_order (from 0), line_no in the file and number over all files (from 0, blank lines counted), which first-wins and last-wins rules need.
 
     Files are in the order of `paths`, and within a folder in that of their
     names, or of their times if by_time (what a later run appends comes after).
-    A large file is read in several blocks: a line's number is its place in its
-    block and the lines of the blocks before, of which there is a row for each.
+    The lines are scanned once and stored, as long as `keep` lives (without it,
+    for good), so a line's number comes from the scan that read it. A large file
+    is read in several blocks: a line's number is its place in its block and the
+    lines of the blocks before, which are summed up over a row for each block.
     """
-    parts = []
-    for order, path in enumerate(paths):
-        meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_modification_time", "file_block_start")]
-        lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("id"))
-        blocks = lines.groupBy("file_path", "file_modification_time", "file_block_start").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1))
-        names = (["file_modification_time"] if by_time else []) + ["file_path"]
-        rank = F.dense_rank().over(Window.partitionBy(F.lit(order)).orderBy(*names))  # a row for each block
-        blocks = blocks.select(F.col("file_path").alias("f"), F.col("file_block_start").alias("b"), "lo", F.coalesce(before, F.lit(0)).alias("before"), F.struct(F.lit(order), rank).alias("file_order"))
-        found = lines.join(F.broadcast(blocks), (F.col("file_path") == F.col("f")) & (F.col("file_block_start") == F.col("b"))).where(F.trim("value") != "")
-        parts.append(found.select(F.from_json("value", schema).alias("r"), "file_order", (F.col("before") + F.col("id") - F.col("lo")).alias("line_no")).select("r.*", "file_order", "line_no"))
-    return reduce(DataFrame.unionByName, parts)
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_modification_time", "file_block_start")]
+    scans = [spark.read.text(path).select(F.lit(order).alias("path_order"), *meta, F.monotonically_increasing_id().alias("id"), "value") for order, path in enumerate(paths)]
+    store = keep or stored
+    lines = store(reduce(DataFrame.unionByName, scans), "lines")
+    file = ["path_order", *(["file_modification_time"] if by_time else []), "file_path"]
+    block = [*file, "file_block_start"]
+    blocks = lines.groupBy(*block).agg(F.min("id").alias("lo"), F.count("*").alias("n"))
+    with Scratch() as own:
+        summed = store(exclusive_sums(blocks, block, "n", "before", own), "line-blocks")
+    # files are fewer than blocks; each gets its place among all, and the lines before it
+    first = summed.groupBy(*file).agg(F.min("before").alias("start")).withColumn("one", F.lit(1))
+    with Scratch() as own:
+        files = store(exclusive_sums(first, file, "one", "file_order", own), "line-files")
+    where = summed.join(files.select(*file, "start", "file_order"), file)
+    numbered = lines.join(where, block).withColumn("number", F.col("before") + F.col("id") - F.col("lo")).where(F.trim("value") != "")
+    return numbered.select(F.from_json("value", schema).alias("r"), "file_order", (F.col("number") - F.col("start")).alias("line_no"), "number").select("r.*", "file_order", "line_no", "number")
 
 
 def append(df: DataFrame, path: str) -> None:
