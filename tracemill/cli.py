@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from tracemill import schemas
 from tracemill.functions.text import strip, tail
 from tracemill.operators import chat, evals, report, sampling, selection
-from tracemill.operators.generate import escalated, generate, load, sized
+from tracemill.operators.generate import ROUND, escalated, generate, load, sized
 from tracemill.operators.verify import verified
 from tracemill.plans.curate import curate
 from tracemill.session import Scratch, local_session
-from tracemill.sources import jsonl, teacher_topk
+from tracemill.sources import files, jsonl, teacher_topk
+from tracemill.sources.commits import Log
 from tracemill.sources.lease import Lease
 from tracemill.sources.prompts import pool
 from tracemill.sources.settings import Settings, fingerprint, shared_vocabulary
@@ -75,8 +76,14 @@ class Run:
         for name in a.teacher or list(self.cfg.teachers):
             todo = selection.todo(routed.where(F.col("teacher") == name), self.read(f"teacher/{name}", schemas.TRACE))
             todo = todo.orderBy("id").limit(a.limit) if a.limit else todo
-            done = escalated(todo, load(a.generator), self.system(name), self.budget(todo, name), self.cfg.retries, F.col("truncated"), always=False)
+            rounds = self.rounds(f"teach-{name}")
+            done = escalated(todo, load(a.generator), self.system(name), self.budget(todo, name), self.cfg.retries, F.col("truncated"), always=False, log=rounds)
             jsonl.append(done.withColumn("teacher_model", F.lit(self.cfg.teachers[name].get("path"))), self.at(f"teacher/{name}"))
+            files.delete(self.spark, rounds.path)
+
+    def rounds(self, name: str) -> Log:
+        """What a killed run of the same name has been answered; it goes when the run's records are written."""
+        return Log(self.spark, self.at(f"rounds/{name}"), ROUND)
 
     def system(self, teacher: str) -> Column:
         """The system prompt of each row: that of all experts, and the style of its domain."""
@@ -111,8 +118,9 @@ class Run:
         todo = todo.orderBy("id").limit(a.limit) if a.limit else todo
         todo = todo.drop("ok", "why", "raw", "answer", "think", "truncated", "forced", "gen_tokens", "gen_seconds")
         empty = strip(F.coalesce("answer", F.lit(""))) == ""
-        done = verified(escalated(todo, load(a.generator), chat.EXPERT_SYSTEM, sized(todo, self.cfg.budgets), self.cfg.hedge_retries, empty, always=True, prompt="ask"), self.cfg)
+        done = verified(escalated(todo, load(a.generator), chat.EXPERT_SYSTEM, sized(todo, self.cfg.budgets), self.cfg.hedge_retries, empty, always=True, prompt="ask", log=(rounds := self.rounds("hedge"))), self.cfg)
         jsonl.append(done.where("ok").withColumn("source", F.lit("hedge")).drop("ask", "ok", "why"), self.at("teacher/hedge"))
+        files.delete(self.spark, rounds.path)
 
     def dataset(self, a: argparse.Namespace) -> None:
         made = curate(self.traces(), self.benchmark(a.skip_decontam), self.cfg, run_code=a.run_code)
@@ -138,7 +146,7 @@ class Run:
                 todo = selection.todo(items, self.read(f"{folder}/{name}", schemas.EVAL))
                 budget, temp = a.max_tokens or self.cfg.eval_budget_for(name), self.cfg.eval_temp if a.temp is None else a.temp
                 options = {"force_budget": a.force_budget, "temp": temp, "rep_penalty": a.rep_penalty, "think_bias": a.think_bias}
-                done = verified(generate(todo, load(a.generator, **options), chat.EVAL_SYSTEM, F.lit(budget)), self.cfg, a.run_code)
+                done = verified(generate(todo, load(a.generator, **options), chat.EVAL_SYSTEM, F.lit(budget), reserve=a.force_budget or 0), self.cfg, a.run_code)
                 think = F.coalesce("think", F.lit(""))
                 kept = F.when(F.col("truncated"), tail(think)).otherwise("")
                 lease.check()

@@ -15,6 +15,7 @@ EXPERT_SYSTEM = (
     "and follow the requested output format exactly."
 )
 FORCE_SENTENCE = "I am out of thinking budget and will commit to my best answer now."
+FORCED_END = f"\n\n{FORCE_SENTENCE}\n</think>\n\n"
 
 
 def thought(think: Column, answer: Column) -> Column:

@@ -14,13 +14,14 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators import chat, distill, evals, report, selection
-from tracemill.operators.generate import sized
+from tracemill.operators import chat, code, distill, evals, report, selection
+from tracemill.operators.generate import ROUND, escalated, sized, state
 from tracemill.plans import curate as curation
 from tracemill.plans.queries import DIRTY, LOG, SEED, SHARES, log, query
 from tracemill.plans.text_queries import FENCE, NL, WS, chosen, quoted
 from tracemill.session import Scratch, fresh_path, stored, table
 from tracemill.sources import jsonl, prompts, ragged, teacher_topk
+from tracemill.sources.commits import Log
 from tracemill.sources.settings import Settings, expanded
 
 KINDS = ("mcq", "tf", "qa", "unanswerable", "code_free", "hedge")
@@ -491,3 +492,60 @@ def distillation_loss(spark, sf):
     teacher_topk.append(teacher_topk.reduced(scored, 6), path)
     out = distill.losses(distill.with_teacher(steps, teacher_topk.read(spark, path)), 0.3, "sample")
     return out.where("n_tokens > 0").select("sample", "n_tokens", "n_teacher", *[F.round(c, 6).alias(c) for c in ("ce", "kl", "loss")])
+
+
+# ---- completions and programs -------------------------------------------
+
+END = "{NL} || {NL} || {sentence} || {NL} || '</think>' || {NL} || {NL}".format(NL=NL, sentence=quoted(chat.FORCE_SENTENCE))
+RAWS = [f"'<think>' || text || {END} || 'Answer: x'", "'<think>' || text", "'<think>short</think>Answer: y'", "'Answer: ' || text", "'<think>' || text || '</think>' || ' '", f"'done</think> so' || {END} || 'Answer: z'", f"'<think>' || text || {END}"]
+
+
+@query(f"""WITH s AS (SELECT doc_id, doc_id % {len(RAWS)} AS k, n_chars // 4 >= 300 - 50 - 2 AS reached FROM documents)
+    SELECT doc_id, k = 1 AS "open", k IN (0, 6) AND reached AS forced, k IN (1, 4, 6) AS truncated FROM s""")
+def completion_state(spark, sf):
+    """Whether a completion's thought is open, was closed for it at its budget, and whether it has no answer: from the raw text, the tokens and the budget."""
+    table(spark, sf, "documents").createOrReplaceTempView("documents_of_completions")
+    rows = spark.sql(f"SELECT doc_id, CAST(floor(n_chars / 4) AS INT) AS tokens, {chosen(RAWS)} AS raw FROM documents_of_completions")
+    s = rows.select("doc_id", state(F.col("raw"), False, F.col("tokens"), F.lit(300), 50).alias("s"))
+    return s.select("doc_id", "s.open", "s.forced", "s.truncated")
+
+
+def reader():
+    """A model whose answer needs a token for every 100 characters of its prompt; with fewer it doesn't get to an end."""
+
+    def model(prompts, system, most):
+        need = [len(p) // 100 for p in prompts]
+        return [{"raw": "Answer: read" if n <= most else "<think>reading", "tokens": min(n, most), "seconds": 0.0} for n in need]
+
+    return model
+
+
+@query("SELECT 'd' || doc_id AS id, CAST(least(length(text) // 100, CASE WHEN length(text) // 100 <= 8 THEN 8 WHEN length(text) // 100 <= 12 THEN 12 WHEN length(text) // 100 <= 18 THEN 18 ELSE 8 END) AS INT) AS gen_tokens, length(text) // 100 > 18 AS truncated, CASE WHEN length(text) // 100 <= 8 THEN 1 WHEN length(text) // 100 <= 12 THEN 2 ELSE 3 END AS asks FROM documents")
+def resumed_rounds(spark, sf):
+    """Documents read by a model in rounds of growing budgets; the run is broken off twice and started again, and nothing is asked twice."""
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("prompt"))
+    held = Log(spark, fresh_path(spark, "rounds"), ROUND)
+    per_commit = max(1, rows.count() // 4)
+    for stop in (2, 5, None):  # within the first round, at its end, and then to the last
+        done = escalated(rows, reader, "", F.lit(8), 2, F.col("truncated"), always=False, log=held, per_commit=per_commit, commits=stop)
+    asks = held.read().groupBy("id").agg(F.count("*").alias("asks"))
+    return done.join(asks, "id").select("id", "gen_tokens", "truncated", "asks")
+
+
+PROGRAMS = [  # by part, with the outcome; the fifth asks for more memory than it may have, the sixth leaves a process behind
+    ("'assert ' || p_size || ' < 51'", "true", "'code:ok'"),
+    ("'assert ' || p_size || ' > 50'", "false", "'code:AssertionError'"),
+    ("'def f(:'", "false", "'code:SyntaxError: invalid syntax'"),
+    ("'while True: pass'", "false", "'code:timeout'"),
+    ("'x = bytearray(1 << 33)'", "false", "'code:MemoryError'"),
+    (f"'import os, time' || {NL} || 'if os.fork() == 0:' || {NL} || '    time.sleep(60)'", "true", "'code:ok'"),
+    ("'raise ValueError(' || p_size || ')'", "false", "'code:ValueError: ' || p_size"),
+]
+
+
+@query(f"SELECT p_partkey, {chosen([p for _, p, _ in PROGRAMS], 'p_partkey')} AS passed, {chosen([w for _, _, w in PROGRAMS], 'p_partkey')} AS why FROM part")
+def programs(spark, sf):
+    """Programs made of parts, run in processes with limits: equal ones once, endless ones stopped, what they start killed with them."""
+    table(spark, sf, "part").createOrReplaceTempView("part_of_programs")
+    rows = spark.sql(f"SELECT p_partkey, {chosen([p for p, _, _ in PROGRAMS], 'p_partkey')} AS program FROM part_of_programs")
+    return code.executed(rows, enabled=True, timeout=3.0).select("p_partkey", "passed", code.why(F.col("error")).alias("why"))
