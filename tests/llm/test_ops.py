@@ -135,6 +135,7 @@ def varied(rng, vocab, lengths, n):
 def test_lines_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(line_dedup, "SMALL", small)
     monkeypatch.setattr(line_dedup, "CHUNK", 16)
+    monkeypatch.setattr(line_dedup, "NEAR", 16)
     rng = random.Random(3)
     base, vary = varied(rng, [f"word{i}" for i in range(60)], range(1, 41), 40)
     texts = ["\n".join(vary(rng.choice(base)) for _ in range(rng.randint(1, 6))) for _ in range(60)]
@@ -169,6 +170,41 @@ def test_lines_recall(spark):
     assert len(pairs) > 200 and len(gone) >= 0.9 * len(pairs) and all(i % 2 for i in gone)
 
 
+def brief_pairs(rng, vocab, words, kind, n=300):
+    """Lines of so many words and variants: a word replaced, added or dropped, or letters changed; those that are similar enough by edit distance alone."""
+    out = []
+    for _ in range(n):
+        a = [rng.choice(vocab) for _ in range(rng.choice(words))]
+        b = list(a)
+        at = rng.randrange(len(b))
+        if kind == "word":
+            b[at:at + 1] = rng.choice([[rng.choice(vocab)], [b[at], rng.choice(vocab)], []])
+        else:
+            for _ in range(rng.randint(1, kind)):
+                at, letters = rng.randrange(len(b)), rng.choice("abcdefgh")
+                k = rng.randrange(len(b[at]))
+                b[at] = b[at][:k] + rng.choice([letters, letters + b[at][k], ""]) + b[at][k + 1:]
+            b = [x for x in b if x]
+        a, b = " ".join(a), " ".join(b)
+        if b and a != b and similar(a, b):
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("words, kind", [([2], 1), ([3, 4], 1), ([3, 4], "word"), ([5, 6], "word"), ([7, 8, 9], "word"), ([5, 6, 7, 8, 9], 2), ([10, 11, 12], "word")])
+def test_recall_of_brief_lines(words, kind):
+    """Nine in ten pairs of 2 to 12 words meet under some key, in every length class."""
+    rng = random.Random(str((words, kind)))
+    vocab = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8, 10]))) for _ in range(3000)]
+    pairs = brief_pairs(rng, vocab, words, kind, 2000 if kind == "word" and words[0] < 5 else 300)
+    met = 0
+    for a, b in pairs:
+        (_, _, _, s, k, _), (_, _, _, t, m, _) = (line_dedup.hashed_lines([x]) for x in (a, b))
+        met += bool(set(k.tolist()) & set(m.tolist())) and line_dedup.apart(s.view(np.uint64), t.view(np.uint64))[0] <= line_dedup.FAR
+    print(words, kind, met, len(pairs))
+    assert len(pairs) > 40 and met >= 0.9 * len(pairs)
+
+
 def test_word_bound_and_edits():
     rng = random.Random(2)
     for _ in range(300):

@@ -10,7 +10,11 @@
    the pigeonhole principle three stay equal; nodes that agree in two blocks of
    LEAST words or more together are joined under that pair. Lines with few long
    words, or none (short lines, scripts without blanks), use GRAM-byte strings
-   instead of words; around the boundary a line has both kinds of keys.
+   instead of words; around the boundary a line has both kinds of keys. Ten
+   words are too few for blocks to stay equal, so lines of up to BRIEF words are
+   also joined if they are equal but for one word, or two that are a small part
+   of them; and those of up to TINY words by their first and their last bytes,
+   of several lengths around half of the line.
 3. Candidates further apart than FAR bits of the whole SimHash fall out, the
    rest is verified by edit similarity (1 - Levenshtein / longer length, of the
    normalised lines) of `similarity` or more. In a bucket of up to SMALL nodes
@@ -60,8 +64,11 @@ from tracemill.session import discard, path_bytes, stored
 BLOCKS, LEAST = 5, 3  # blocks of a line's SimHash, and features that a pair of equal blocks must hold
 LONG, FEW, SAMPLE = 5, 6, 12  # bytes of a word that counts, words under which a line has grams, words drawn
 GRAM, GRAMS = 4, 8  # bytes of a gram, grams drawn
-FAR, SHORT = 17, 8  # bits of the whole SimHash, which is left out of play for lines under SHORT words
-SMALL, CHUNK, BINS = 8, 2048, 512
+FAR, SHORT = 17, 11  # bits of the whole SimHash, which is left out of play for lines under SHORT words
+BRIEF, TINY = 10, 4  # words of lines that are joined without one or two of them, and by their ends
+REST = 0.4  # part of a line that two dropped words may be
+ENDS = (2, 3, 4, 6, 8, 12, 16, 24, 32)  # bytes of an end
+SMALL, NEAR, CHUNK, BINS = 8, 2048, 8192, 512
 BATCH_BYTES = 1 << 20
 DIGITS = bytes(ord("0") if chr(b).isdigit() and b < 128 else 32 if b < 32 and b != 10 else b for b in range(256))
 MARKS = string.punctuation.encode()
@@ -74,7 +81,7 @@ def flattened(text: str) -> bytes:
 
 
 def normal(line: str) -> str:
-    return " ".join(flattened(line.replace("\n", " ")).decode().split(" ")).strip() if line else ""
+    return " ".join(filter(None, flattened(line.replace("\n", " ")).decode().split(" "))) if line else ""
 
 
 def _block_keys(kind: int, line: np.ndarray, feature: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +106,44 @@ def _block_keys(kind: int, line: np.ndarray, feature: np.ndarray, lines: int) ->
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _without_words(word: np.ndarray, size: np.ndarray, first: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line, key) of brief lines: their words, and these without one (two at least stay) or two (three stay, and the two are a small part). What stays is hashed in order, so a word may also have been added."""
+    for n in range(1, BRIEF + 1):
+        own = np.flatnonzero(words == n)
+        if not len(own):
+            continue
+        at = first[own][:, None] + np.arange(n)
+        part, chars = word[at], size[at]
+        whole = chars.sum(axis=1)
+        for gone in [(), *combinations(range(n), 1)] * (n > 2) + [*combinations(range(n), 2)] * (n > 4):
+            some = np.flatnonzero(chars[:, gone].sum(axis=1) <= REST * whole) if len(gone) == 2 else np.arange(len(own))
+            key = np.zeros(len(some), np.uint64)
+            for k in range(n):
+                if k not in gone:
+                    key = mix(key * np.uint64(31) + part[some, k])
+            yield own[some], mix(key + np.uint64(77))
+
+
+def _by_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line, key) of tiny lines: their first and last bytes, of each of the lengths in ENDS that is about half of the line."""
+    own = np.flatnonzero(words <= TINY)
+    if not len(own):
+        return
+    count = words[own]
+    of = np.repeat(np.arange(len(own)), count)
+    at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    size = ends[at] - starts[at] + 1  # a blank after each word
+    chars = data[np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].astype(np.uint64)
+    chars[np.cumsum(size) - 1] = 32
+    length = np.bincount(of, size, minlength=len(own)).astype(np.int64)
+    head = np.cumsum(length) - length
+    tail, length = head + length - 1, length - 1
+    for n in ENDS:
+        some = np.flatnonzero((length * 0.35 <= n) & (n <= length * 0.6))
+        yield own[some], mix(span_hash(chars, head[some], head[some] + n) + np.uint64(78))
+        yield own[some], mix(span_hash(chars, tail[some] - n, tail[some]) + np.uint64(79))
+
+
 def _drawn(feature: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
     """Which features are drawn, about `most` of a line that has `of`."""
     return (feature >> np.uint64(32)).astype(np.float64) * of < most * 2.0**32
@@ -138,6 +183,8 @@ def hashed_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
         gram, own = mix(grams[inside].astype(np.uint64) @ _GRAM), own[: len(grams)][inside]
         pick = _drawn(gram, np.bincount(own, minlength=n)[own], GRAMS)
         found.append(_block_keys(1, own[pick], gram[pick], n))
+    found += _without_words(word, ends - starts, first, words)
+    found += _by_ends(data, starts, ends, first, words)
     row, key = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(row, kind="stable")
     sim = simhashes(word, first, last) & ~np.uint64(1) | (words < SHORT).astype(np.uint64)
@@ -182,8 +229,8 @@ def nearest(sims: np.ndarray) -> np.ndarray:
 
 def _large(lh: np.ndarray, sim: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a large bucket that mostly join what belongs together: each member and the nearest before it in its chunk, and the eight nearest of each chunk and the first one's head."""
-    for at in range(0, len(lh), CHUNK):
-        own, there = lh[at : at + CHUNK], sim[at : at + CHUNK]
+    for at in range(0, len(lh), NEAR):
+        own, there = lh[at : at + NEAR], sim[at : at + NEAR]
         j = nearest(there)
         ok = apart(there[1:], there[j]) <= FAR
         yield own[1:][ok], own[j[ok]]
