@@ -109,3 +109,58 @@ def test_odd_rows(spark):
     out = simhash_shingles.keep_first(d)
     assert out.columns == d.columns
     assert sorted(((r["doc_id"], (r["text"] or "")[:7]) for r in out.collect()), key=str) == sorted([(1, "w0 w1 w"), (3, ""), (6, "tie tie"), (7, "漢字仮名交文"), (8, "alone")], key=str)
+
+
+def test_columns_that_have_no_order(spark):
+    rows = [(3, "a b c d e f", {"x": 2}), (3, "a b c d e f", {"x": 1}), (4, "other", None), (4, "other", None), (5, "third", {})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").withColumn("v", F.parse_json(F.lit('{"a": 1}')))
+    out = simhash_shingles.keep_first(d)
+    assert out.columns == d.columns
+    assert sorted((r["doc_id"], r["m"]) for r in out.select("doc_id", "m").collect()) == [(3, {"x": 1}), (4, None), (5, {})]
+
+
+def keyed(spark, n, groups, partitions=8):
+    """n classes under key 1, each with 15 further keys: of their own, but for one that a group of classes shares."""
+    ids = spark.range(n, numPartitions=partitions).withColumn("sh", F.col("id"))
+    others = [F.xxhash64("id", F.lit(s)) for s in range(14)]
+    shared = F.xxhash64(F.floor(F.col("id") / groups), F.lit("group"))
+    parts = ids.select(F.lit(1).cast("long").alias("k"), "sh", F.lit(500).alias("n"), F.col("sh").alias("part"))
+    return parts, ids.select("sh", F.array(F.lit(1).cast("long"), shared, *others).alias("keys"))
+
+
+def test_a_key_that_very_many_classes_share(spark):
+    """The classes of a key meet in as many rows as they have members, not as many as they have pairs."""
+    from tracemill.session import Scratch
+
+    counts = {}
+    for n in (10_000, 50_000):
+        for size in (1, 5):
+            with Scratch() as keep:
+                got = simhash_shingles.dealt(*keyed(spark, n, size), 0.8, keep)
+                counts[n, size] = got.count()
+                if n == 50_000:
+                    assert (got.groupBy("sh").count().agg(F.max("count")).first()[0] or 0) <= 1  # copies of a set
+                assert keep.held[1].count() == 15 * n  # narrow rows
+    assert counts == {(10_000, 1): 0, (10_000, 5): 10_000, (50_000, 1): 0, (50_000, 5): 50_000}
+
+
+def test_large_keys_lose_no_pair(spark, monkeypatch):
+    """A passage that many otherwise different texts share makes keys of far over CHUNK classes, short texts leave segments empty, and near copies are among them."""
+    monkeypatch.setattr(simhash_shingles, "CHUNK", 8)
+    rng = random.Random(21)
+    licence = [f"lic{i}" for i in range(30)]
+    texts = []
+    for i in range(120):
+        own = [f"own{i}x{k}" for k in range(rng.choice([3, 8, 20, 60]))]
+        words = licence[: rng.choice([5, 6, 12, 30])] + own
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            texts.append(" ".join([*words, f"end{i}"]))
+    texts += [" ".join(licence[: rng.choice([5, 6, 7, 9, 12, 13, 14, 16])]) for _ in range(20)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    kept = {r["doc_id"] for r in simhash_shingles.keep_first(frame(spark, rows)).collect()}
+    monkeypatch.setattr(simhash_shingles, "CHUNK", 100_000)
+    assert kept == {r["doc_id"] for r in simhash_shingles.keep_first(frame(spark, rows)).collect()} and len(kept) < len(rows)
+    want = brute_keep(rows)
+    assert want <= kept and len(kept - want) <= 0.02 * len(rows)

@@ -19,7 +19,11 @@ shingles:
    longer chains are then checked, and what fails is no candidate.
 4. Under one key each class is first compared with one pivot, so a large group
    costs no more pairs than it has members; then, within the keys whose classes
-   the links don't join completely, all pairs across the parts, in chunks.
+   the links don't join completely, all pairs across the parts. A key of more
+   than CHUNK classes is divided by a second equal segment first, which every
+   candidate has (sets of up to TINY shingles, which leave segments empty, by
+   their size instead): what merely shares one segment, as a licence or a
+   template page does, falls apart into groups of its own.
 5. Every candidate is verified by the exact similarity of its sets of hashes.
 
 Given cases: null and wordless texts have the empty set and are one class; a
@@ -43,11 +47,12 @@ from pyspark.sql import functions as F
 from tracemill.llm.batches import sliced, small_batches, unused
 from tracemill.llm.components import components, joined
 from tracemill.llm.text_hash import mix, simhashes, span_hash, words_of
-from tracemill.session import discard, path_bytes, stored
+from tracemill.session import Scratch, discard, path_bytes, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 SEGMENTS, SAMPLE, BUDGET = 16, 64, 14
 CHUNK = 512  # classes of one key that are compared with one another in one group
+TINY = 40  # shingles of a set that may share one segment only, others being empty
 BATCH_BYTES = 256 << 10
 UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
 _BLANK = np.zeros(256, bool)
@@ -167,12 +172,12 @@ def _verified(similarity: float) -> callable:
 
 
 def _crossing(similarity: float) -> callable:
-    """The rows of one key and one pair of chunks -> all similar pairs across chunks (or within the one chunk) and parts whose first common key this is."""
+    """The rows of one key, one second key (0: none) and one pair of chunks -> all similar pairs across chunks (or within the one chunk) and parts whose first common keys these are."""
 
     def run(rows: pa.Table) -> pa.Table:
         grams = [x.values.to_numpy() for x in rows["grams"].combine_chunks()]
         keys = np.stack([x.values.to_numpy() for x in rows["keys"].combine_chunks()])
-        k, i, j = (rows[c][0].as_py() for c in ("k", "i", "j"))
+        k, k2, i, j = (rows[c][0].as_py() for c in ("k", "k2", "i", "j"))
         sh, part, chunk = (rows[c].to_numpy() for c in ("sh", "part", "chunk"))
         n = np.array([len(g) for g in grams])
         ones = np.flatnonzero(chunk == i)
@@ -184,7 +189,12 @@ def _crossing(similarity: float) -> callable:
             y = y[np.minimum(n[y], n[x]) >= np.maximum(n[y], n[x]) * similarity - 1e-9]
             if len(y):
                 common = (keys[y] == keys[x]) & (keys[x] != 0)
-                y = y[keys[x][common.argmax(axis=1)] == k]
+                at = common.argmax(axis=1)
+                ok = keys[x][at] == k
+                if k2:
+                    common[np.arange(len(y)), at] = False
+                    ok &= np.where(common.any(axis=1), keys[x][common.argmax(axis=1)], -np.maximum(n[y], n[x])) == k2
+                y = y[ok]
                 y = y[chained(keys[y], keys[[x]])]
             out += [(min(sh[x], sh[z]), max(sh[x], sh[z])) for z in y if jaccard(grams[x], grams[z]) >= similarity - 1e-9]
         a, b = zip(*out, strict=True) if out else ((), ())
@@ -193,6 +203,23 @@ def _crossing(similarity: float) -> callable:
     return run
 
 
+def dealt(parts: DataFrame, keys: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
+    """parts(k, sh, n, part), the classes of every key with what they are joined to so far, and keys(sh, keys) -> (k, k2, i, j, chunk, sh, part): in which groups a class meets those of other parts."""
+    spread = [F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")]
+    torn = keep(parts.groupBy("k").agg(*spread).where("lo <> hi").select("k", "c"), "shingle-torn")
+    few = parts.join(torn.where(F.col("c") <= CHUNK), "k").select("k", F.lit(0).cast("long").alias("k2"), "sh", "part", F.lit(1).alias("q"))
+    # a large key by the other segments of its classes, or, for tiny sets, by the sizes that theirs is similar to
+    sizes = F.when(F.col("n") <= TINY, F.transform(F.sequence("n", F.floor(F.col("n") / F.lit(similarity) + F.lit(1e-9)).cast("int")), lambda x: -x.cast("long"))).otherwise(F.array().cast("array<long>"))
+    second = F.array_distinct(F.concat(F.filter("keys", lambda x: (x != 0) & (x != F.col("k"))), sizes))
+    many = parts.join(torn.where(F.col("c") > CHUNK).select("k"), "k").join(keys, "sh").select("k", F.explode(second).alias("k2"), "sh", "part")
+    many = keep(many, "shingle-seconds")
+    left = many.groupBy("k", "k2").agg(*spread).where("lo <> hi").select("k", "k2", F.ceil(F.col("c") / CHUNK).cast("int").alias("q"))
+    both = few.unionByName(many.join(left, ["k", "k2"]))
+    # what is still large is divided into chunks, and each pair of chunks is a group by itself
+    chunked = both.withColumn("chunk", F.pmod(F.xxhash64("sh"), F.col("q")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    return chunked.select("k", "k2", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sh", "part")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(each, comps), stored tables: (doc_id, th, sh, ...) for every row of docs(doc_id, text), and (sh, comp) for the sets that are linked to others."""
     small_batches(docs.sparkSession)
@@ -217,13 +244,9 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     first = components(links)
     comps = first.toDF("sh", "comp")
     parts = members.join(comps, "sh", "left").select("k", "sh", "n", F.coalesce("comp", "sh").alias("part"))
-    torn = parts.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    # a large key is divided into chunks, and each pair of chunks is a group by itself
-    chunks = torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q"))
-    dealt = parts.join(chunks, "k").withColumn("chunk", F.pmod(F.xxhash64("sh"), F.col("q")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sh", "part").join(sets, "sh")
-    more = stored(dealt.groupBy("k", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
+    with Scratch() as keep:
+        meet = dealt(parts, sets.select("sh", "keys"), similarity, keep).join(sets, "sh")
+        more = stored(meet.groupBy("k", "k2", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
     out = stored(joined(first, more).toDF("sh", "comp"), "shingle-groups")
     for done in (keyed, members, firsts, sets, links, first, more):
         discard(done)
@@ -231,7 +254,7 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """docs with one row of each group: the smallest (doc_id, text hash), null ids last, and of rows that repeat it the one with the smallest columns."""
+    """docs with one row of each group: the smallest (doc_id, text hash), null ids last, and of rows that repeat it the one whose columns come first as JSON (columns of any type, maps too)."""
     each, comps = groups(docs.select("doc_id", "text"), **params)
     rows = each.groupBy("sh", "doc_id", "th").agg(F.count("*").alias("c"))
     classes = rows.groupBy("sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "c")).alias("first"))
@@ -244,5 +267,6 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     many = stays.where(F.col(times) > 1)
     if many.isEmpty():
         return docs.join(stays, on, "left_semi")
-    repeated = docs.join(many, on).groupBy(doc, hashed).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias(row))
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    repeated = docs.join(many, on).groupBy(doc, hashed).agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias(row))
     return docs.join(stays.where(F.col(times) == 1), on, "left_semi").union(repeated.select(f"{row}.*"))
