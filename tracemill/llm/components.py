@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import discard, stored
+from tracemill.session import Scratch, discard, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -45,16 +45,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
-def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps(node, comp) as components() gave them, and further links(a, b) -> (node, comp) of both together. Only the links between different components are worked on."""
+def joined(comps: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
+    """comps(node, comp) as components() gave them, and further links(a, b) -> (node, comp) of both together, as long as `keep` lives. Only the links between different components are worked on."""
     of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     between = stored(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "edges")
     if between.isEmpty():
         discard(between)
         return comps
-    upper = components(between).toDF("own", "top")
+    found = components(between)
+    keep.held.append(found)
     discard(between)
+    upper = found.toDF("own", "top")
     moved = comps.join(upper, F.col("comp") == F.col("own"), "left").select("node", F.coalesce("top", "comp").alias("comp"))
     single = upper.join(comps.select(F.col("node").alias("own")), "own", "left_anti").select("own", "top")
     return moved.union(single)

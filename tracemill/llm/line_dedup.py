@@ -59,7 +59,7 @@ from pyspark.sql import types as T
 from tracemill.llm.batches import sliced, small_batches, unused
 from tracemill.llm.components import components, joined
 from tracemill.llm.text_hash import mix, simhashes, span_hash, words_of
-from tracemill.session import discard, path_bytes, stored
+from tracemill.session import Scratch, path_bytes, stored
 
 BLOCKS, LEAST = 5, 3  # blocks of a line's SimHash, and features that a pair of equal blocks must hold
 LONG, FEW, SAMPLE = 5, 6, 12  # bytes of a word that counts, words under which a line has grams, words drawn
@@ -319,17 +319,17 @@ def _find(root: dict[int, int], x: int) -> int:
     return x
 
 
-def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """members(k, lh, sim) of large buckets; parts(node, comp), what is joined so far; texts(lh, line) -> (a, b), the links that were still missing, and a stored table that they are made of."""
+def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float, broadcast_bytes: int, keep: Scratch) -> DataFrame:
+    """members(k, lh, sim) of large buckets; parts(node, comp), what is joined so far; texts(lh, line) -> (a, b), the links that were still missing."""
     named = members.join(parts, members["lh"] == parts["node"], "left").select("k", "lh", "sim", F.coalesce("comp", "lh").alias("part"))
     torn = named.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    torn = stored(torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q")), "line-torn")
+    torn = keep(torn.select("k", F.ceil(F.col("c") / CHUNK).cast("int").alias("q")), "line-torn")
     held = F.broadcast(torn) if path_bytes(parts.sparkSession, torn._stored_at) <= broadcast_bytes else torn
     dealt = named.join(held, "k").withColumn("chunk", F.pmod(F.xxhash64("lh"), F.col("q")).cast("int"))
     dealt = dealt.join(texts, "lh").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     dealt = dealt.select("k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "lh", "sim", "part", "line")
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be put together
-    return dealt.repartition(n, "k", "i", "j").groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long"), torn
+    return dealt.repartition(n, "k", "i", "j").groupBy("k", "i", "j").applyInArrow(_across(similarity), "a long, b long")
 
 
 def _rebuild(names: list[str], at: int, keep_emptied: bool) -> callable:
@@ -363,42 +363,40 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    lines = stored(rows.mapInArrow(_lines, "doc_id long, th long, pos int, lh long, sim long, keys array<long>"), "lines")
-    where = F.struct("doc_id", "th", "pos")
-    nodes = stored(lines.groupBy("lh").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min(F.struct("sim", "keys")).alias("x")).select("lh", "first", "n", "x.sim", "x.keys"), "line-nodes")
-
-    keyed = nodes.select(F.explode("keys").alias("k"), "lh", "sim")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * 10 // 2_000_000))
-    found = stored(keyed.repartition(parts, "k").mapInArrow(_candidates, "a long, b long, k long"), "line-candidates")
-    pairs = found.where("k is null").select("a", "b").distinct()
-    members = found.where("k is not null").select("k", F.col("a").alias("lh"), F.col("b").alias("sim"))
-
-    # the text of the lines that take part in a candidate pair, from one occurrence of each
-    wanted = found.select(F.col("a").alias("lh")).union(found.where("k is null").select("b")).distinct()
-    taken = stored(nodes.select("lh", "first").join(wanted, "lh").select("lh", "first.doc_id", "first.th", "first.pos"), "line-wanted")
-    asked = taken.groupBy(F.col("doc_id").alias("d"), "th").agg(F.collect_list(F.struct("pos", "lh")).alias("asked"))
-    asked = F.broadcast(asked) if path_bytes(spark, taken._stored_at) <= broadcast_bytes else asked
-    texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == asked["th"])).select("text", "asked")
-    texts = stored(texts.mapInArrow(_fetch, "lh long, line string").dropDuplicates(["lh"]), "line-texts")
-    left, right = texts.toDF("a", "la"), texts.toDF("b", "lb")
-
-    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(_verified(similarity), "a long, b long"), "line-links")
-    first_groups = components(links)
-    missing, torn = across(members, first_groups, texts, similarity, broadcast_bytes)
-    more = stored(missing, "line-links")
-    groups = joined(first_groups, more).toDF("lh", "comp")
-    there = nodes.select("lh", "first").join(groups, "lh").select("lh", "comp", "first")
-    firsts = there.groupBy("comp").agg(F.min("first").alias("keeper"))
-    fuzzy_keep = there.join(firsts, "comp").select("lh", "keeper")
-    repeated = nodes.where("n > 1").select("lh", F.col("first").alias("own"))
-    keep = repeated.join(fuzzy_keep, "lh", "full_outer").select("lh", F.coalesce("keeper", "own").alias("keeper"))
-    keep = stored(keep, "line-keepers")
-    held = F.broadcast(keep) if path_bytes(spark, keep._stored_at) <= broadcast_bytes else keep
-    gone = lines.select("doc_id", "th", "pos", "lh").join(held, "lh").where(~where.eqNullSafe(F.col("keeper")))
-    gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("pos"), F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.pos").alias("line"))).alias("gone")), "dropped-lines")
-    for done in (lines, nodes, found, taken, texts, links, first_groups, torn, more, keep):
-        discard(done)
-    return gone
+    with Scratch() as keep:
+        lines = keep(rows.mapInArrow(_lines, "doc_id long, th long, pos int, lh long, sim long, keys array<long>"), "lines")
+        where = F.struct("doc_id", "th", "pos")
+        nodes = keep(lines.groupBy("lh").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min(F.struct("sim", "keys")).alias("x")).select("lh", "first", "n", "x.sim", "x.keys"), "line-nodes")
+
+        keyed = nodes.select(F.explode("keys").alias("k"), "lh", "sim")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * 10 // 2_000_000))
+        found = keep(keyed.repartition(parts, "k").mapInArrow(_candidates, "a long, b long, k long"), "line-candidates")
+        pairs = found.where("k is null").select("a", "b").distinct()
+        members = found.where("k is not null").select("k", F.col("a").alias("lh"), F.col("b").alias("sim"))
+
+        # the text of the lines that take part in a candidate pair, from one occurrence of each
+        wanted = found.select(F.col("a").alias("lh")).union(found.where("k is null").select("b")).distinct()
+        taken = keep(nodes.select("lh", "first").join(wanted, "lh").select("lh", "first.doc_id", "first.th", "first.pos"), "line-wanted")
+        asked = taken.groupBy(F.col("doc_id").alias("d"), "th").agg(F.collect_list(F.struct("pos", "lh")).alias("asked"))
+        asked = F.broadcast(asked) if path_bytes(spark, taken._stored_at) <= broadcast_bytes else asked
+        texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == asked["th"])).select("text", "asked")
+        texts = keep(texts.mapInArrow(_fetch, "lh long, line string").dropDuplicates(["lh"]), "line-texts")
+        left, right = texts.toDF("a", "la"), texts.toDF("b", "lb")
+
+        links = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(_verified(similarity), "a long, b long"), "line-links")
+        first_groups = components(links)
+        keep.held.append(first_groups)
+        missing = across(members, first_groups, texts, similarity, broadcast_bytes, keep)
+        more = keep(missing, "line-links")
+        groups = joined(first_groups, more, keep).toDF("lh", "comp")
+        there = nodes.select("lh", "first").join(groups, "lh").select("lh", "comp", "first")
+        firsts = there.groupBy("comp").agg(F.min("first").alias("keeper"))
+        fuzzy_keep = there.join(firsts, "comp").select("lh", "keeper")
+        repeated = nodes.where("n > 1").select("lh", F.col("first").alias("own"))
+        kept = keep(repeated.join(fuzzy_keep, "lh", "full_outer").select("lh", F.coalesce("keeper", "own").alias("keeper")), "line-keepers")
+        held = F.broadcast(kept) if path_bytes(spark, kept._stored_at) <= broadcast_bytes else kept
+        gone = lines.select("doc_id", "th", "pos", "lh").join(held, "lh").where(~where.eqNullSafe(F.col("keeper")))
+        return stored(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.col("pos"), F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.pos").alias("line"))).alias("gone")), "dropped-lines")
 
 
 def edits(a: str, b: str, most: int) -> int:

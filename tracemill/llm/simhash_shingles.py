@@ -225,32 +225,30 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     each = stored(rows.mapInArrow(_hashed(width), "doc_id long, th long, sh long, n int, keys array<long>"), "shingles")
-    keyed = stored(each.select(F.explode("keys").alias("k"), "sh", "n").distinct(), "shingle-keys")
-    shared = keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    members = stored(keyed.join(shared, "k"), "shingle-members")
-
-    # the sets of the classes with a common key, from one document of each
-    firsts = each.join(members.select("sh").distinct(), "sh").groupBy("sh").agg(F.min(F.struct("doc_id", "th")).alias("f"))
-    firsts = stored(firsts.select("sh", F.col("f.doc_id").alias("d"), F.col("f.th").alias("t")), "shingle-firsts")
-    asked = F.broadcast(firsts) if path_bytes(docs.sparkSession, firsts._stored_at) <= broadcast_bytes else firsts
-    texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == F.col("t"))).select("sh", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "sh long, grams array<long>, keys array<long>").dropDuplicates(["sh"]), "shingle-sets")
-    left, right = sets.toDF("a", "ga", "ka"), sets.toDF("b", "gb", "kb")
-    fits = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - F.lit(1e-9)
-
-    pivots = members.groupBy("k").agg(F.min(F.struct("sh", "n")).alias("p")).select("k", F.col("p.sh").alias("sh2"), F.col("p.n").alias("n2"))
-    pairs = members.join(pivots, "k").where("sh <> sh2").where(fits).select(F.least("sh", "sh2").alias("a"), F.greatest("sh", "sh2").alias("b")).distinct()
-    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "ka", "kb").mapInArrow(_verified(similarity), "a long, b long"), "shingle-links")
-    first = components(links)
-    comps = first.toDF("sh", "comp")
-    parts = members.join(comps, "sh", "left").select("k", "sh", "n", F.coalesce("comp", "sh").alias("part"))
     with Scratch() as keep:
+        keyed = keep(each.select(F.explode("keys").alias("k"), "sh", "n").distinct(), "shingle-keys")
+        shared = keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+        members = keep(keyed.join(shared, "k"), "shingle-members")
+
+        # the sets of the classes with a common key, from one document of each
+        firsts = each.join(members.select("sh").distinct(), "sh").groupBy("sh").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+        firsts = keep(firsts.select("sh", F.col("f.doc_id").alias("d"), F.col("f.th").alias("t")), "shingle-firsts")
+        asked = F.broadcast(firsts) if path_bytes(docs.sparkSession, firsts._stored_at) <= broadcast_bytes else firsts
+        texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == F.col("t"))).select("sh", "text")
+        sets = keep(texts.mapInArrow(_sets(width), "sh long, grams array<long>, keys array<long>").dropDuplicates(["sh"]), "shingle-sets")
+        left, right = sets.toDF("a", "ga", "ka"), sets.toDF("b", "gb", "kb")
+        fits = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - F.lit(1e-9)
+
+        pivots = members.groupBy("k").agg(F.min(F.struct("sh", "n")).alias("p")).select("k", F.col("p.sh").alias("sh2"), F.col("p.n").alias("n2"))
+        pairs = members.join(pivots, "k").where("sh <> sh2").where(fits).select(F.least("sh", "sh2").alias("a"), F.greatest("sh", "sh2").alias("b")).distinct()
+        links = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "ka", "kb").mapInArrow(_verified(similarity), "a long, b long"), "shingle-links")
+        first = components(links)
+        keep.held.append(first)
+        comps = first.toDF("sh", "comp")
+        parts = members.join(comps, "sh", "left").select("k", "sh", "n", F.coalesce("comp", "sh").alias("part"))
         meet = dealt(parts, sets.select("sh", "keys"), similarity, keep).join(sets, "sh")
-        more = stored(meet.groupBy("k", "k2", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
-    out = stored(joined(first, more).toDF("sh", "comp"), "shingle-groups")
-    for done in (keyed, members, firsts, sets, links, first, more):
-        discard(done)
-    return each, out
+        more = keep(meet.groupBy("k", "k2", "i", "j").applyInArrow(_crossing(similarity), "a long, b long"), "shingle-links")
+        return each, stored(joined(first, more, keep).toDF("sh", "comp"), "shingle-groups")
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:
