@@ -56,7 +56,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.batches import sliced, small_batches, unused
+from tracemill.llm.batches import relax, sliced, small_batches, unused
 from tracemill.llm.components import components, joined
 from tracemill.llm.text_hash import mix, simhashes, span_hash, words_of
 from tracemill.session import Scratch, path_bytes, stored
@@ -267,6 +267,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = size > SMALL
     if many.any():
         yield pa.RecordBatch.from_arrays([pa.array(lh[many]), pa.array(sim[many].view(np.int64)), pa.array(k[many])], names=["a", "b", "k"])
+    relax()
 
 
 def bigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,6 +309,8 @@ def _across(similarity: float) -> callable:
                     root[max(p, q)] = min(p, q)
                     out.append((min(lh[x], lh[y]), max(lh[x], lh[y])))
         a, b = zip(*out, strict=True) if out else ((), ())
+        if len(lh) > 256:
+            relax()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
