@@ -2,13 +2,18 @@
 
 Three base kinds are regular expressions. A fourth, `random`, is added by a
 battery of randomness tests over every run of 20 or more symbols that mixes
-letters and digits: the encoding is inferred (hex, base32 or base64), and the
-run is held against a uniform draw from that alphabet by a chi-squared test,
-a Wald-Wolfowitz runs test over the alphabet's halves, and a lag-1 serial
-correlation. The three p-values are combined by Bonferroni (they depend on one
-another). Structured runs (dates, paths, repeated words) are the rejections;
-false rejections are controlled by Benjamini-Hochberg at `fdr` within length
-classes, since a long run has more power than a short one. What is not
+letters and digits, and over runs of 20 or more letters or digits alone: the
+encoding is inferred (hex, of a UUID without its dashes, base32, base64, digits,
+letters of one case or of both), and the run is held against a uniform draw from
+that alphabet by a chi-squared test, a Wald-Wolfowitz runs test over the
+alphabet's halves, and a lag-1 serial correlation. Long words are what runs of
+letters mostly are, so these are also held against a draw by their share of
+vowels, by the changes between vowels and others, and by their share of
+capitals. The p-values are combined by Bonferroni (they depend on one another).
+Structured runs (dates, paths, words) are the rejections; false rejections are
+controlled by Benjamini-Hochberg at `fdr` within length classes, since a long
+run has more power than a short one, and at `fdr_letters` for runs of letters,
+of which nearly all are words, in classes of their own. What is not
 rejected is reported as a secret. The null hypothesis being "drawn uniformly
 from the alphabet", the control bounds the share of random strings among what
 is set aside as structured (secrets that are missed), not the share of false
@@ -33,6 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import let
 from tracemill.session import stored
 
 # The base kinds in their listed order.
@@ -42,8 +48,15 @@ HEX = r"[0-9a-f]{24,}"  # the runs of 24 characters or more among [0-9a-f]+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
-ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+SYMBOL = "[A-Za-z0-9+/_-]"
+RUN = rf"(?<!{SYMBOL})(?:(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){SYMBOL}{{20,}}+|(?:[A-Za-z]{{20,}}+|[0-9]{{20,}}+)(?!{SYMBOL}))"
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+ALPHABETS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "digits": "0123456789", "letters": "abcdefghijklmnopqrstuvwxyz", "Letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+}
+VOWELS = 5 / 26  # share of vowels in a draw of letters
+LETTERS = 100  # added to the length class of a run of letters
 CLASS_STARTS = (20, 32, 48, 64, 128, 256)  # length classes for the false-discovery control
 GRID = 0.1  # step of ln(p)
 DEEPEST = 400  # cells; smaller p-values share the last one
@@ -75,8 +88,8 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * x + 0.07056 * x * x * x))
 
 
-def _battery(run: Column, alphabet: str) -> Column:
-    """Combined p-value of `run` under a uniform draw from alphabet."""
+def _battery(run: Column, alphabet: str, *more: Column) -> Column:
+    """Combined p-value of `run` under a uniform draw from alphabet; more: p-values of further tests."""
     k, n = len(alphabet), F.char_length(run).cast("double")
     squares = sum((F.pow(n - F.char_length(F.replace(run, F.lit(c), F.lit(""))), 2) for c in alphabet), F.lit(0.0))
     chi = k / n * squares - n
@@ -97,22 +110,43 @@ def _battery(run: Column, alphabet: str) -> Column:
     spread = F.aggregate(at, F.lit(0.0), lambda a, x: a + (x - centre) * (x - centre))
     r = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / spread
     p_serial = F.when(spread <= 0, F.lit(1e-6)).otherwise(2 * _tail(F.abs(r * F.sqrt(n) + 1 / F.sqrt(n))))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    return F.least(F.lit(1.0), (3 + len(more)) * F.least(p_chi, p_runs, p_serial, *more))
+
+
+def _speech(run: Column) -> list[Column]:
+    """P-values of a run of small letters: vowels, and changes between vowels and others, are no more than in a draw."""
+    n = F.char_length(run).cast("double")
+    kinds = F.translate(run, "aeioubcdfghjklmnpqrstvwxyz", "1" * 5 + "0" * 21)
+    vowels = n - F.char_length(F.replace(kinds, F.lit("1"), F.lit("")))
+    turns = (n - F.char_length(F.replace(kinds, F.lit("01"), F.lit("")))) / 2 + (n - F.char_length(F.replace(kinds, F.lit("10"), F.lit("")))) / 2
+    once = VOWELS * (1 - VOWELS)
+    change = 2 * once
+    spread = F.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * (once - change * change))
+    return [_tail((vowels - n * VOWELS) / F.sqrt(n * once)), _tail((turns - (n - 1) * change) / spread)]
+
+
+def _of_letters(run: Column) -> Column:
+    """The combined p-value of a run of letters: in one case but for its first letter, or in both."""
+    capitals = F.char_length(F.regexp_replace(run, "[a-z]", "")).cast("double")
+    n = F.char_length(run).cast("double")
+    case = 2 * _tail(F.abs(capitals - n / 2) / F.sqrt(n / 4))
+    one = lambda small: _battery(small, ALPHABETS["letters"], *_speech(small))
+    both = lambda small: _battery(run, ALPHABETS["Letters"], case, *_speech(small))
+    return F.when(run.rlike("^([A-Za-z][a-z]+|[A-Z]+)$"), let(F.lower(run), one)).otherwise(let(F.lower(run), both))
 
 
 def _p_value(run: Column) -> Column:
-    url_safe = F.translate(run, "-_", "+/")
-    case = F.when(run.rlike("^[0-9a-f]+$"), _battery(run, ALPHABETS["hex"]))
-    case = case.when(run.rlike("^[0-9A-F]+$"), _battery(run, ALPHABETS["HEX"]))
-    case = case.when(run.rlike("^[A-Z2-7]+$"), _battery(run, ALPHABETS["base32"]))
-    return case.otherwise(_battery(url_safe, ALPHABETS["base64"]))
+    of = lambda name: lambda x: _battery(x, ALPHABETS[name])
+    case = F.when(run.rlike("^[0-9]+$"), of("digits")(run)).when(run.rlike("^[A-Za-z]+$"), _of_letters(run)).when(run.rlike(UUID), let(F.lower(F.replace(run, F.lit("-"), F.lit(""))), of("hex")))
+    case = case.when(run.rlike("^[0-9a-f]+$"), of("hex")(run)).when(run.rlike("^[0-9A-F]+$"), of("HEX")(run)).when(run.rlike("^[A-Z2-7]+$"), of("base32")(run))
+    return case.otherwise(let(F.translate(run, "-_", "+/"), of("base64")))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
+def scan(docs: DataFrame, fdr: float = 0.05, fdr_letters: float = 0.2) -> DataFrame:
     """(doc_id, base, added): arrays of spans, sorted by start and then kind; added spans inside a base span are left out."""
     t = F.col("t")
     found = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t")).select(
@@ -128,29 +162,30 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
         "doc_id",
         F.array_sort(F.concat(_spans(t, F.col("m_assign"), ASSIGN, 0, (values, ASSIGN_LEAST)), _spans(t, F.col("m_access"), ACCESS, 1), _spans(t, F.col("m_hex"), HEX, 2))).alias("base"),
         _spans(t, F.col("m_run"), RUN, 3).alias("runs"),
-        F.transform("m_run", _p_value).alias("p"),
+        F.transform("m_run", lambda r: F.struct(_p_value(r).alias("p"), F.when(r.rlike("^[A-Za-z]+$"), LETTERS).otherwise(0).alias("more"))).alias("p"),
     )
     size = lambda s: s["end"] - s["start"]
     level = lambda n: sum((F.when(n >= c, 1).otherwise(0) for c in CLASS_STARTS), F.lit(0))
     cell = lambda p: F.least(F.lit(DEEPEST), F.floor(-F.log(p) / GRID)).cast("int")
     open_runs = F.filter(F.arrays_zip(F.col("runs").alias("s"), F.col("p").alias("p")), lambda x: ~F.exists("base", lambda b: (b["start"] <= x["s"]["start"]) & (b["end"] >= x["s"]["end"])))
-    tested = stored(spans.select("doc_id", "base", F.transform(open_runs, lambda x: F.struct(x["s"].alias("s"), level(size(x["s"])).alias("level"), cell(x["p"]).alias("cell"))).alias("runs")), "secret-runs")
-    cuts = thresholds(tested.select(F.explode("runs").alias("r")).select("r.level", "r.cell"), fdr)
+    tested = stored(spans.select("doc_id", "base", F.transform(open_runs, lambda x: F.struct(x["s"].alias("s"), (level(size(x["s"])) + x["p"]["more"]).alias("level"), cell(x["p"]["p"]).alias("cell"))).alias("runs")), "secret-runs")
+    cuts = thresholds(tested.select(F.explode("runs").alias("r")).select("r.level", "r.cell"), fdr, fdr_letters)
     kept = lambda r: r["cell"] < sum((F.when(r["level"] == k, F.lit(c)).otherwise(0) for k, c in cuts.items()), F.lit(0))
     return tested.select("doc_id", "base", F.transform(F.filter("runs", kept), lambda r: r["s"]).alias("added"))
 
 
-def thresholds(cells: DataFrame, fdr: float) -> dict[int, int]:
+def thresholds(cells: DataFrame, fdr: float, fdr_letters: float | None = None) -> dict[int, int]:
     """(level, cell) of each tested run -> by level the first rejected cell. A cell's p-values count as its largest, exp(-GRID * cell), so the control errs on the safe side."""
     counts = cells.groupBy("level", "cell").count()
     rows = counts.collect()  # at most levels x cells rows
     cuts = {}
     for level in {r["level"] for r in rows}:
         own = {r["cell"]: r["count"] for r in rows if r["level"] == level}
+        most = fdr if level < LETTERS or fdr_letters is None else fdr_letters
         total, seen, cut = sum(own.values()), 0, DEEPEST + 1
         for c in sorted(own, reverse=True):
             seen += own[c]
-            if 2.718281828459045 ** (-GRID * c) <= fdr * seen / total:
+            if 2.718281828459045 ** (-GRID * c) <= most * seen / total:
                 cut = c
         cuts[level] = cut
     return cuts
