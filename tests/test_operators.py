@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tracemill.functions import text as X
 from tracemill.operators import chat, code, evals, ngrams, report, sampling, selection
 from tracemill.operators.verify import verified
 from tracemill.plans.curate import curate
-from tracemill.sources import jsonl, prompts
+from tracemill.sources import jsonl, prompts, settings
 from tracemill.sources.settings import Settings, expanded
 
 FENCE = "```"
@@ -127,11 +129,33 @@ def test_ngrams(spark):
     docs = rows(spark, [(1, "see: QUICK brown, fox jumps over a lazy cat"), (2, "quick brown fox runs"), (3, None), (4, "")], "doc_id long, text string")
     assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench, 5).collect()] == [1]
     assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench.limit(0), 5).collect()] == []
-    ngrams.BROADCAST_GRAMS, old = -1, ngrams.BROADCAST_GRAMS
-    try:
-        assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench, 5).collect()] == [1]
-    finally:
-        ngrams.BROADCAST_GRAMS = old
+    assert [r["doc_id"] for r in ngrams.contaminated_ids(docs, bench, 5, table_bytes=0).collect()] == [1]  # joined by hash
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13])
+def test_gram_hashes_in_order(spark, n):
+    """As many hashes as n-grams, equal where these are; a table that they mark holds them, and few others."""
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(k)) for k in (0, 1, 2, 12, 13, 14, 40, 300)]
+    got = rows(spark, [(t,) for t in texts], "text string").select("text", ngrams.gram_hashes(F.col("text"), n).alias("h"), ngrams.grams(F.col("text"), n).alias("g")).collect()
+    names = {}
+    for r in got:
+        assert len(r["h"]) == len(r["g"]) == max(0, len(r["text"].split()) - n + 1)
+        for h, g in zip(r["h"], r["g"], strict=True):
+            assert names.setdefault(g, h) == h
+    assert len(set(names.values())) == len(names)
+    known = ngrams.marked(list(names.values()))
+    other = [rng.getrandbits(64) - (1 << 63) for _ in range(2000)]
+    probe = rows(spark, [([h],) for h in [*names.values(), *other]] + [([],)], "h array<long>").select(ngrams.may_hold(F.col("h"), known).alias("m")).collect()
+    assert all(r["m"] for r in probe[: len(names)]) and sum(r["m"] for r in probe[len(names) :]) <= 5
+
+
+def test_contamination_leaves_the_scan_by_hits_alone(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = ngrams.contaminated_ids(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "n_chars" not in plan.split("ReadSchema")[-1]
+    generate, scan = plan.index("Generate explode"), plan.rindex("FileScan")
+    assert "Filter" in plan[generate:scan] and "exists" in plan[generate:scan]
 
 
 def test_normalisers(spark):
@@ -216,6 +240,21 @@ def test_settings():
     assert cfg.teacher_for("code") == "t1" and cfg.teacher_for("qa") == "t2" and cfg.style_for("code", "t1") == "s" and cfg.budget_for("mcq") == 5 and cfg.budget_for("x") == 2048
 
 
+def test_settings_in_columns(spark):
+    cfg = Settings(teachers={"t1": {"domains": ["code"], "style": "s", "path": "p1"}, "t2": {"domains": ["code", "qa"], "style_by_domain": {"qa": "", "x": "brief"}}}, styles={"code": "short"}, budgets={"mcq": 5, "zero": 0, "default": 7})
+    cases = [("code", "t1"), ("qa", "t2"), ("x", "t2"), ("y", "t1"), ("code", "t2")]
+    got = rows(spark, cases, "d string, t string").select("d", "t", settings.style_of(cfg, F.col("d"), F.col("t")).alias("s"), settings.teacher_of(cfg, F.col("d")).alias("n")).collect()
+    assert [(r["s"]) for r in got] == [cfg.style_for(d, t) for d, t in cases] and [r["n"] for r in got] == ["t1", "t2", None, None, "t1"]
+    kinds = ["mcq", "zero", "other"]
+    assert [r[0] for r in rows(spark, [(k,) for k in kinds], "k string").select(settings.budget_of(cfg, F.col("k"))).collect()] == [cfg.budget_for(k) for k in kinds]
+    refs = ["student", "student:q", "teacher:t1", "/x:y"]
+    made = rows(spark, [(r,) for r in refs], "r string").select(settings.model_of(cfg, F.col("r"), F.lit("base"), F.create_map(F.lit("q"), F.lit("quant"))))
+    assert [r[0] for r in made.collect()] == [cfg.model_for(r, "base", {"q": "quant"}) for r in refs]
+    texts, env = ["${A}", "x ${A:-no} ${B:-yes}y${B:-}", "${B}", "plain $A {A}", "${E:-empty}${A}${A}"], {"A": "v", "E": ""}
+    names = F.create_map(*[F.lit(x) for kv in env.items() for x in kv])
+    assert [r[0] for r in rows(spark, [(t,) for t in texts], "t string").select(settings.expanded_in(F.col("t"), names)).collect()] == [expanded(t, env) for t in texts]
+
+
 def test_upsert(spark):
     old, new = rows(spark, [("a", 1), ("b", 1)], "k string, v int"), rows(spark, [("b", 2), ("c", 2)], "k string, v int")
     assert {(r["k"], r["v"]) for r in jsonl.upsert(old, new, "k").collect()} == {("a", 1), ("b", 2), ("c", 2)}

@@ -25,7 +25,7 @@ ABSTAINS = (
 JUDGEMENT = r"(?i)(passage|text|document|context|article)[^.]{0,80}?(does not|doesn't|never|no mention|not mention|not state|not contain|not provide|is silent)"
 NOISE = r"(?i)answer:|final line|sentences?\)|looks solid|end of thought|output matches|format|->|say so plainly|guessing|✅|\[done\]"
 ANSWER_LINE = r"(?imd)answer\s*:\s*(.+?)\s*$"
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OPEN, CLOSE = "<think>", "</think>"
 
@@ -44,15 +44,19 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _bare(c: Column) -> Column:
+    """Lower case, without ASCII punctuation, articles as blanks."""
+    return F.regexp_replace(F.translate(F.lower(c), PUNCTUATION, ""), r"(?U)\b(a|an|the)\b", " ")
+
+
 def normalize(c: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
-    bare = F.regexp_replace(F.lower(c), PUNCTUATION, "")
-    return strip(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(_bare(c), r"(?U)\s+", " "))
 
 
 def tokens(c: Column) -> Column:
     """The words of the normalised text; none for an empty one."""
-    return F.filter(F.split(normalize(c), " "), lambda x: x != "")
+    return F.filter(F.split(_bare(c), r"(?U)\s+"), lambda x: x != "")
 
 
 def final_answer(c: Column) -> Column:

@@ -20,9 +20,9 @@ from tracemill.plans import curate as curation
 from tracemill.plans.queries import DIRTY, LOG, SEED, SHARES, log, query
 from tracemill.plans.text_queries import FENCE, NL, WS, chosen, quoted
 from tracemill.session import Scratch, fresh_path, stored, table
-from tracemill.sources import jsonl, prompts, ragged, teacher_topk
+from tracemill.sources import jsonl, prompts, ragged, settings, teacher_topk
 from tracemill.sources.commits import Log
-from tracemill.sources.settings import Settings, expanded
+from tracemill.sources.settings import Settings
 
 KINDS = ("mcq", "tf", "qa", "unanswerable", "code_free", "hedge")
 RIGHT = ["'Answer: C'", "'Answer: True.'", "'Answer: the ' || source", "'Answer: not stated in the passage'", f"{FENCE} || 'python' || {NL} || 'x = ' || doc_id || {NL} || {FENCE}", "'Answer: I do not know'"]
@@ -437,23 +437,20 @@ def stats_file(spark, sf):
 
 @query("SELECT n_nationkey, n_name || '/' || (n_nationkey * 2) AS value, 'other-' || n_name AS fallback, CASE n_regionkey WHEN 0 THEN 'base' WHEN 1 THEN 'base-' || n_name WHEN 2 THEN 'teach-' || n_name ELSE n_name END AS path FROM nation")
 def settings_lookup(spark, sf):
-    """Placeholders and model references of a configuration, made of the 25 rows of nation."""
-    out = []
-    for r in table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
-        name = r["n_name"]
-        made = expanded({"a": ["${NAME}/${TWICE}"], "b": "${UNSET:-other-" + name + "}"}, {"NAME": name, "TWICE": str(r["n_nationkey"] * 2)})
-        ref = {0: "student", 1: f"student:{name}", 2: f"teacher:{name}"}.get(r["n_regionkey"], name)
-        path = Settings(teachers={name: {"path": f"teach-{name}", "domains": []}}).model_for(ref, "base", {name: f"base-{name}"})
-        out.append((r["n_nationkey"], made["a"][0], made["b"], path))
-    return spark.createDataFrame(out, "n_nationkey int, value string, fallback string, path string")
+    """Placeholders and model references of a configuration, for every row of a table."""
+    name = F.col("n_name")
+    env = F.create_map(F.lit("NAME"), name, F.lit("TWICE"), (F.col("n_nationkey") * 2).cast("string"))
+    ref = F.when(F.col("n_regionkey") == 0, "student").when(F.col("n_regionkey") == 1, F.concat(F.lit("student:"), name)).when(F.col("n_regionkey") == 2, F.concat(F.lit("teacher:"), name)).otherwise(name)
+    path = settings.model_of(Settings(), ref, F.lit("base"), F.create_map(name, F.concat(F.lit("base-"), name)), F.create_map(name, F.concat(F.lit("teach-"), name)))
+    return table(spark, sf, "nation").select("n_nationkey", settings.expanded_in(F.lit("${NAME}/${TWICE}"), env).alias("value"), settings.expanded_in(F.concat(F.lit("${UNSET:-other-"), name, F.lit("}")), env).alias("fallback"), path.alias("path"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'short' WHEN n_regionkey IN (1, 2) THEN 'calm' END AS style, CASE n_regionkey WHEN 0 THEN 512 WHEN 1 THEN 900 ELSE 700 END AS budget FROM nation")
 def style_and_budget(spark, sf):
     """The style of a domain, else its teacher's; the budget of a kind, else the default."""
     cfg = Settings(teachers={"one": {"domains": ["0", "1", "2"], "style": "calm"}, "two": {"domains": ["3", "4"]}}, styles={"0": "short"}, budgets={"0": 512, "1": 900, "default": 700})
-    rows = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("d")).collect()
-    return spark.createDataFrame([(r["n_nationkey"], cfg.style_for(r["d"], cfg.teacher_for(r["d"])), cfg.budget_for(r["d"])) for r in rows], "n_nationkey int, style string, budget int")
+    domain = F.col("n_regionkey").cast("string")
+    return table(spark, sf, "nation").select("n_nationkey", settings.style_of(cfg, domain, settings.teacher_of(cfg, domain)).alias("style"), settings.budget_of(cfg, domain).alias("budget"))
 
 
 # ---- flat parts with offsets, and the loss they are for -----------------

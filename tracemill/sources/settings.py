@@ -8,6 +8,9 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 PLACEHOLDER = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
 
 
@@ -23,6 +26,16 @@ def expanded(value: object, env: dict[str, str] | None = None) -> object:
     return value
 
 
+def expanded_in(text: Column, env: Column) -> Column:
+    """As expanded() for the strings of a column, with a map of the names."""
+    pattern = PLACEHOLDER.pattern
+    found, names = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    given = lambda m: F.when(F.contains(m, F.lit(":-")), F.regexp_replace(m, r"(?s)^\$\{\w+:-(.*)\}$", "$1")).otherwise(m)
+    values = F.zip_with(found, names, lambda m, name: F.coalesce(F.nullif(F.try_element_at(env, name), F.lit("")), given(m)))
+    between = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(between, F.concat(values, F.array(F.lit(""))), lambda b, v: F.concat(b, v)), "")
+
+
 def load(path: str) -> dict:
     """A YAML file (or JSON, which needs no parser package)."""
     text = Path(path).read_text()
@@ -85,6 +98,38 @@ class Settings:
         return ref
 
 
+def _map(table: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")
+
+
+def teacher_of(cfg: Settings, domain: Column) -> Column:
+    """teacher_for() of a column of domains; null where it would fail."""
+    return F.coalesce(*[F.when(domain.isin(t["domains"]), F.lit(name)) for name, t in cfg.teachers.items()], F.lit(None).cast("string"))
+
+
+def style_of(cfg: Settings, domain: Column, teacher: Column) -> Column:
+    """style_for() of columns of domains and teachers."""
+    out = F.lit(None).cast("string")
+    for name, t in cfg.teachers.items():
+        table = t.get("style_by_domain") or cfg.styles
+        known = domain.isin(list(table)) if table else F.lit(False)
+        out = F.when(teacher == name, F.when(known, F.try_element_at(_map(table), domain)).otherwise(F.lit(t.get("style")).cast("string"))).otherwise(out)
+    return F.nullif(out, F.lit(""))
+
+
+def budget_of(cfg: Settings, kind: Column) -> Column:
+    """budget_for() of a column of kinds."""
+    table = {k: v for k, v in cfg.budgets.items() if v}
+    return F.coalesce(F.try_element_at(_map(table), kind).cast("int"), F.lit(cfg.budgets.get("default") or 2048))
+
+
+def model_of(cfg: Settings, ref: Column, student: Column, variants: Column, paths: Column | None = None) -> Column:
+    """model_for() of a column of references; variants and paths: maps of the student's variants and the teachers' models (those of cfg, if not given)."""
+    kind, name = F.substring_index(ref, ":", 1), F.when(F.contains(ref, F.lit(":")), F.substring(ref, F.instr(ref, ":") + 1, F.char_length(ref))).otherwise("")
+    paths = _map({k: t["path"] for k, t in cfg.teachers.items() if "path" in t}) if paths is None else paths
+    return F.when(kind == "student", F.when(name == "", student).otherwise(F.try_element_at(variants, name))).when(kind == "teacher", F.try_element_at(paths, name)).otherwise(ref)
+
+
 PROBE = "The quick brown fox: 12345, naïve café, x = [1, 2]; 漢字 🙂"
 
 
