@@ -409,10 +409,16 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_one_shard_a_partition(spark):
+@pytest.mark.parametrize("literals", [4096, 9, 1])
+def test_one_shard_a_partition(spark, monkeypatch, literals):
+    """By literals or in two steps, every page is in the shard that its id falls into, and every shard in a partition of its own."""
+    monkeypatch.setattr(warc, "LITERALS", literals)
     for n in (1, 7, 64):
-        rows = spark.createDataFrame([(k,) for k in range(n)], "shard int").withColumn("dealt", warc.partition_key(spark, F.col("shard"), n))
-        assert rows.repartition(n, "dealt").select(F.spark_partition_id().alias("p")).distinct().count() == n
+        starts = [10 * k + 3 for k in range(1, n)]
+        ids = [None, *range(-5, 10 * n + 20)]
+        rows = warc.placed(spark.createDataFrame([(k,) for k in ids], "page_id long"), starts).repartition(n, "dealt").select("page_id", "shard", F.spark_partition_id().alias("p")).collect()
+        assert sorted((str(r["page_id"]), r["shard"]) for r in rows) == sorted((str(k), 0 if k is None else sum(s <= k for s in starts)) for k in ids)
+        assert len({r["p"] for r in rows}) == n == len({(r["p"], r["shard"]) for r in rows})
 
 
 def test_warc_notices_damage():

@@ -2,7 +2,9 @@
 
 Writing: payload digests are taken first (one narrow table). Shards are ranges
 of page_id, cut where a histogram of payload bytes says (refined where ids
-cluster), so they don't depend on sampling. The pages are shuffled once, by
+cluster), so they don't depend on sampling; they are as many as the payload
+asks for, up to MOST_SHARDS (beyond 800 GB a shard grows, to 1.5 GB at 100 TB;
+it streams). The pages are shuffled once, by
 shard; which page a record revisits travels in small rows that sort just
 before the page's own row. Each shard (some `shard_bytes` of payload) writes
 its records in page order as one gzip member each, and starts a new file once
@@ -37,7 +39,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.batches import small_batches
@@ -46,6 +48,7 @@ from tracemill.session import fresh_path, stored
 
 SLICE = 8 << 10  # compressed bytes that are handed on at a time
 MOST_HOT = 10_000
+LITERALS, MOST_SHARDS = 4096, 65_536  # shards in the plan itself; shards at all, since a shuffle has blocks for each with every task
 DATE = "2024-01-01T00:00:00Z"
 CELLS = 1024
 MANIFEST = "file string, records long, bytes long, sha1 string"
@@ -151,8 +154,8 @@ class Roller:
         return self.done
 
 
-def shard_starts(sizes: DataFrame, shard_bytes: int, most: int = 4096) -> list[int]:
-    """First page_ids of all shards but the first. sizes(page_id, bytes). Each pass brings at most CELLS rows per refined range to the driver."""
+def shard_starts(sizes: DataFrame, shard_bytes: int, most: int = MOST_SHARDS) -> list[int]:
+    """First page_ids of all shards but the first; shards are larger where `most` of them wouldn't do. sizes(page_id, bytes). Each pass brings at most CELLS rows per refined range to the driver."""
     whole = sizes.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.col("bytes") + 512).alias("n")).first()
     if whole["lo"] is None:
         return []
@@ -178,11 +181,32 @@ def shard_starts(sizes: DataFrame, shard_bytes: int, most: int = 4096) -> list[i
     return starts
 
 
-def partition_key(spark: SparkSession, place: Column, n: int) -> Column:
-    """For each place from 0 to n - 1 a number that hash partitioning deals to a partition of its own, so that no task gets two shards."""
+def partition_numbers(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning deals to a partition each."""
     found = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
     by = {r["p"]: r["id"] for r in found}
-    return F.element_at(F.array(*[F.lit(by.get(p, p)).cast("long") for p in range(n)]), place + 1)
+    return [by.get(p, p) for p in range(n)]
+
+
+def placed(rows: DataFrame, starts: list[int]) -> DataFrame:
+    """rows(page_id, ...) with `shard`, and `dealt`, by which repartition() gives every shard a partition of its own.
+
+    Up to LITERALS shards are looked up in the plan; beyond, in two steps: blocks
+    of shards in the plan, and the shards of each block in a broadcast table, of
+    16 bytes a shard, so at most a megabyte.
+    """
+    n, spark = len(starts) + 1, rows.sparkSession
+    numbers = partition_numbers(spark, n)
+    step = -(-n // LITERALS)
+    before = lambda points: F.coalesce(points_before(F.col("page_id"), points, equal=True), F.lit(0))
+    if step == 1:
+        return rows.withColumn("shard", before(starts)).withColumn("dealt", F.element_at(F.array(*[F.lit(x).cast("long") for x in numbers]), F.col("shard") + 1))
+    blocks = [(c, c * step, starts[c * step : (c + 1) * step - 1], numbers[c * step : (c + 1) * step]) for c in range(-(-n // step))]
+    table = F.broadcast(spark.createDataFrame(blocks, "__block int, __first int, __starts array<long>, __numbers array<long>"))
+    heads = [starts[first - 1] for _, first, _, _ in blocks[1:]]
+    inside = F.size(F.filter("__starts", lambda s: s <= F.col("page_id")))
+    found = rows.withColumn("__block", before(heads)).join(table, "__block").withColumn("__inside", inside)
+    return found.select(*rows.columns, (F.col("__first") + F.col("__inside")).alias("shard"), F.element_at("__numbers", F.col("__inside") + 1).alias("dealt"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = 12 << 20, roll_bytes: int = 2 << 20) -> DataFrame:
@@ -197,12 +221,9 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = 12 <
     notes = revisits.where((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
     starts = shard_starts(facts, shard_bytes)
-    shard = F.coalesce(points_before(F.col("page_id"), starts, equal=True), F.lit(0))
     rows = pages.select("page_id", F.sha1("payload").alias("sha1"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    both = rows.unionByName(notes.withColumn("kind", F.lit(0)), allowMissingColumns=True).withColumn("shard", shard)
-    n = len(starts) + 1
-    dealt = both.withColumn("dealt", partition_key(pages.sparkSession, F.col("shard"), n))
-    ordered = dealt.repartition(n, "dealt").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
+    dealt = placed(rows.unionByName(notes.withColumn("kind", F.lit(0)), allowMissingColumns=True), starts)
+    ordered = dealt.repartition(len(starts) + 1, "dealt").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, note = Roller(folder, roll_bytes), (None, None, None)
