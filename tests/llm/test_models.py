@@ -73,6 +73,13 @@ def test_votes_by_hand():
         assert abs(score - want) < 1e-3
 
 
+def test_neighbours_that_tie_go_by_their_order():
+    """Equal vectors with different labels at the last place: the first of them vote, however many are asked at once."""
+    model = quality.Model(np.stack([quality.counts("aa bb cc")] * 20 + [quality.counts("dd ee")]), np.array([1] * 4 + [0] * 16 + [1]), 2, 6, 4.0)
+    asked = np.stack([quality.counts("aa bb cc")] * 3 + [quality.counts("aa bb")])
+    assert np.allclose(model.score(asked), 4 / 6, atol=1e-3) and np.allclose(model.score(asked[:1]), 4 / 6, atol=1e-3)
+
+
 def test_a_column_of_the_score_s_name_is_replaced(spark):
     d = spark.createDataFrame([(1, "some text", "old"), (None, None, "old"), (2, "", None)], "doc_id long, text string, score string")
     model = quality.Model(np.stack([quality.counts("some text here"), quality.counts("1 2 3 %%%")]), np.array([1, 0]), 2, 2, 4.0)

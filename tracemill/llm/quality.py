@@ -18,7 +18,8 @@ by hash; its feature vectors, not its texts, come to the driver (per_class *
 
 Given cases: null or empty text has a zero vector and gets the share of label
 1 in the sample; a very long text is counted piece by piece; of neighbours that
-tie in similarity at the last place any may vote; without labelled rows every score is 0.5. A label table with
+tie in similarity at the last place those vote that the model has first (by the
+hash of their features); without labelled rows every score is 0.5. A label table with
 repeated or null rows is read by its distinct non-null pairs; a document with
 both labels trains as neither. Repeated rows and equal texts score alike; an
 empty table gives an empty one; further columns are carried along untouched,
@@ -124,6 +125,8 @@ class Model:
         v = self.unit(self.scaled(x) @ self.projection)
         cos = v @ self.known.T
         near = np.argpartition(-cos, self.neighbours - 1, axis=1)[:, : self.neighbours]
+        tied = np.flatnonzero((cos >= np.take_along_axis(cos, near, axis=1).min(axis=1, keepdims=True)).sum(axis=1) > self.neighbours)
+        near[tied] = np.argsort(-cos[tied], axis=1, kind="stable")[:, : self.neighbours]  # those that tie at the last place go by their order in the model
         w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.sharp
         total = w.sum(axis=1)
         vote = np.divide((w * self.y[near]).sum(axis=1), total, out=np.full(len(x), self.prior), where=total > 0)
