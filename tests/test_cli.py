@@ -33,7 +33,8 @@ def test_run(spark, tmp_path, monkeypatch, capsys):
     base = tmp_path / "base.json"
     base.write_text(json.dumps({"models": {"stock": {"mmlu": {"accuracy": 0.5, "correct": 500, "total": 1000, "seconds": 7.0}, "note": "text"}}}))
     out = tmp_path / "out"
-    config = {"out_dir": str(out), "sources": [{"path": src, "dataset": "x/mmlu", "domain": "d", "kind": "mcq", "split": "train", "n": 6}], "settings": {"teachers": {"t": {"domains": ["d"], "path": "m"}}, "mix": {"d": 1.0}}, "benchmark": bench, "benchmarks": {"mmlu": items}, "baseline": str(base), "targets": {"mmlu": [0.8, 0.9]}}
+    config = {"out_dir": f"file://{out}",  # by its URI, as on a cluster
+               "sources": [{"path": src, "dataset": "x/mmlu", "domain": "d", "kind": "mcq", "split": "train", "n": 6}], "settings": {"teachers": {"t": {"domains": ["d"], "path": "m"}}, "mix": {"d": 1.0}}, "benchmark": bench, "benchmarks": {"mmlu": items}, "baseline": str(base), "targets": {"mmlu": [0.8, 0.9]}}
     cfg = write(tmp_path / "run.json", [config])
     gen = ["--generator", "tests.test_cli:player"]
     go = lambda *args: cli.main(["--config", cfg, *args], spark)

@@ -33,25 +33,29 @@ from tracemill.sources.settings import load as load_config
 
 class Run:
     def __init__(self, spark: SparkSession, config: dict) -> None:
-        self.spark, self.config, self.out = spark, config, Path(config["out_dir"])
+        self.spark, self.config, self.out = spark, config, config["out_dir"].rstrip("/")
         self.cfg, self.keep = Settings(**config.get("settings", {})), Scratch()
 
     def at(self, name: str) -> str:
-        return str(self.out / name)
+        """A path below the output folder, which may be on any file system of the session."""
+        return f"{self.out}/{name}"
 
     def read(self, name: str, schema: str) -> DataFrame:
-        path = self.out / name
-        return jsonl.scan(self.spark, str(path), schema) if path.exists() else self.spark.createDataFrame([], schema)
+        there = files.exists(self.spark, self.at(name))
+        return jsonl.scan(self.spark, self.at(name), schema) if there else self.spark.createDataFrame([], schema)
 
     def ordered(self, name: str, schema: str) -> DataFrame:
         """As read(), with the order in which records were appended."""
-        path = self.out / name
-        if path.exists():
-            return jsonl.scan_ordered(self.spark, [str(path)], schema, by_time=True, keep=self.keep)
+        if files.exists(self.spark, self.at(name)):
+            return jsonl.scan_ordered(self.spark, [self.at(name)], schema, by_time=True, keep=self.keep)
         return self.spark.createDataFrame([], f"{schema}, file_order long, line_no long, number long")
 
+    def tags(self) -> list[str]:
+        """Evaluations that have a summary."""
+        return [t for t in files.names(self.spark, self.at("eval")) if files.exists(self.spark, self.at(f"eval/{t}/summary"))]
+
     def traces(self) -> DataFrame:
-        found = sorted(p.name for p in (self.out / "teacher").glob("*")) if (self.out / "teacher").exists() else []
+        found = files.names(self.spark, self.at("teacher"))
         return reduce(DataFrame.unionByName, [self.read(f"teacher/{n}", schemas.TRACE) for n in found]) if found else self.spark.createDataFrame([], schemas.TRACE)
 
     def benchmark(self, skip: bool) -> DataFrame | None:
@@ -137,7 +141,6 @@ class Run:
 
     def eval(self, a: argparse.Namespace) -> None:
         folder = f"eval/{a.tag or a.model}"
-        (self.out / folder).mkdir(parents=True, exist_ok=True)
         with Lease(self.spark, self.at(f"{folder}/.lease"), 86400.0) as lease:
             for name in a.benchmark or self.config["benchmarks"]:
                 items = self.spark.read.schema(schemas.PROMPT).json(self.config["benchmarks"][name])
@@ -164,14 +167,13 @@ class Run:
         return jsonl.upsert(self.spark.createDataFrame([], schemas.SUMMARY), fresh, "benchmark").schema
 
     def report(self, a: argparse.Namespace) -> None:
-        folders = sorted((self.out / "eval").glob("*/summary"))
-        runs = [self.read(str(p.relative_to(self.out)), schemas.SUMMARY) for p in folders]
+        runs = [self.read(f"eval/{tag}/summary", schemas.SUMMARY) for tag in self.tags()]
         cols = ["model", "benchmark", "accuracy", "total", "seconds"]
         table = reduce(DataFrame.unionByName, [r.select(cols) for r in runs]) if runs else self.spark.createDataFrame([], "model string, benchmark string, accuracy double, total int, seconds double")
         if "baseline" in self.config:
             table = evals.with_baseline(jsonl.results(self.spark, self.config["baseline"]).select(cols), table)
         text = report.plain(report.rows(table, list(evals.FULL), a.time), self.config.get("targets"))
-        Path(self.at("report.txt")).write_text(text + "\n")
+        files.write(self.spark, self.at("report.txt"), text + "\n")
         print(text)
 
     def logits(self, a: argparse.Namespace) -> None:
@@ -181,11 +183,11 @@ class Run:
         known = teacher_topk.domains_by_prompt(asked.select("sample", "messages", "prompt"), self.read("prompts", schemas.PROMPT))
         routed = selection.routes(known, {k: v["domains"] for k, v in self.cfg.teachers.items()}, "domain")
         for name in a.teacher or list(self.cfg.teachers):
-            path = self.out / "teacher_logits" / f"{a.split}-{name}"
+            path = self.at(f"teacher_logits/{a.split}-{name}")
             todo = routed.where(F.col("teacher") == name)
-            todo = teacher_topk.missing(todo, teacher_topk.read(self.spark, str(path))) if path.exists() else todo
+            todo = teacher_topk.missing(todo, teacher_topk.read(self.spark, path)) if files.exists(self.spark, path) else todo
             todo = todo.orderBy("sample").limit(a.limit) if a.limit else todo
-            teacher_topk.append(teacher_topk.reduced(teacher_topk.scored(todo, load(a.scorer)), self.cfg.top_k), str(path))
+            teacher_topk.append(teacher_topk.reduced(teacher_topk.scored(todo, load(a.scorer)), self.cfg.top_k), path)
 
     def check(self, a: argparse.Namespace) -> None:
         """Whether the models are there, and which teachers share the student's vocabulary."""
@@ -205,15 +207,14 @@ class Run:
             target = sum(wanted.get(d, 0) for d in t["domains"] if self.cfg.teacher_for(d) == name)
             r = evals.progress(self.read(f"teacher/{name}", schemas.TRACE).withColumn("file", F.lit(name)), "file", "gen_seconds").first()
             print(f"{name:<12} " + (f"{r['done']}/{target} {r['rate']:.1f}s/trace eta {(target - r['done']) * r['rate'] / 3600:.1f}h" if r else "not started"))
-        found = Path(self.at("stats.json"))
-        if found.exists():
-            stats = json.loads(found.read_text())
+        if files.exists(self.spark, self.at("stats.json")):
+            stats = json.loads(files.read(self.spark, self.at("stats.json")))
             print(f"dataset {stats.get('kept', 0)}/{stats.get('seen', 0)} kept ({stats.get('kept', 0) / max(stats.get('seen', 0), 1):.0%}) {({k: v for k, v in stats.items() if k.startswith('reject')})}")
         else:
             print("dataset not built")
-        for p in sorted((self.out / "eval").glob("*/summary")):
-            cells = self.read(str(p.relative_to(self.out)), schemas.SUMMARY).orderBy("benchmark").collect()
-            print(f"eval {p.parent.name:<20} " + "  ".join(f"{r['benchmark']}={r['accuracy']:.1%}({r['total']})" for r in cells))
+        for tag in self.tags():
+            cells = self.read(f"eval/{tag}/summary", schemas.SUMMARY).orderBy("benchmark").collect()
+            print(f"eval {tag:<20} " + "  ".join(f"{r['benchmark']}={r['accuracy']:.1%}({r['total']})" for r in cells))
 
 
 COMMANDS = ("check", "prompts", "teach", "rollout", "hedge", "dataset", "logits", "pairs", "eval", "report", "status")
