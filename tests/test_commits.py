@@ -3,9 +3,11 @@
 import threading
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.plans import registry
 from tracemill.sources import files
 from tracemill.sources.commits import Log
 from tracemill.sources.lease import Held, Lease, Lost
@@ -153,3 +155,23 @@ def test_sessions_and_late_rows(spark, tmp_path):
     resume.logged(resume.sessions(resume.records(spark, src, schema, 1, "parquet"), "ts", "5 minutes", "10 minutes", "user_id"), f"{tmp_path}/state", log).awaitTermination()
     got = sorted((r["user_id"], r["s"], r["e"], r["n"]) for r in log.read().where("user_id is not null").select("user_id", F.date_format("start", "HH:mm").alias("s"), F.date_format("end", "HH:mm").alias("e"), "n").collect())
     assert got == [(1, "00:00", "00:09", 2), (1, "01:00", "01:05", 1), (1, "02:00", "02:05", 1), (2, "00:20", "00:25", 1)]
+
+
+def as_duckdb_gives(spark, path, name, events):
+    """A query over a table of events against its SQL."""
+    events.coalesce(1).write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{path}/events.parquet/*.parquet')")
+    df = registry.QUERIES[name](spark, str(path))
+    want = con.execute(f"select {', '.join(f'"{c}"' for c in df.columns)} from ({registry.ORACLE[name]})").fetchall()
+    return sorted(map(tuple, df.collect())), sorted(want)
+
+
+@pytest.mark.parametrize("name", ["event_sessions"])
+def test_width_of_a_slice_that_is_not_whole(spark, tmp_path, name):
+    """A tenth of the time of all events is 86400.7 seconds, which the SQL rounds up; an event at the border of the seventh slice is late by that."""
+    at = F.when(F.col("id") == 0, 0).when(F.col("id") == 1, 864007).when(F.col("id") == 10, 604810).otherwise(F.col("id") * 7919 % 864000)
+    ts = F.timestamp_seconds(at + 1704067200).cast("timestamp_ntz")
+    events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("a").alias("event_type"), (F.col("id") / 4).alias("value"))
+    got, want = as_duckdb_gives(spark, tmp_path, name, events)
+    assert got == want

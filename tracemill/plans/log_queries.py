@@ -67,16 +67,22 @@ def streamed_accuracy(spark, sf):
     return held.latest("benchmark").select("benchmark", "n", F.round("accuracy", 9).alias("accuracy"))
 
 
+def slice_width(lo: int, hi: int) -> int:
+    """Seconds of a slice: `//` of doubles divides in full in the SQL, and its cast rounds half to even."""
+    return round((hi - lo) / SLICES) + 1
+
+
 def arrivals(spark: SparkSession, sf: str, rows_a_file: int = 1_000_000) -> tuple[str, int, int]:
-    """Events written slice by slice into a folder, each slice as equally many files: the path, the seconds of a slice, and its files. The last file has one event long after all others, which closes what is open."""
+    """Events written slice by slice into a folder, each slice that has any as equally many files: the path, the seconds of a slice, and its files. The last file has one event long after all others, which closes what is open."""
     rows, src = events(spark, sf), fresh_path(spark, "arrivals")
-    edge = rows.agg(F.unix_seconds(F.min("ts")).alias("lo"), F.unix_seconds(F.max("ts")).alias("hi"), F.count("*").alias("n")).first()
-    lo, width = edge["lo"] or 0, ((edge["hi"] or 0) - (edge["lo"] or 0)) // SLICES + 1
-    per_slice = edge["n"] // (SLICES * rows_a_file) + 1
+    edge = rows.agg(F.unix_seconds(F.min("ts")).alias("lo"), F.unix_seconds(F.max("ts")).alias("hi")).first()
+    lo, width = edge["lo"] or 0, slice_width(edge["lo"] or 0, edge["hi"] or 0)
     part = F.floor((F.unix_seconds("ts") - lo) / width)
     arrives = F.when((F.col("event_id") % 10 == 0) & (part + 3 < SLICES), part + 3).otherwise(part)
     placed = rows.withColumn("arrives", arrives)
-    for k in range(SLICES):
+    counts = {r["arrives"]: r["n"] for r in placed.where("arrives is not null").groupBy("arrives").agg(F.count("*").alias("n")).collect()}  # a row for each slice
+    per_slice = min(counts.values(), default=0) // rows_a_file + 1  # in the smallest no file stays empty, which wouldn't be written
+    for k in sorted(counts):
         placed.where(F.col("arrives") == k).drop("arrives").repartition(per_slice).write.mode("append").parquet(src)
     end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_seconds(F.lit(lo + 30 * width)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(0.0).alias("value"))
     end.write.mode("append").parquet(src)
