@@ -167,7 +167,7 @@ def as_duckdb_gives(spark, path, name, events):
     return sorted(map(tuple, df.collect())), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["event_sessions"])
+@pytest.mark.parametrize("name", ["event_sessions", "event_windows"])
 def test_width_of_a_slice_that_is_not_whole(spark, tmp_path, name):
     """A tenth of the time of all events is 86400.7 seconds, which the SQL rounds up; an event at the border of the seventh slice is late by that."""
     at = F.when(F.col("id") == 0, 0).when(F.col("id") == 1, 864007).when(F.col("id") == 10, 604810).otherwise(F.col("id") * 7919 % 864000)
