@@ -13,6 +13,7 @@ from tracemill.functions import text as X
 from tracemill.operators import chat, code, evals, ngrams, report, sampling, selection
 from tracemill.operators.verify import verified
 from tracemill.plans.curate import curate
+from tracemill.plans.registry import QUERIES
 from tracemill.sources import jsonl, prompts, settings
 from tracemill.sources.settings import Settings, expanded
 
@@ -158,6 +159,24 @@ def test_contamination_leaves_the_scan_by_hits_alone(spark, sf):
     assert "Filter" in plan[generate:scan] and "exists" in plan[generate:scan]
 
 
+@pytest.mark.parametrize("table_bytes", [ngrams.TABLE_BYTES, 0])
+def test_shared_grams(spark, table_bytes):
+    bench = rows(spark, [(1, "The quick brown fox jumps over the lazy dog"), (2, "one two three four five six"), (3, None), (4, "short")], "item_id long, text string")
+    docs = rows(spark, [(1, "see: QUICK brown, fox jumps over a lazy cat"), (2, "one two three four five seven"), (2, "quick brown fox jumps over"), (3, None), (None, "six five four three two one")], "doc_id long, text string")
+    got = [r["gram"] for r in ngrams.shared(docs, bench, 5, table_bytes=table_bytes).collect()]
+    assert sorted(got) == ["brown fox jumps over lazy", "one two three four five", "quick brown fox jumps over"]
+
+
+def test_shared_grams_leave_the_scan_by_hits_alone(spark, sf):
+    """Of all n-grams of the documents few are shuffled."""
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = QUERIES["set_intersection"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    generate, scan = plan.index("Generate explode"), plan.index("FileScan")
+    assert "Filter" in plan[generate:scan] and "exists" in plan[generate:scan]
+    both = ngrams.index(docs, 13).intersect(ngrams.index(bench, 13))
+    assert ngrams.shared(docs, bench).exceptAll(both).count() == 0 and both.count() == ngrams.shared(docs, bench).count() > 0
+
+
 def test_normalisers(spark):
     def one(dataset, schema, row, kind="mcq"):
         got = prompts.normalise(rows(spark, [(0, *row)], f"idx long, {schema}"), dataset, "d", kind, "train").collect()

@@ -10,6 +10,8 @@ is joined by hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +72,8 @@ def marked(hashes: list[int]) -> bytes:
     return out.tobytes()
 
 
-def may_hold(hashes: Column, table: bytes) -> Column:
-    """Whether one of the hashes has all its probes marked; stops at the first."""
+def _probed(table: bytes) -> Callable[[Column], Column]:
+    """A function that says whether a hash has all its probes marked."""
     held, mask = F.lit(bytearray(table)), len(table) - 1
     spot = lambda h, k: F.substring(held, F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit(mask)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
@@ -81,17 +83,37 @@ def may_hold(hashes: Column, table: bytes) -> Column:
             out = out & spot(h, k)
         return out
 
-    return F.exists(hashes, probed)
+    return probed
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """Ids of the documents that share an n-gram with the benchmark."""
-    rows, most = docs.select(key, "text"), table_bytes // SPARSE
+def may_hold(hashes: Column, table: bytes) -> Column:
+    """Whether one of the hashes has all its probes marked; stops at the first."""
+    return F.exists(hashes, _probed(table))
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, n: int, key: str, table_bytes: int) -> tuple[DataFrame, bytes | None]:
+    """The documents that may share an n-gram with the benchmark, and the table that they were looked up in, if there is one."""
+    most = table_bytes // SPARSE
     known = benchmark.select(F.explode(gram_hashes(F.col("text"), n)).alias("h")).distinct()
     first = known.limit(most + 1).collect()  # more than that are never brought here
     if len(first) <= most:
-        hit = rows.where(may_hold(gram_hashes(F.col("text"), n), marked([r["h"] for r in first])))
-    else:
-        found = rows.select(key, F.explode(gram_hashes(F.col("text"), n)).alias("h")).join(known, "h", "left_semi").select(key).distinct()
-        hit = rows.join(found, key, "left_semi")
+        held = marked([r["h"] for r in first])
+        return rows.where(may_hold(gram_hashes(F.col("text"), n), held)), held
+    found = rows.select(key, F.explode(gram_hashes(F.col("text"), n)).alias("h")).join(known, "h", "left_semi").select(key).distinct()
+    return rows.join(found, key, "left_semi"), None
+
+
+def contaminated_ids(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """Ids of the documents that share an n-gram with the benchmark."""
+    hit, _ = _hits(docs.select(key, "text"), benchmark, n, key, table_bytes)
     return hit.select(key, F.explode(grams(F.col("text"), n)).alias("gram")).join(index(benchmark, n), "gram", "left_semi").select(key).distinct()
+
+
+def shared(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The distinct n-grams of the benchmark that some document holds. Of the documents that hit, only the n-grams that the table may hold leave the scan."""
+    hit, held = _hits(docs.select(key, "text"), benchmark, n, key, table_bytes)
+    found = grams(F.col("text"), n)
+    if held:
+        probed = _probed(held)
+        found = let(gram_hashes(F.col("text"), n), lambda h: F.filter(grams(F.col("text"), n), lambda _, i: probed(F.get(h, i))))
+    return hit.select(F.explode(found).alias("gram")).distinct().join(index(benchmark, n), "gram", "left_semi")

@@ -235,7 +235,7 @@ def merged_sources(spark, sf):
 @query(f"WITH b AS (SELECT {TOKENS} AS w FROM benchmark), t AS (SELECT {TOKENS} AS w FROM documents) SELECT count(*) AS grams_in_both FROM (SELECT unnest({GRAMS}) AS gram FROM b INTERSECT SELECT unnest({GRAMS}) AS gram FROM t)")
 def set_intersection(spark, sf):
     """How many n-grams of the benchmark are in some document."""
-    both = ngrams.index(table(spark, sf, "benchmark"), GRAM).intersect(ngrams.index(table(spark, sf, "documents"), GRAM))
+    both = ngrams.shared(table(spark, sf, "documents"), table(spark, sf, "benchmark"), GRAM)
     return both.agg(F.count("*").alias("grams_in_both"))
 
 
