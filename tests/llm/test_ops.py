@@ -695,3 +695,24 @@ def test_pipeline_of_nothing(spark, sf):
     for _, stage in p.STAGES:
         d = stage(spark, d, sf)
     assert d.count() == 0
+
+
+def test_brief_lines_share_their_hashes(monkeypatch):
+    """The words of a line that are hashed alike for several keys are hashed once, and the keys stay as they were."""
+    calls, mix = [], line_dedup.mix
+    monkeypatch.setattr(line_dedup, "mix", lambda h: calls.append(1) or mix(h))
+    word = np.random.default_rng(3).integers(0, 1 << 63, 20).astype(np.uint64)
+    size, first, words = np.arange(20) % 7 + 1, np.array([0, 10]), np.array([10, 10])
+    got = sorted((int(r), int(k)) for rows, keys in line_dedup._without_words(word, size, first, words) for r, k in zip(rows, keys, strict=True))
+    assert len(calls) <= 250  # 516 with a hash of its own for each key
+    want = []
+    for r in range(2):
+        w, s = word[10 * r :][:10], size[10 * r :][:10]
+        for gone in [(), *((i,) for i in range(10)), *((i, j) for j in range(10) for i in range(j))]:
+            if len(gone) < 2 or s[list(gone)].sum() <= line_dedup.REST * s.sum():
+                key = np.zeros(1, np.uint64)
+                for k in range(10):
+                    if k not in gone:
+                        key = mix(key * np.uint64(31) + w[k])
+                want.append((r, int(mix(key + np.uint64(77))[0])))
+    assert got == sorted(want)

@@ -108,19 +108,29 @@ def _block_keys(kind: int, line: np.ndarray, feature: np.ndarray, lines: int) ->
 
 def _without_words(word: np.ndarray, size: np.ndarray, first: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(line, key) of brief lines: their words, and these without one (two at least stay) or two (three stay, and the two are a small part). What stays is hashed in order, so a word may also have been added."""
-    for n in range(1, BRIEF + 1):
+    for n in range(3, BRIEF + 1):
         own = np.flatnonzero(words == n)
         if not len(own):
             continue
-        at = first[own][:, None] + np.arange(n)
+        at = first[own] + np.arange(n)[:, None]
         part, chars = word[at], size[at]
-        whole = chars.sum(axis=1)
-        for gone in [(), *combinations(range(n), 1)] * (n > 2) + [*combinations(range(n), 2)] * (n > 4):
-            some = np.flatnonzero(chars[:, gone].sum(axis=1) <= REST * whole) if len(gone) == 2 else np.arange(len(own))
-            key = np.zeros(len(some), np.uint64)
-            for k in range(n):
-                if k not in gone:
-                    key = mix(key * np.uint64(31) + part[some, k])
+        whole = chars.sum(axis=0)
+        upto = [np.zeros(len(own), np.uint64)]  # hashes of the words before each
+        for k in range(n):
+            upto.append(mix(upto[k] * np.uint64(31) + part[k]))
+        yield own, mix(upto[n] + np.uint64(77))
+        spared = {}  # of the words before the second, without the first
+        for i in range(n):
+            key = upto[i]
+            for k in range(i + 1, n):
+                spared[i, k] = key
+                key = mix(key * np.uint64(31) + part[k])
+            yield own, mix(key + np.uint64(77))
+        for i, j in combinations(range(n), 2) if n > 4 else ():
+            some = np.flatnonzero(chars[i] + chars[j] <= REST * whole)
+            key = spared[i, j][some]
+            for k in range(j + 1, n):
+                key = mix(key * np.uint64(31) + part[k][some])
             yield own[some], mix(key + np.uint64(77))
 
 
@@ -293,20 +303,21 @@ def _across(similarity: float) -> callable:
 
     def run(rows: pa.Table) -> pa.Table:
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        lh, part, chunk = (rows[c].to_numpy() for c in ("lh", "part", "chunk"))
+        lh, chunk, part = rows["lh"].to_numpy(), rows["chunk"].to_numpy(), rows["part"].to_numpy().copy()
         sim, line = rows["sim"].to_numpy().view(np.uint64), rows["line"].to_pylist()
         ones = np.flatnonzero(chunk == i)
         others = ones if i == j else np.flatnonzero(chunk == j)
         words, (counts, size) = [x.split(" ") for x in line], bigrams(line)
-        root: dict[int, int] = {}
         out = []
         for x in ones.tolist():
-            gap = apart(sim[[x]], sim[others])
-            near = others[(gap <= FAR) & (part[others] != part[x]) & ((lh[others] > lh[x]) if i == j else True)]
+            near = others[(part[others] != part[x]) & ((lh[others] > lh[x]) if i == j else True)]
+            near = near[apart(sim[[x]], sim[near]) <= FAR]
+            if not len(near):
+                continue
             for y in near[reachable(counts, size, x, near, similarity)].tolist():
-                p, q = _find(root, int(part[x])), _find(root, int(part[y]))
+                p, q = part[x], part[y]
                 if p != q and alike(line[x], line[y], similarity, words[x], words[y]):
-                    root[max(p, q)] = min(p, q)
+                    part[part == max(p, q)] = min(p, q)
                     out.append((min(lh[x], lh[y]), max(lh[x], lh[y])))
         a, b = zip(*out, strict=True) if out else ((), ())
         if len(lh) > 256:
@@ -316,12 +327,6 @@ def _across(similarity: float) -> callable:
     return run
 
 
-def _find(root: dict[int, int], x: int) -> int:
-    while root.setdefault(x, x) != x:
-        root[x] = x = root[root[x]]
-    return x
-
-
 def across(members: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float, broadcast_bytes: int, keep: Scratch) -> DataFrame:
     """members(k, lh, sim) of large buckets; parts(node, comp), what is joined so far; texts(lh, line) -> (a, b), the links that were still missing."""
     named = members.join(parts, members["lh"] == parts["node"], "left").select("k", "lh", "sim", F.coalesce("comp", "lh").alias("part"))

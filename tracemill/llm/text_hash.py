@@ -27,25 +27,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    out = h >> np.uint64(33)
+    out ^= h
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xC4CEB9FE1A85EC53)
+    out ^= out >> np.uint64(33)
+    return out
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Position-independent hash of values[start:end] for every span; values are unsigned 64-bit."""
     up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * up[: len(values)], out=total[1:])
+    scaled = values + np.uint64(1)
+    scaled *= up[: len(values)]
+    np.cumsum(scaled, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def words_of(buffer: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs where blank is false."""
-    edge = np.diff(np.concatenate([[1], blank.astype(np.int8), [1]]))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    around = np.concatenate([[True], blank, [True]])
+    edge = np.flatnonzero(around[1:] != around[:-1])
+    return edge[::2].copy(), edge[1::2].copy()
 
 
 #: A byte's bits, most significant first, as ones in the eight bytes of a word.
