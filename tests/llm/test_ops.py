@@ -716,3 +716,44 @@ def test_brief_lines_share_their_hashes(monkeypatch):
                         key = mix(key * np.uint64(31) + w[k])
                 want.append((r, int(mix(key + np.uint64(77))[0])))
     assert got == sorted(want)
+
+
+def test_equal_lines_of_a_task_have_keys_once():
+    """Only the first of equal lines that a task meets brings keys; what it brings is what the line has by itself."""
+    import pyarrow as pa
+
+    texts = ["one line of some words here\nanother line of other words", "another line of other words\nONE line of some words, here!", "one line of some words here"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([t])], names=["doc_id", "th", "text"]) for i, t in enumerate(texts)]
+    rows = [r for b in line_dedup._lines(iter(batches)) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["pos"], bool(r["keys"])) for r in rows] == [(0, 0, True), (0, 1, True), (1, 0, False), (1, 1, False), (2, 0, False)]
+    for r, line in zip(rows, texts[0].split("\n"), strict=False):
+        _, _, lh, sim, keys, _ = line_dedup.hashed_lines([line])
+        assert (r["lh"], r["sim"]) == (lh[0], sim[0]) and sorted(r["keys"]) == sorted(keys.tolist())
+
+
+def test_buckets_with_repeats():
+    """A line that comes into a bucket from several tasks counts once, and a key of one line gives nothing."""
+    import pyarrow as pa
+
+    def found(rows):
+        b = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["k", "lh", "sim"])
+        return [tuple(r.values()) for x in line_dedup._candidates(iter([b])) for r in x.to_pylist()]
+
+    assert found([(1, 10, 1)] * 40 + [(1, 11, 1)] * 40 + [(2, 10, 1)] * 20 + [(3, 12, 1)]) == [(10, 11, None)]
+    assert found([(1, 10, 1), (2, 10, 1)]) == []
+
+
+def test_most_unlike_pairs_need_no_distance(monkeypatch):
+    """Pairs whose characters rule them out aren't compared step by step; no pair that is similar enough is ruled out."""
+    rng, calls, edits = random.Random(4), [], line_dedup.edits
+    monkeypatch.setattr(line_dedup, "edits", lambda *x: calls.append(1) or edits(*x))
+    assert not line_dedup.alike("the quick brown fox jumps", "zzzzz xxxxx vvvvv kkkkk w", 0.8) and not calls
+    for _ in range(300):
+        a = "".join(rng.choice("abcd é") for _ in range(rng.randint(1, 90)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 2)):
+            b[rng.randrange(len(b))] = rng.choice(["", "b", "cd"])
+        b = "".join(b)
+        if b:
+            d = lev(a, b)
+            assert not line_dedup.unlike(a, b, d) and edits(a, b, d) == d and line_dedup.alike(a, b, 0.8) == similar(a, b)

@@ -45,6 +45,7 @@ texts that collide would count as equal.
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from os.path import commonprefix
@@ -69,7 +70,9 @@ BRIEF, TINY = 10, 4  # words of lines that are joined without one or two of them
 REST = 0.4  # part of a line that two dropped words may be
 ENDS = (2, 3, 4, 6, 8, 12, 16, 24, 32)  # bytes of an end
 SMALL, NEAR, CHUNK, BINS = 8, 2048, 8192, 512
-BATCH_BYTES = 1 << 20
+SEEN = 1 << 19  # hashes of lines that a task remembers
+STRIDE = 16  # characters between looks at the distance so far
+BATCH_BYTES = 1 << 19
 DIGITS = bytes(ord("0") if chr(b).isdigit() and b < 128 else 32 if b < 32 and b != 10 else b for b in range(256))
 MARKS = string.punctuation.encode()
 _GRAM = np.array([1 << 8 * i for i in range(GRAM)], np.uint64)
@@ -87,7 +90,10 @@ def normal(line: str) -> str:
 def _block_keys(kind: int, line: np.ndarray, feature: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) for all pairs of blocks with enough different features. line, feature: which feature hashes a line has."""
     cell = line * BLOCKS + (feature % np.uint64(BLOCKS)).astype(np.int64)
-    order = np.lexsort((feature, cell))
+    if lines * BLOCKS < 1 << 24:  # both in one number, which is sorted sooner
+        order = np.argsort(cell.astype(np.uint64) << np.uint64(40) | feature & np.uint64((1 << 40) - 1))
+    else:
+        order = np.lexsort((feature, cell))
     cell, feature = cell[order], feature[order]
     fresh = np.ones(len(cell), bool)
     fresh[1:] = (cell[1:] != cell[:-1]) | (feature[1:] != feature[:-1])
@@ -114,24 +120,17 @@ def _without_words(word: np.ndarray, size: np.ndarray, first: np.ndarray, words:
             continue
         at = first[own] + np.arange(n)[:, None]
         part, chars = word[at], size[at]
-        whole = chars.sum(axis=0)
-        upto = [np.zeros(len(own), np.uint64)]  # hashes of the words before each
+        none, one, two = (np.zeros((k, len(own)), np.uint64) for k in (1, 0, 0))  # hashes so far, with none, one and two words gone
         for k in range(n):
-            upto.append(mix(upto[k] * np.uint64(31) + part[k]))
-        yield own, mix(upto[n] + np.uint64(77))
-        spared = {}  # of the words before the second, without the first
-        for i in range(n):
-            key = upto[i]
-            for k in range(i + 1, n):
-                spared[i, k] = key
-                key = mix(key * np.uint64(31) + part[k])
-            yield own, mix(key + np.uint64(77))
-        for i, j in combinations(range(n), 2) if n > 4 else ():
-            some = np.flatnonzero(chars[i] + chars[j] <= REST * whole)
-            key = spared[i, j][some]
-            for k in range(j + 1, n):
-                key = mix(key * np.uint64(31) + part[k][some])
-            yield own[some], mix(key + np.uint64(77))
+            more = mix(np.concatenate([none, one, two]) * np.uint64(31) + part[k])
+            if n > 4:
+                two = np.concatenate([more[k + 1 :], one])
+            none, one = more[:1], np.concatenate([more[1 : k + 1], none])
+        yield np.tile(own, n + 1), mix(np.concatenate([none, one]) + np.uint64(77)).ravel()
+        if n > 4:
+            i, j = np.array([(i, j) for j in range(n) for i in range(j)]).T
+            fits = chars[i] + chars[j] <= REST * chars.sum(axis=0)
+            yield own[np.nonzero(fits)[1]], mix(two[fits] + np.uint64(77))
 
 
 def _by_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,8 +158,8 @@ def _drawn(feature: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
     return (feature >> np.uint64(32)).astype(np.float64) * of < most * 2.0**32
 
 
-def hashed_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """For all lines with words: text number, line number, line hash, SimHash (its lowest bit tells whether the line is short), and (keys, cuts)."""
+def hashed_lines(texts: list[str], seen: set[int] | None = None) -> tuple[np.ndarray, ...]:
+    """For all lines with words: text number, line number, line hash, SimHash (its lowest bit tells whether the line is short), and (keys, cuts). seen: hashes of lines that have had their SimHash and keys, which they don't get again; new ones are added."""
     flat = [flattened(t) for t in texts]
     data = np.frombuffer(b"\n".join(flat) + b"\n", np.uint8)
     breaks = data == 10
@@ -177,6 +176,36 @@ def hashed_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
     opens = np.concatenate([[0], np.cumsum(per_text)])
     owner = np.searchsorted(opens, lines, side="right") - 1
 
+    lh = span_hash(word, first, last).view(np.int64)
+    new = _unseen(lh, seen) if seen is not None else np.arange(n)
+    if len(new) < n:
+        fresh = np.zeros(n, bool)
+        fresh[new] = True
+        kept = np.repeat(fresh, words)
+        starts, ends, word, words = starts[kept], ends[kept], word[kept], words[new]
+        last = np.cumsum(words)
+        first = last - words
+    keys, of, sims = _keyed(data, starts, ends, word, first, last) if len(new) else (np.zeros(0, np.uint64),) * 3
+    sim, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    sim[new], count[new] = sims.view(np.int64), np.bincount(of.astype(np.int64), minlength=len(new))
+    return owner, lines - opens[owner], lh, sim, keys.view(np.int64), np.concatenate([[0], np.cumsum(count)])
+
+
+def _unseen(lh: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The places, in order, at which a hash comes up for the first time."""
+    values, at = np.unique(lh, return_index=True)
+    values, new = values.tolist(), np.ones(len(values), bool)
+    if seen:
+        new[:] = [x not in seen for x in values]
+    if len(seen) > SEEN:
+        seen.clear()
+    seen.update(values)
+    return np.sort(at[new])
+
+
+def _keyed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by line, the line of each, and the SimHash of each line, of the lines with the words first to last."""
+    words, n = last - first, len(first)
     at = np.repeat(np.arange(n), words)
     long = ends - starts >= LONG
     many = np.add.reduceat(long.astype(np.int64), first)[at]
@@ -196,9 +225,9 @@ def hashed_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
     found += _without_words(word, ends - starts, first, words)
     found += _by_ends(data, starts, ends, first, words)
     row, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(row, kind="stable")
+    order = np.sort(row << 32 | np.arange(len(row))) & 0xFFFFFFFF  # stable, and sooner than by places
     sim = simhashes(word, first, last) & ~np.uint64(1) | (words < SHORT).astype(np.uint64)
-    return owner, lines - opens[owner], span_hash(word, first, last).view(np.int64), sim.view(np.int64), key[order].view(np.int64), np.searchsorted(row[order], np.arange(n + 1))
+    return key[order], row[order], sim
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -213,10 +242,12 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a partition; of equal ones mostly the first alone has keys."""
+    seen: set[int] = set()
     for b in sliced(batches):
         texts = b.column(2).to_pylist()
         for lo, hi in _pieces(texts):
-            owner, pos, lh, sim, keys, cuts = hashed_lines(texts[lo:hi])
+            owner, pos, lh, sim, keys, cuts = hashed_lines(texts[lo:hi], seen)
             at = pa.array(owner + lo)
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(lh, pa.int64()), pa.array(sim, pa.int64()), lists], names=["doc_id", "th", "pos", "lh", "sim", "keys"])
@@ -251,7 +282,7 @@ def _large(lh: np.ndarray, sim: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (k, lh, sim), whole buckets -> (a, b, null), pairs to verify, and (lh, sim, k), the members of buckets that are not small. 24 bytes a row are held."""
+    """A partition of (k, lh, sim), whole buckets, with repeats -> (a, b, null), pairs to verify, and (lh, sim, k), the members of buckets that are not small. 24 bytes a row are held."""
     held = [[c.to_numpy() for c in b.columns] for b in batches]
     if not held:
         return
@@ -259,8 +290,19 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del held
     if not len(k):
         return
+    order = np.argsort(k)
+    k = k[order]
+    shared = np.zeros(len(k) + 1, bool)
+    shared[1:-1] = k[1:] == k[:-1]
+    shared = shared[1:] | shared[:-1]  # most keys are of one line
+    if not shared.any():
+        return
+    k, lh, sim = k[shared], lh[order[shared]], sim[order[shared]]
     order = np.lexsort((lh, k))
     k, lh, sim = k[order], lh[order], sim[order].view(np.uint64)
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (lh[1:] != lh[:-1])
+    k, lh, sim = k[fresh], lh[fresh], sim[fresh]
     cuts = np.append(np.flatnonzero(np.diff(k, prepend=~k[0])), len(k))
     size = np.repeat(np.diff(cuts), np.diff(cuts))
     pairs = []
@@ -316,7 +358,7 @@ def _across(similarity: float) -> callable:
                 continue
             for y in near[reachable(counts, size, x, near, similarity)].tolist():
                 p, q = part[x], part[y]
-                if p != q and alike(line[x], line[y], similarity, words[x], words[y]):
+                if p != q and alike(line[x], line[y], similarity, words[x], words[y], True):
                     part[part == max(p, q)] = min(p, q)
                     out.append((min(lh[x], lh[y]), max(lh[x], lh[y])))
         a, b = zip(*out, strict=True) if out else ((), ())
@@ -374,10 +416,10 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
     with Scratch() as keep:
         lines = keep(rows.mapInArrow(_lines, "doc_id long, th long, pos int, lh long, sim long, keys array<long>"), "lines")
         where = F.struct("doc_id", "th", "pos")
-        nodes = keep(lines.groupBy("lh").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min(F.struct("sim", "keys")).alias("x")).select("lh", "first", "n", "x.sim", "x.keys"), "line-nodes")
+        nodes = keep(lines.groupBy("lh").agg(F.min(where).alias("first"), F.count("*").alias("n")), "line-nodes")
 
-        keyed = nodes.select(F.explode("keys").alias("k"), "lh", "sim")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * 10 // 2_000_000))
+        keyed = lines.select(F.explode("keys").alias("k"), "lh", "sim")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() * 10 // 2_000_000))
         found = keep(keyed.repartition(parts, "k").mapInArrow(_candidates, "a long, b long, k long"), "line-candidates")
         pairs = found.where("k is null").select("a", "b").distinct()
         members = found.where("k is not null").select("k", F.col("a").alias("lh"), F.col("b").alias("sim"))
@@ -408,28 +450,37 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, broadcast_bytes: int
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or some number over `most` if it is larger. One bit per character of a (Myers), one step per character of b."""
+    """Levenshtein distance, or some number over `most` if it is larger. One bit per character of a (Myers), one step per character of b; looked at every STRIDE steps."""
     if not a or not b:
         return len(a) + len(b)
     bits: dict[str, int] = {}
     for i, c in enumerate(a):
         bits[c] = bits.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, at, left = full, 0, len(a), len(b)
-    for c in b:
-        same = bits.get(c, 0)
-        cross = same | down
-        level = (((same & up) + up) ^ up) | same
-        rise, fall = (down | ~(level | up)) & full, up & level
-        at += bool(rise & top) - bool(fall & top)
-        left -= 1
-        if at - left > most:
-            return at - left
-        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
-        up, down = (fall | ~(cross | rise)) & full, rise & cross
+    full, up, down, at = (1 << len(a)) - 1, (1 << len(a)) - 1, 0, len(a)
+    for lo in range(0, len(b), STRIDE):
+        for c in b[lo : lo + STRIDE]:
+            same = bits.get(c, 0)
+            cross = same | down
+            level = (((same & up) + up) ^ up) | same
+            rise = ((level | up) ^ full | down) << 1 | 1
+            up = ((level & up) << 1 | (cross | rise) ^ full) & full
+            down = rise & cross
+        done = min(lo + STRIDE, len(b))
+        at = done + up.bit_count() - down.bit_count()
+        if at - (len(b) - done) > most:
+            return at - (len(b) - done)
     return at
 
 
+def unlike(a: str, b: str, most: int) -> bool:
+    """Whether more than `most` edits lie between a and b by their characters, or pairs of neighbouring ones: one edit takes one, or two pairs, from a line at most."""
+    longer = max(len(a), len(b))
+    if longer - (Counter(a) & Counter(b)).total() > most:
+        return True
+    x, y = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
+    return longer - 1 - (x & y).total() > 2 * most
+
+
 def replaced(x: list[str], y: list[str], most: int) -> bool:
     """Whether replacing, dropping or adding whole words leads from x to y within `most` edits, going by the next words that are equal: an upper bound of the distance."""
     i = j = cost = 0
@@ -451,8 +502,8 @@ def replaced(x: list[str], y: list[str], most: int) -> bool:
     return cost + sum(len(p) + 1 for p in (*x[i:], *y[j:])) <= most
 
 
-def alike(a: str, b: str, similarity: float, x: list[str] | None = None, y: list[str] | None = None) -> bool:
-    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; going word by word, or replacing all between the equal ends, bounds the distance from above and mostly decides. x and y: their words, if they are known."""
+def alike(a: str, b: str, similarity: float, x: list[str] | None = None, y: list[str] | None = None, bounded: bool = False) -> bool:
+    """Whether 1 - edits / longer length reaches similarity. Equal ends cost nothing; going word by word, or replacing all between the equal ends, bounds the distance from above and mostly decides. x and y: their words, if they are known; bounded: their pairs of characters have been compared."""
     most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
@@ -462,7 +513,7 @@ def alike(a: str, b: str, similarity: float, x: list[str] | None = None, y: list
     a, b = a[lo:], b[lo:]
     end = len(commonprefix((a[::-1], b[::-1])))
     a, b = a[: len(a) - end], b[: len(b) - end]
-    return max(len(a), len(b)) <= most or edits(a, b, most) <= most
+    return max(len(a), len(b)) <= most or (bounded or not unlike(a, b, most)) and edits(a, b, most) <= most
 
 
 def _verified(similarity: float) -> callable:
