@@ -175,3 +175,13 @@ def test_width_of_a_slice_that_is_not_whole(spark, tmp_path, name):
     events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("a").alias("event_type"), (F.col("id") / 4).alias("value"))
     got, want = as_duckdb_gives(spark, tmp_path, name, events)
     assert got == want
+
+
+def test_windows_of_events_without_a_type(spark, tmp_path):
+    """Every third hour has only events without a type, without a value too in every sixth: the SQL counts them."""
+    hour = F.floor(F.col("id") / 3)
+    ts = F.timestamp_seconds(hour * 3600 + F.col("id") % 3 * 1000 + 1704067200).cast("timestamp_ntz")
+    kind = F.when(hour % 3 > 0, "a")
+    events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), kind.alias("event_type"), F.when(hour % 6 > 0, F.col("id") / 4).alias("value"))
+    got, want = as_duckdb_gives(spark, tmp_path, "event_windows", events)
+    assert got == want and sum(r[1] is None for r in got) == 45

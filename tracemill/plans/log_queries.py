@@ -73,7 +73,7 @@ def slice_width(lo: int, hi: int) -> int:
 
 
 def arrivals(spark: SparkSession, sf: str, rows_a_file: int = 1_000_000) -> tuple[str, int, int]:
-    """Events written slice by slice into a folder, each slice that has any as equally many files: the path, the seconds of a slice, and its files. The last file has one event long after all others, which closes what is open."""
+    """Events written slice by slice into a folder, each slice that has any as equally many files: the path, the seconds of a slice, and its files. The last file has one event long after all others, which closes what is open; it alone is marked as `closes`."""
     rows, src = events(spark, sf), fresh_path(spark, "arrivals")
     edge = rows.agg(F.unix_seconds(F.min("ts")).alias("lo"), F.unix_seconds(F.max("ts")).alias("hi")).first()
     lo, width = edge["lo"] or 0, slice_width(edge["lo"] or 0, edge["hi"] or 0)
@@ -83,8 +83,8 @@ def arrivals(spark: SparkSession, sf: str, rows_a_file: int = 1_000_000) -> tupl
     counts = {r["arrives"]: r["n"] for r in placed.where("arrives is not null").groupBy("arrives").agg(F.count("*").alias("n")).collect()}  # a row for each slice
     per_slice = min(counts.values(), default=0) // rows_a_file + 1  # in the smallest no file stays empty, which wouldn't be written
     for k in sorted(counts):
-        placed.where(F.col("arrives") == k).drop("arrives").repartition(per_slice).write.mode("append").parquet(src)
-    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_seconds(F.lit(lo + 30 * width)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(0.0).alias("value"))
+        placed.where(F.col("arrives") == k).drop("arrives").withColumn("closes", F.lit(False)).repartition(per_slice).write.mode("append").parquet(src)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_seconds(F.lit(lo + 30 * width)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(0.0).alias("value"), F.lit(True).alias("closes"))
     end.write.mode("append").parquet(src)
     return src, width, per_slice
 
@@ -104,10 +104,10 @@ def event_windows(spark, sf):
     src, width, per_slice = arrivals(spark, sf)
     out = fresh_path(spark, "windows")
     held = Log(spark, f"{out}/log", "start timestamp, event_type string, n long, total double")
-    stream = resume.records(spark, src, EVENT, files_per_trigger=per_slice, fmt="parquet")
+    stream = resume.records(spark, src, f"{EVENT}, closes boolean", files_per_trigger=per_slice, fmt="parquet").where("not closes")  # events without a type are counted, as a type of their own
     hours = resume.tumbling(stream, "ts", "1 hour", f"{width // 4} seconds", "event_type", value="value")
     resume.logged(hours, f"{out}/state", held, "update").awaitTermination()
-    return held.latest("start", "event_type").where("event_type is not null").select(F.date_format("start", PRINTED).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    return held.latest("start", "event_type").select(F.date_format("start", PRINTED).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query(f"""WITH {ARRIVED}, k AS (SELECT *, width // 16 AS gap FROM r WHERE mark IS NULL OR ts + to_seconds(width // 16) > mark),
