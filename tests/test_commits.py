@@ -185,3 +185,14 @@ def test_windows_of_events_without_a_type(spark, tmp_path):
     events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), kind.alias("event_type"), F.when(hour % 6 > 0, F.col("id") / 4).alias("value"))
     got, want = as_duckdb_gives(spark, tmp_path, "event_windows", events)
     assert got == want and sum(r[1] is None for r in got) == 45
+
+
+def test_totals_are_rounded_as_the_sql_does(spark, tmp_path):
+    """Ties at the seventh digit, totals of more digits than a double times a million holds, and some that are no number."""
+    odd = [-136642.9605655, 195159553969.418, -79601374449.209, 1e305, float("inf"), None, 0.0000005, 2.5]
+    values = F.array(*[F.lit(x).cast("double") for x in odd])
+    ts = F.timestamp_seconds(F.col("id") * 3600 + 1704067200).cast("timestamp_ntz")
+    value = F.coalesce(F.get(values, F.col("id").cast("int")), (F.col("id") * 7919 % 1000 * 10000000 + F.col("id") * 104729 * 10 + 5) / 10000000)
+    events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("a").alias("event_type"), value.alias("value"))
+    got, want = as_duckdb_gives(spark, tmp_path, "event_windows", events)
+    assert got == want and len(got) > 300

@@ -8,7 +8,7 @@ late for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.plans.queries import LOG, log, query
@@ -97,6 +97,12 @@ ARRIVED = f"""edge AS (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS lo, CAST(
     r AS (SELECT a.*, seen - to_seconds(width // 4) AS mark FROM a JOIN m USING (arrives))"""
 
 
+def as_sql_rounds(x: Column, places: int) -> Column:
+    """round() of doubles as the SQL has it: the product is rounded, half away from zero; Spark rounds the decimal digits, which at a tie is another number."""
+    product = x * 10.0**places
+    return F.when(F.abs(product) < float("inf"), F.round(product) / 10.0**places).otherwise(x)
+
+
 @query(f"""WITH {ARRIVED} SELECT strftime(date_trunc('hour', ts), '{STAMP}') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM r
     WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY ALL""")
 def event_windows(spark, sf):
@@ -107,7 +113,7 @@ def event_windows(spark, sf):
     stream = resume.records(spark, src, f"{EVENT}, closes boolean", files_per_trigger=per_slice, fmt="parquet").where("not closes")  # events without a type are counted, as a type of their own
     hours = resume.tumbling(stream, "ts", "1 hour", f"{width // 4} seconds", "event_type", value="value")
     resume.logged(hours, f"{out}/state", held, "update").awaitTermination()
-    return held.latest("start", "event_type").select(F.date_format("start", PRINTED).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    return held.latest("start", "event_type").select(F.date_format("start", PRINTED).alias("start"), "event_type", "n", as_sql_rounds(F.col("total"), 6).alias("total"))
 
 
 @query(f"""WITH {ARRIVED}, k AS (SELECT *, width // 16 AS gap FROM r WHERE mark IS NULL OR ts + to_seconds(width // 16) > mark),
