@@ -196,3 +196,11 @@ def test_totals_are_rounded_as_the_sql_does(spark, tmp_path):
     events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("a").alias("event_type"), value.alias("value"))
     got, want = as_duckdb_gives(spark, tmp_path, "event_windows", events)
     assert got == want and len(got) > 300
+
+
+def test_windows_before_1970(spark, tmp_path):
+    """Five years, of which two are before a watermark's least."""
+    ts = F.timestamp_seconds(F.col("id") * 394201 - 63072000).cast("timestamp_ntz")
+    events = spark.range(400).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("a").alias("event_type"), (F.col("id") / 4).alias("value"))
+    got, want = as_duckdb_gives(spark, tmp_path, "event_windows", events)
+    assert got == want and got[0][0] < "1969"

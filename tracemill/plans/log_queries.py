@@ -97,6 +97,14 @@ ARRIVED = f"""edge AS (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS lo, CAST(
     r AS (SELECT a.*, seen - to_seconds(width // 4) AS mark FROM a JOIN m USING (arrives))"""
 
 
+#: Hours between the events' times and the stream's, 2,000 years: a watermark doesn't go below 1970, so windows that end before would all be late.
+AHEAD = 2000 * 8766
+
+
+def moved(time: str, hours: int) -> Column:
+    return F.timestamp_micros(F.unix_micros(time) + hours * 3_600_000_000).alias(time)
+
+
 def as_sql_rounds(x: Column, places: int) -> Column:
     """round() of doubles as the SQL has it: the product is rounded, half away from zero; Spark rounds the decimal digits, which at a tie is another number."""
     product = x * 10.0**places
@@ -111,8 +119,8 @@ def event_windows(spark, sf):
     out = fresh_path(spark, "windows")
     held = Log(spark, f"{out}/log", "start timestamp, event_type string, n long, total double")
     stream = resume.records(spark, src, f"{EVENT}, closes boolean", files_per_trigger=per_slice, fmt="parquet").where("not closes")  # events without a type are counted, as a type of their own
-    hours = resume.tumbling(stream, "ts", "1 hour", f"{width // 4} seconds", "event_type", value="value")
-    resume.logged(hours, f"{out}/state", held, "update").awaitTermination()
+    hours = resume.tumbling(stream.withColumn("ts", moved("ts", AHEAD)), "ts", "1 hour", f"{width // 4} seconds", "event_type", value="value")
+    resume.logged(hours.withColumn("start", moved("start", -AHEAD)), f"{out}/state", held, "update").awaitTermination()
     return held.latest("start", "event_type").select(F.date_format("start", PRINTED).alias("start"), "event_type", "n", as_sql_rounds(F.col("total"), 6).alias("total"))
 
 
